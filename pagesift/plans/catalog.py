@@ -1,3 +1,3 @@
 """Imports every plan module so their queries register."""
 
-from . import generic_html  # noqa: F401
+from . import generic_html, listing  # noqa: F401
