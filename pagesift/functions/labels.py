@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, col, safe_trim, to_finite, to_int
+from .text import WS, col, let, safe_trim, to_finite, to_int
 
 _W = "[A-Za-z0-9_]"
 _B_BEFORE = "(?<!" + _W + ")"
@@ -35,42 +35,49 @@ def segments(c) -> Column:
 
 def rating_count(text) -> Column:
     """struct<rating, review_count> from one text, null when neither is found."""
-    n = safe_trim(text)
-    rating = F.when(n.rlike(RATING_RE), to_finite(F.regexp_extract(n, RATING_RE, 1)))
-    count = F.when(n.rlike(COUNT_RE), to_int(F.regexp_extract(n, COUNT_RE, 1)))
-    return F.when(rating.isNotNull() | count.isNotNull(),
-                  F.struct(rating.alias("rating"), count.alias("review_count")))
+    def build(n):
+        rating = F.when(n.rlike(RATING_RE), to_finite(F.regexp_extract(n, RATING_RE, 1)))
+        count = F.when(n.rlike(COUNT_RE), to_int(F.regexp_extract(n, COUNT_RE, 1)))
+        return let(F.struct(rating.alias("rating"), count.alias("review_count")),
+                   lambda s: F.when(s["rating"].isNotNull() | s["review_count"].isNotNull(), s))
+
+    return let(safe_trim(text), build)
 
 
 def parse_result_label(label) -> Column:
     """struct<title, category, rating, review_count, snippet> of a search-result label."""
-    n = safe_trim(label)
-    segs = segments(n)
-    r_match = F.regexp_extract(n, RATING_RE, 0)
-    c_match = F.regexp_extract(n, COUNT_RE, 0)
-    title = F.coalesce(F.get(segs, 0), n)
-    rest = F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(0)))
-    category = F.get(F.filter(rest, lambda s: ~s.rlike(NUMERIC_SEGMENT_RE)), 0)
-    kept = F.filter(
-        segs,
-        lambda s: (s != title) & ~s.eqNullSafe(category) & (s != r_match) & (s != c_match),
-    )
-    snippet = F.when(F.size(kept) > 0, F.array_join(kept, " · "))
-    rating = F.when(n.rlike(RATING_RE), to_finite(F.regexp_extract(n, RATING_RE, 1)))
-    count = F.when(n.rlike(COUNT_RE), to_int(F.regexp_extract(n, COUNT_RE, 1)))
-    return F.when(
-        n.isNotNull(),
-        F.struct(
-            title.alias("title"), category.alias("category"), rating.alias("rating"),
-            count.alias("review_count"), snippet.alias("snippet"),
-        ),
-    ).otherwise(
-        F.struct(
-            F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("category"),
-            F.lit(None).cast("double").alias("rating"), F.lit(None).cast("bigint").alias("review_count"),
-            F.lit(None).cast("string").alias("snippet"),
+
+    def with_n(n):
+        base = F.struct(
+            segments(n).alias("segs"),
+            F.regexp_extract(n, RATING_RE, 0).alias("rm"), F.regexp_extract(n, COUNT_RE, 0).alias("cm"),
+            F.when(n.rlike(RATING_RE), to_finite(F.regexp_extract(n, RATING_RE, 1))).alias("rating"),
+            F.when(n.rlike(COUNT_RE), to_int(F.regexp_extract(n, COUNT_RE, 1))).alias("review_count"),
         )
-    )
+
+        def with_b(b):
+            segs = b["segs"]
+            title = F.coalesce(F.get(segs, 0), n)
+            rest = F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(0)))
+            category = F.get(F.filter(rest, lambda s: ~s.rlike(NUMERIC_SEGMENT_RE)), 0)
+
+            def with_tc(tc):
+                kept = F.filter(segs, lambda s: (s != tc["title"]) & ~s.eqNullSafe(tc["category"])
+                                & (s != b["rm"]) & (s != b["cm"]))
+                snippet = let(kept, lambda k: F.when(F.size(k) > 0, F.array_join(k, " · ")))
+                return F.struct(tc["title"].alias("title"), tc["category"].alias("category"),
+                                b["rating"].alias("rating"), b["review_count"].alias("review_count"),
+                                snippet.alias("snippet"))
+
+            return let(F.struct(title.alias("title"), category.alias("category")), with_tc)
+
+        return F.when(n.isNotNull(), let(base, with_b))
+
+    out = let(safe_trim(label), with_n)
+    return F.coalesce(out, F.struct(
+        F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("category"),
+        F.lit(None).cast("double").alias("rating"), F.lit(None).cast("bigint").alias("review_count"),
+        F.lit(None).cast("string").alias("snippet")))
 
 
 def looks_like_address(c) -> Column:
@@ -80,12 +87,10 @@ def looks_like_address(c) -> Column:
 
 def address_from_text(c) -> Column:
     """First address-like segment, else the whole text when address-like."""
-    n = safe_trim(c)
-    seg = F.get(F.filter(segments(n), lambda s: looks_like_address(s)), 0)
-    return F.coalesce(seg, F.when(looks_like_address(n), n))
+    return let(safe_trim(c), lambda n: F.coalesce(
+        F.get(F.filter(segments(n), lambda s: looks_like_address(s)), 0), F.when(looks_like_address(n), n)))
 
 
 def normalize_place_title(c) -> Column:
-    n = safe_trim(c)
-    stripped = F.regexp_replace(n, TITLE_SUFFIX_RE, "")
+    stripped = F.regexp_replace(safe_trim(c), TITLE_SUFFIX_RE, "")
     return F.regexp_replace(stripped, "^" + WS + "+|" + WS + "+$", "")

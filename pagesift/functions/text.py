@@ -31,6 +31,15 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` (a single-element transform).
+
+    Used where an expensive expression is referenced several times inside
+    higher-order functions, which get no common-subexpression elimination.
+    """
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def normalize_ws(c) -> Column:
     """Collapse whitespace runs to one space and strip both ends."""
     collapsed = F.regexp_replace(col(c), WS + "+", " ")
@@ -44,7 +53,7 @@ def js_trim(c) -> Column:
 
 def safe_trim(c) -> Column:
     """Blank or null -> null, otherwise whitespace-normalised text."""
-    return F.nullif(normalize_ws(col(c)), F.lit(""))
+    return let(normalize_ws(col(c)), lambda s: F.when(s != F.lit(""), s))
 
 
 def is_non_empty(c) -> Column:
@@ -55,15 +64,6 @@ def _codepoint_to_str(cp: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
 
 
-def let(value, fn) -> Column:
-    """Evaluate ``value`` once and pass it to ``fn`` (a single-element transform).
-
-    Used where an expensive expression is referenced several times inside
-    higher-order functions, which get no common-subexpression elimination.
-    """
-    return F.get(F.transform(F.array(value), fn), 0)
-
-
 def _replace_numeric(s: Column, pattern: str, digits_to_cp) -> Column:
     """Single global pass replacing each ``pattern`` match by its code point.
 
@@ -125,25 +125,25 @@ def collapse_ws(c) -> Column:
 
 def to_finite(c) -> Column:
     """Number(...) coercion of text; null unless finite.  Commas are dropped."""
-    s = F.regexp_replace(normalize_ws(col(c)), ",", "")
-    dec = F.when(s.rlike(_DEC_RE), s.try_cast("double"))
-    other = (
-        F.when(s.rlike(_HEX_RE), F.conv(F.substring(s, 3, 64), 16, 10).try_cast("double"))
-        .when(s.rlike(_OCT_RE), F.conv(F.substring(s, 3, 64), 8, 10).try_cast("double"))
-        .when(s.rlike(_BIN_RE), F.conv(F.substring(s, 3, 64), 2, 10).try_cast("double"))
-    )
-    v = F.coalesce(dec, other)
-    return F.when(F.abs(v) <= F.lit(_MAX_DOUBLE), v)
+    def parse(s):
+        dec = F.when(s.rlike(_DEC_RE), s.try_cast("double"))
+        other = (
+            F.when(s.rlike(_HEX_RE), F.conv(F.substring(s, 3, 64), 16, 10).try_cast("double"))
+            .when(s.rlike(_OCT_RE), F.conv(F.substring(s, 3, 64), 8, 10).try_cast("double"))
+            .when(s.rlike(_BIN_RE), F.conv(F.substring(s, 3, 64), 2, 10).try_cast("double"))
+        )
+        return let(F.coalesce(dec, other), lambda v: F.when(F.abs(v) <= F.lit(_MAX_DOUBLE), v))
+
+    return let(F.regexp_replace(normalize_ws(col(c)), ",", ""), parse)
 
 
 def to_int(c) -> Column:
     """to_finite then truncate toward zero (BIGINT; out-of-range -> null)."""
-    v = to_finite(c)
-    return F.when(F.abs(v) < F.lit(_MAX_LONG_AS_DOUBLE), v.cast("bigint"))
+    return let(to_finite(c), lambda v: F.when(F.abs(v) < F.lit(_MAX_LONG_AS_DOUBLE), v.cast("bigint")))
 
 
 def num_to_int(v: Column) -> Column:
-    return F.when(F.abs(v) < F.lit(_MAX_LONG_AS_DOUBLE), v.cast("bigint"))
+    return let(v, lambda x: F.when(F.abs(x) < F.lit(_MAX_LONG_AS_DOUBLE), x.cast("bigint")))
 
 
 def unique_strings(arr) -> Column:

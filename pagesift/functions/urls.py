@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, col, normalize_ws, safe_trim, to_finite
+from .text import WS, col, let, normalize_ws, safe_trim, to_finite
 
 # Base origin for relative links and the search endpoint.
 BASE_ORIGIN = "https://www.google.com"
@@ -28,24 +28,32 @@ def resolve_url(href) -> Column:
     """Resolve a link against https://www.google.com and normalise it:
     lower-case scheme and host, default port dropped, empty path -> '/',
     backslashes as slashes, tabs/newlines removed, spaces percent-encoded."""
-    h = F.regexp_replace(col(href), "[\\t\\n\\r]", "")
-    h = F.regexp_replace(h, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
-    scheme = F.lower(F.regexp_extract(h, _SCHEME_RE, 1))
-    special = scheme.isin("http", "https", "ws", "wss", "ftp")
-    hs = F.when(special | ~h.rlike(_SCHEME_RE), F.regexp_replace(h, r"\\", "/")).otherwise(h)
-    absolute_special = F.concat(
-        scheme, F.lit("://"),
-        F.regexp_replace(F.lower(F.regexp_extract(hs, r"^[A-Za-z][A-Za-z0-9+.-]*:/*([^/?#]*)", 1)),
-                         r"^([^@]*@)?([^:]*):(443|80)$", "$1$2"),
-        F.regexp_extract(hs, r"^[A-Za-z][A-Za-z0-9+.-]*:/*[^/?#]*(.*)$", 1),
-    )
-    out = (
-        F.when(h.rlike(_SCHEME_RE) & special, absolute_special)
-        .when(h.rlike(_SCHEME_RE), h)
-        .when(hs.startswith("//"), F.concat(F.lit("https:"), hs))
-        .when(hs.startswith("/"), F.concat(F.lit(BASE_ORIGIN), hs))
-        .otherwise(F.concat(F.lit(BASE_ORIGIN + "/"), hs))
-    )
+    h0 = F.regexp_replace(col(href), "[\\t\\n\\r]", "")
+    h0 = F.regexp_replace(h0, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
+
+    def with_h(h):
+        scheme = F.lower(F.regexp_extract(h, _SCHEME_RE, 1))
+        has_scheme = h.rlike(_SCHEME_RE)
+        special = scheme.isin("http", "https", "ws", "wss", "ftp")
+
+        def with_hs(hs):
+            absolute_special = F.concat(
+                scheme, F.lit("://"),
+                F.regexp_replace(F.lower(F.regexp_extract(hs, r"^[A-Za-z][A-Za-z0-9+.-]*:/*([^/?#]*)", 1)),
+                                 r"^([^@]*@)?([^:]*):(443|80)$", "$1$2"),
+                F.regexp_extract(hs, r"^[A-Za-z][A-Za-z0-9+.-]*:/*[^/?#]*(.*)$", 1),
+            )
+            return (
+                F.when(has_scheme & special, absolute_special)
+                .when(has_scheme, h)
+                .when(hs.startswith("//"), F.concat(F.lit("https:"), hs))
+                .when(hs.startswith("/"), F.concat(F.lit(BASE_ORIGIN), hs))
+                .otherwise(F.concat(F.lit(BASE_ORIGIN + "/"), hs))
+            )
+
+        return let(F.when(special | ~has_scheme, F.regexp_replace(h, r"\\", "/")).otherwise(h), with_hs)
+
+    out = let(h0, with_h)
     # empty path after the authority -> "/"
     out = F.regexp_replace(out, r"^([a-z][a-z0-9+.-]*://[^/?#]*)([?#]|$)", "$1/$2")
     return _encode_path_chars(out)
@@ -53,22 +61,25 @@ def resolve_url(href) -> Column:
 
 def url_key(url) -> Column:
     """origin + path of the resolved URL; query, hash and trailing slashes dropped."""
-    r = resolve_url(url)
-    origin = F.concat(
-        F.regexp_extract(r, r"^([a-z][a-z0-9+.-]*://)", 1),
-        F.regexp_replace(F.regexp_extract(r, r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), r"^[^@]*@", ""),
-    )
-    path = F.regexp_extract(r, r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.concat(origin, F.regexp_replace(path, "/+$", ""))
+    def build(r):
+        origin = F.concat(
+            F.regexp_extract(r, r"^([a-z][a-z0-9+.-]*://)", 1),
+            F.regexp_replace(F.regexp_extract(r, r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), r"^[^@]*@", ""),
+        )
+        path = F.regexp_extract(r, r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+        return F.concat(origin, F.regexp_replace(path, "/+$", ""))
+
+    return let(resolve_url(url), build)
 
 
 def coords_from_url(url) -> Column:
     """struct<lat,lng> from the first `@lat,lng` in the URL; both or null."""
-    s = safe_trim(url)
-    lat = to_finite(F.regexp_extract(s, COORD_RE, 1))
-    lng = to_finite(F.regexp_extract(s, COORD_RE, 2))
-    return F.when(s.rlike(COORD_RE) & lat.isNotNull() & lng.isNotNull(),
-                  F.struct(lat.alias("lat"), lng.alias("lng")))
+    def build(s):
+        ll = F.struct(to_finite(F.regexp_extract(s, COORD_RE, 1)).alias("lat"),
+                      to_finite(F.regexp_extract(s, COORD_RE, 2)).alias("lng"))
+        return F.when(s.rlike(COORD_RE), let(ll, lambda v: F.when(v["lat"].isNotNull() & v["lng"].isNotNull(), v)))
+
+    return let(safe_trim(url), build)
 
 
 def encode_uri_component(c) -> Column:

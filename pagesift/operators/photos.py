@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.ids import stable_id
-from ..functions.text import safe_trim, to_int, unique_strings
+from ..functions.text import let, safe_trim, to_int, unique_strings
 from ..functions.urls import url_key
 from .html import extract_anchors, extract_images, strip_review_blocks
 
@@ -22,9 +22,8 @@ PHOTO_HOST_RE = r"(?i)googleusercontent\.com|lh3\.googleusercontent\.com"
 
 
 def url_dimension(url, prefix: str) -> F.Column:
-    s = safe_trim(url)
     pat = "(?i)(?:=|-)" + prefix + "(\\d+)(?!" + _W + ")"
-    return F.when(s.rlike(pat), to_int(F.regexp_extract(s, pat, 1)))
+    return let(safe_trim(url), lambda s: F.when(s.rlike(pat), to_int(F.regexp_extract(s, pat, 1))))
 
 
 def photo_candidates(pages: DataFrame, id_cols=("page_id",), html_col: str = "html") -> DataFrame:
@@ -54,28 +53,30 @@ def photo_candidates(pages: DataFrame, id_cols=("page_id",), html_col: str = "ht
 
 def keep_photo(kind: str, author_col: str | None = None) -> F.Column:
     """The ordered keep/drop decision as one CASE expression."""
-    ctx = F.lower(F.concat_ws(" ", "context_alt", "title_text", "raw", "image_url", "thumbnail_url"))
-    w = F.coalesce(F.col("width"), url_dimension("image_url", "w"), url_dimension("thumbnail_url", "w"))
-    h = F.coalesce(F.col("height"), url_dimension("image_url", "h"), url_dimension("thumbnail_url", "h"))
-    too_small = F.coalesce(w <= 150, F.lit(False)) | F.coalesce(h <= 150, F.lit(False))
-    small_square = F.coalesce((w <= 128) & (h <= 128) & (F.abs(w - h) <= 24), F.lit(False))
-    photo_word = ctx.rlike(PHOTO_WORDS_RE)
-    if author_col is not None:
-        a = F.lower(safe_trim(author_col))
-        mentions_author = F.coalesce(a.isNotNull() & ctx.contains(a), F.lit(False))
-    else:
-        mentions_author = F.lit(False)
-    tail = (~small_square) if kind == "place" else (
-        photo_word | w.isNull() | h.isNull() | (w >= 160) | (h >= 160))
-    return (
-        F.when(too_small, False)
-        .when(F.col("raw").rlike(EXPLICIT_RE), True)
-        .when(ctx.rlike(PROFILE_WORDS_RE) | F.col("image_url").rlike(PROFILE_URL_RE)
-              | (mentions_author & small_square), False)
-        .when(small_square & ~photo_word, False)
-        .when(~F.col("image_url").rlike(PHOTO_HOST_RE), False)
-        .otherwise(tail)
-    )
+    ctx0 = F.lower(F.concat_ws(" ", "context_alt", "title_text", "raw", "image_url", "thumbnail_url"))
+    w0 = F.coalesce(F.col("width"), url_dimension("image_url", "w"), url_dimension("thumbnail_url", "w"))
+    h0 = F.coalesce(F.col("height"), url_dimension("image_url", "h"), url_dimension("thumbnail_url", "h"))
+    a = F.lower(safe_trim(author_col)) if author_col is not None else F.lit(None).cast("string")
+
+    def decide(v):
+        ctx, w, h = v["ctx"], v["w"], v["h"]
+        too_small = F.coalesce(w <= 150, F.lit(False)) | F.coalesce(h <= 150, F.lit(False))
+        small_square = F.coalesce((w <= 128) & (h <= 128) & (F.abs(w - h) <= 24), F.lit(False))
+        photo_word = ctx.rlike(PHOTO_WORDS_RE)
+        mentions_author = F.coalesce(v["a"].isNotNull() & ctx.contains(v["a"]), F.lit(False))
+        tail = (~small_square) if kind == "place" else (
+            photo_word | w.isNull() | h.isNull() | (w >= 160) | (h >= 160))
+        return (
+            F.when(too_small, False)
+            .when(F.col("raw").rlike(EXPLICIT_RE), True)
+            .when(ctx.rlike(PROFILE_WORDS_RE) | F.col("image_url").rlike(PROFILE_URL_RE)
+                  | (mentions_author & small_square), False)
+            .when(small_square & ~photo_word, False)
+            .when(~F.col("image_url").rlike(PHOTO_HOST_RE), False)
+            .otherwise(tail)
+        )
+
+    return let(F.struct(ctx0.alias("ctx"), w0.alias("w"), h0.alias("h"), a.alias("a")), decide)
 
 
 def filter_photos(candidates: DataFrame, kind: str = "place", author_col: str | None = None) -> DataFrame:

@@ -22,11 +22,11 @@ PIPELINE_REVIEWS = 20  # default reviews per place
 
 
 def search_results_df(spark, sf, limit=None):
-    return S.search_results(R.search_pages(spark, sf), limit, R.segments(spark, sf))
+    return S.search_results(R.stored(spark, sf, 'search_pages'), limit, R.segments(spark, sf))
 
 
 def place_fields_df(spark, sf):
-    return PL.place_page_fields(R.place_pages(spark, sf))
+    return PL.place_page_fields(R.stored(spark, sf, 'place_pages'))
 
 
 def places_df(spark, sf, limit=None):
@@ -67,7 +67,7 @@ SELECT keyword, region, CAST(count(*) AS BIGINT) AS n_links, CAST(count(DISTINCT
 FROM (SELECT keyword, region, place_url FROM ranked UNION ALL SELECT keyword, region, place_url FROM ranked WHERE k % 5 = 0)
 GROUP BY keyword, region""")
 def q_listing_links(spark, sf):
-    links = S.listing_anchors(R.search_pages(spark, sf))
+    links = S.listing_anchors(R.stored(spark, sf, 'search_pages'))
     return links.groupBy("keyword", "region").agg(
         F.count(F.lit(1)).alias("n_links"), F.countDistinct("place_url").alias("n_urls"))
 
@@ -76,7 +76,7 @@ def q_listing_links(spark, sf):
 WITH {L.search_ctes()}
 SELECT keyword, region, place_url, raw_label FROM ranked""")
 def q_dedup_links(spark, sf):
-    links = S.listing_anchors(R.search_pages(spark, sf))
+    links = S.listing_anchors(R.stored(spark, sf, 'search_pages'))
     return S.dedup_links(links, payload=("raw_label",)).select("keyword", "region", "place_url", "raw_label")
 
 
@@ -84,7 +84,7 @@ def q_dedup_links(spark, sf):
 WITH {L.search_ctes(PIPELINE_PLACES)}
 SELECT keyword, region, place_url, rank FROM sr""")
 def q_rank_limit(spark, sf):
-    links = S.listing_anchors(R.search_pages(spark, sf))
+    links = S.listing_anchors(R.stored(spark, sf, 'search_pages'))
     return S.rank_and_limit(S.dedup_links(links), PIPELINE_PLACES).select("keyword", "region", "place_url", "rank")
 
 
@@ -92,7 +92,7 @@ def q_rank_limit(spark, sf):
 WITH {L.search_ctes()}
 SELECT place_url, name AS title, category, rating, review_count, snippet FROM ranked WHERE keyword = seg""")
 def q_parse_labels(spark, sf):
-    links = S.listing_anchors(R.search_pages(spark, sf))
+    links = S.listing_anchors(R.stored(spark, sf, 'search_pages'))
     own = links.join(R.customers(spark, sf).select(F.col("seg").alias("keyword"), F.col("nat").alias("region"), "name"),
                      ["keyword", "region"], "left_semi")
     d = S.dedup_links(own, payload=("raw_label",))
@@ -129,8 +129,8 @@ def q_results_pages_join(spark, sf):
 SELECT c_custkey AS page_id, CAST(CASE c_custkey % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS n_objects
 FROM customer""")
 def q_jsonld_objects(spark, sf):
-    o = hops.extract_jsonld(R.place_pages(spark, sf, with_reviews=False))
-    pages = R.place_pages(spark, sf, with_reviews=False).select("page_id")
+    o = hops.extract_jsonld(R.stored(spark, sf, 'place_heads'))
+    pages = R.stored(spark, sf, 'place_heads').select("page_id")
     return pages.join(o.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")), "page_id", "left").select(
         "page_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_objects"))
 
@@ -161,7 +161,7 @@ SELECT k AS page_id, CASE WHEN k % 3 <> 0 THEN name END AS og_title, seg || ' in
   CASE WHEN k % 3 <> 0 THEN canon END AS canonical, CASE WHEN k % 3 = 2 THEN CAST(k AS VARCHAR) || ' Side Rd, ' || nat END AS street
 FROM cf""")
 def q_meta_and_links(spark, sf):
-    pages = R.place_pages(spark, sf, with_reviews=False)
+    pages = R.stored(spark, sf, 'place_heads')
     a = hops.extract_meta(pages, PL.TITLE_META, out="og_title")
     b = hops.extract_meta(pages, PL.DESC_META, out="description")
     c = hops.extract_link_href(pages, "canonical", out="canonical")
@@ -221,7 +221,7 @@ SELECT o_custkey AS page_id, CAST(CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 0 EN
        CASE WHEN o_orderkey % 10 = 2 THEN '' ELSE 'o' || CAST(o_orderkey AS VARCHAR) END AS review_id
 FROM orders""")
 def q_review_blocks(spark, sf):
-    b = RV.review_blocks(R.place_pages(spark, sf))
+    b = RV.review_blocks(R.stored(spark, sf, 'place_pages'))
     return b.select("page_id", F.col("tag_ordinal").cast("int").alias("tag_ordinal"),
                     H.attr("attrs", "data-review-id").alias("review_id"))
 
@@ -232,7 +232,7 @@ REVIEW_OUT = ["id", "place_id", "place_url", "author_name", "author_profile_url"
 
 def reviews_df(spark, sf, limit=None):
     pl = PL.dedup_places(places_df(spark, sf))
-    return RV.reviews_from_pages(pl, R.place_pages(spark, sf), limit)
+    return RV.reviews_from_pages(pl, R.stored(spark, sf, 'place_pages'), limit)
 
 
 @query("reviews", oracle=f"WITH {L.review_ctes()}\nSELECT {L.REVIEW_COLS} FROM rv")
@@ -282,7 +282,7 @@ def q_normalize_reviews(spark, sf):
 
 # ---------------- O50-O56 ----------------
 def _photo_pages(spark, sf):
-    return R.photo_pages(spark, sf)
+    return R.stored(spark, sf, 'photo_pages')
 
 
 @query("strip_reviews", oracle="""
@@ -360,8 +360,9 @@ def q_dedup_photos(spark, sf):
                     "width", "alt_text")
 
 
-@query("exclude_photos", oracle=DEDUP_SQL.replace("GROUP BY page_id, image_url", """WHERE NOT (page_id % 3 = 0 AND source_ordinal = 0 AND pos = 0)
-GROUP BY page_id, image_url""").replace("SELECT page_id, image_url, min", "SELECT page_id, image_url, min", 1))
+@query("exclude_photos", oracle=f"""SELECT * FROM ({DEDUP_SQL})
+WHERE NOT (page_id % 3 = 0 AND image_url = CASE WHEN page_id % 2 = 0 THEN 'https://lh3.googleusercontent.com'
+  ELSE 'https://img.example.com' END || '/p' || CAST(page_id AS VARCHAR) || '-a.jpg')""")
 def q_exclude_photos(spark, sf):
     c = P.photo_candidates(hops.strip_review_blocks(_photo_pages(spark, sf)))
     d = P.dedup_photos(P.filter_photos(c, "place"))
@@ -394,7 +395,7 @@ SELECT {sid('pid', 'image_url')} AS id, pid AS place_id, source_url AS place_url
 FROM ph""")
 def q_place_photos(spark, sf):
     pl = PL.dedup_places(places_df(spark, sf))
-    return P.place_photos(pl, R.place_pages(spark, sf)).select(*PHOTO_OUT)
+    return P.place_photos(pl, R.stored(spark, sf, 'place_pages')).select(*PHOTO_OUT)
 
 
 @query("review_photos", oracle=f"""WITH {L.review_ctes()}
@@ -404,7 +405,7 @@ SELECT {sid('place_id', "'o' || CAST(o AS VARCHAR)", "'https://lh3.googleusercon
   CAST(NULL AS VARCHAR) AS alt_text, CAST(NULL AS BIGINT) AS width, CAST(NULL AS BIGINT) AS height, src AS source_url
 FROM rv WHERE o % 3 = 0 AND o % 10 <> 2""")
 def q_review_photos(spark, sf):
-    pages = R.place_pages(spark, sf)
+    pages = R.stored(spark, sf, 'place_pages')
     rv = reviews_df(spark, sf)
     urls = P.review_image_urls(pages).filter(F.col("review_id").isNotNull())
     return P.review_photos(rv, urls).select(*PHOTO_OUT)

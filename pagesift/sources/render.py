@@ -236,3 +236,34 @@ def photo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(q.cast("bigint").alias("page_id"),
                     F.concat(F.lit("https://www.google.com/maps/place/part"), _s(q)).alias("url"),
                     html.alias("html"))
+
+
+_BUILDERS = {
+    "search_pages": search_pages,
+    "place_pages": place_pages,
+    "place_heads": lambda spark, sf: place_pages(spark, sf, with_reviews=False),
+    "photo_pages": photo_pages,
+}
+_WRITTEN: dict = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rendered table ``name`` written once as parquet under the shared
+    checkpoint folder and read back: later jobs start from a stored snapshot
+    table (as production jobs do) instead of re-running the renderer."""
+    import hashlib
+    import os
+
+    from ..session import checkpoint_dir
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    path = _WRITTEN.get(key)
+    if path is None:
+        tag = hashlib.sha1(f"{key}".encode()).hexdigest()[:12]
+        path = os.path.join(checkpoint_dir(spark), "rendered", f"{name}-{tag}")
+        df = _BUILDERS[name](spark, sf_dir)
+        # several files so the HTML scan parallelises (rows are CPU-heavy, not big)
+        n = max(8, spark.sparkContext.defaultParallelism * 2)
+        df.repartition(n, "page_id").write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(path)
