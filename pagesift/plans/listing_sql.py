@@ -79,9 +79,9 @@ PLACE_COLS = """pid AS id, id AS search_result_id, keyword AS search_keyword, re
   description, source_url, place_url AS search_url, raw_title, raw_label, keywords"""
 
 
-def review_ctes(limit: int | None = None) -> str:
+def review_ctes(limit: int | None = None, place_limit: int | None = None) -> str:
     lim = "" if limit is None else f"WHERE idx < {max(limit, 1)}"
-    return place_ctes(None, dedup=True) + f""",
+    return place_ctes(place_limit, dedup=True) + f""",
 ob AS (
   SELECT o_orderkey AS o, o_custkey AS ok, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderpriority AS pri,
          CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderkey % 10 = 0), o_orderkey) - 1 AS BIGINT) AS idx
