@@ -1,3 +1,3 @@
 """Imports every plan module so their queries register."""
 
-from . import generic_html, listing, run_jobs  # noqa: F401
+from . import generic_html, listing, netlog_jobs, run_jobs, stream_jobs  # noqa: F401

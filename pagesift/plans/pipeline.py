@@ -68,6 +68,9 @@ def run_pipeline(spark: SparkSession, keywords: DataFrame, search_pages: DataFra
                                 join_key="page_id")
     entries = P.place_photo_entries(place_pages, id_cols=("page_id", "captured_at"))
     photos = P.place_photo_records(entries, by_page, join_key="page_id")
+    if staged:
+        reviews = stage(spark, reviews, "reviews")
+        photos = stage(spark, photos, "photos")
     progress = G.advance_progress(ledger, pending, place_rows)
     summary = G.run_summary(results, place_rows, reviews, photos)
     return PipelineResult(results, place_rows, reviews, photos, progress, summary)
