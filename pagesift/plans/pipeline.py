@@ -41,7 +41,7 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def run_pipeline(spark: SparkSession, keywords: DataFrame, search_pages: DataFrame, place_pages: DataFrame,
                  ledger: DataFrame | None = None, max_places: int = DEFAULT_MAX_PLACES,
                  max_reviews: int = DEFAULT_MAX_REVIEWS, dry_run: bool = False,
-                 staged: bool = True) -> PipelineResult:
+                 staged: bool = True, prune_pages: bool = False) -> PipelineResult:
     """search -> skip completed -> places -> dedup -> {reviews + limit, photos}
     -> advanced ledger and run summary.  One lazy DAG per output; the HTML is
     only ever read by page-local projections and never shuffled."""
@@ -56,6 +56,12 @@ def run_pipeline(spark: SparkSession, keywords: DataFrame, search_pages: DataFra
     if staged:
         results = stage(spark, results, "search_results")
     pending = G.skip_completed_results(results, ledger)
+    if prune_pages:
+        # incremental runs: only pages some pending result points at are parsed
+        from ..functions.urls import url_key
+
+        wanted = pending.select(url_key("place_url").alias("_k")).distinct()
+        place_pages = place_pages.join(wanted, url_key("url") == F.col("_k"), "left_semi")
 
     fields = latest_per_url(PL.place_page_fields(place_pages))
     place_rows = G.skip_completed_places(PL.dedup_places(PL.places(pending, fields)), ledger)

@@ -44,7 +44,8 @@ def stream_pipeline(spark: SparkSession, snapshot_dir: str, snapshot_schema, pla
             ledger = prev_ledger.filter(F.col("batch_id") == last).drop("batch_id") if last is not None else None
         else:
             ledger = None
-        res = run_pipeline(spark, keywords, batch, place_pages, ledger, max_places, max_reviews, staged=False)
+        res = run_pipeline(spark, keywords, batch, place_pages, ledger, max_places, max_reviews,
+                           staged=True, prune_pages=True)
         places = res.places
         known = _before(spark, f"{out}/places", batch_id)
         if known is not None:
