@@ -38,10 +38,26 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def prune_to_results(place_pages: DataFrame, pending: DataFrame, max_keys: int) -> DataFrame:
+    """Keep only pages some pending result points at, *if* the set of wanted URL
+    keys is provably small: it is counted (on staged, narrow rows) and broadcast
+    only when at most ``max_keys``.  Beyond that bound pages are not pruned — every
+    page is parsed page-locally and joined later on narrow rows — so the HTML side
+    is never shuffled either way."""
+    from ..functions.urls import url_key
+
+    wanted = pending.select(url_key("place_url").alias("_k")).distinct()
+    n = wanted.limit(max_keys + 1).count()
+    if n > max_keys:
+        return place_pages
+    return place_pages.join(F.broadcast(wanted), url_key("url") == F.col("_k"), "left_semi")
+
+
 def run_pipeline(spark: SparkSession, keywords: DataFrame, search_pages: DataFrame, place_pages: DataFrame,
                  ledger: DataFrame | None = None, max_places: int = DEFAULT_MAX_PLACES,
                  max_reviews: int = DEFAULT_MAX_REVIEWS, dry_run: bool = False,
-                 staged: bool = True, prune_pages: bool = False) -> PipelineResult:
+                 staged: bool = True, prune_pages: bool = True,
+                 prune_max_keys: int = 2_000_000) -> PipelineResult:
     """search -> skip completed -> places -> dedup -> {reviews + limit, photos}
     -> advanced ledger and run summary.  One lazy DAG per output; the HTML is
     only ever read by page-local projections and never shuffled."""
@@ -57,11 +73,7 @@ def run_pipeline(spark: SparkSession, keywords: DataFrame, search_pages: DataFra
         results = stage(spark, results, "search_results")
     pending = G.skip_completed_results(results, ledger)
     if prune_pages:
-        # incremental runs: only pages some pending result points at are parsed
-        from ..functions.urls import url_key
-
-        wanted = pending.select(url_key("place_url").alias("_k")).distinct()
-        place_pages = place_pages.join(wanted, url_key("url") == F.col("_k"), "left_semi")
+        place_pages = prune_to_results(place_pages, pending, prune_max_keys)
 
     fields = latest_per_url(PL.place_page_fields(place_pages))
     place_rows = G.skip_completed_places(PL.dedup_places(PL.places(pending, fields)), ledger)
