@@ -87,8 +87,13 @@ def run_pipeline(spark: SparkSession, keywords: DataFrame, search_pages: DataFra
     entries = P.place_photo_entries(place_pages, id_cols=("page_id", "captured_at"))
     photos = P.place_photo_records(entries, by_page, join_key="page_id")
     if staged:
-        reviews = stage(spark, reviews, "reviews")
-        photos = stage(spark, photos, "photos")
+        # independent outputs of the same staged places: submit both jobs at once
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            fr = pool.submit(stage, spark, reviews, "reviews")
+            fp = pool.submit(stage, spark, photos, "photos")
+            reviews, photos = fr.result(), fp.result()
     progress = G.advance_progress(ledger, pending, place_rows)
     summary = G.run_summary(results, place_rows, reviews, photos)
     return PipelineResult(results, place_rows, reviews, photos, progress, summary)
