@@ -50,8 +50,12 @@ def elements_with_attribute(pages: DataFrame, attribute: str, tags: Iterable[str
     Order is (tag_ordinal, pos): all matches of the first tag, then the second…
     An element nested in another match is reported again under its own tag.
     """
+    # an element carrying the attribute has its name in its raw text: this cheap
+    # test runs before attribute parsing (the filter is pushed below the projection)
+    needle = attribute.lower()
     parts = [
-        extract_elements(pages, t, id_cols, html_col, with_text).withColumn("tag_ordinal", F.lit(i))
+        extract_elements(pages, t, id_cols, html_col, with_text).filter(F.lower("raw").contains(needle))
+        .withColumn("tag_ordinal", F.lit(i))
         for i, t in enumerate(tags)
     ]
     union = reduce(lambda a, b: a.unionByName(b), parts)
