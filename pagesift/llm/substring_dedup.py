@@ -42,10 +42,9 @@ def _spread(per_run: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(per_run, np.diff(np.append(starts, n)))
 
 
-def _salted(h, k, pos):
-    """Another hash for each place, so that settled places of one hash spread over all partitions."""
-    own = (k.view(np.uint64) * np.uint64(31) + pos.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return signed(h.view(np.uint64) ^ mix(own))
+def _salted(h, k):
+    """Another hash for each document, so that settled places of one hash spread over all partitions."""
+    return signed(h.view(np.uint64) ^ mix(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
 # ---- anchors -------------------------------------------------------------------------------------------------
@@ -69,7 +68,7 @@ def _anchor_rows(h, th, k, pos):
     is_mixed = _spread(mixed, starts, n)
     own = ~is_mixed & (k == _spread(np.minimum.reduceat(k, starts), starts, n))
     sure = is_mixed
-    salt = _salted(h[sure], k[sure], pos[sure])
+    salt = _salted(h[sure], k[sure])
     mh = h[starts][mixed]
     m = len(mh)
     return pa.RecordBatch.from_arrays([
@@ -107,19 +106,23 @@ _IN_COVER[list(COVER)] = True
 
 # ---- windows -------------------------------------------------------------------------------------------------
 
-_WINDOW_SCHEMA = "h long, g long, th long, k long, pos int, sure boolean"
+_WINDOW_SCHEMA = "h long, g int, th long, k long, at array<int>, sure boolean"
 
 
 def _window_rows(h, g, th, k, pos):
-    """Windows of one chunk: those after the smallest id here are sure; only the smallest id's go to other chunks."""
+    """Windows of one chunk: those after the smallest id here are sure; only the smallest id's go to other chunks.
+    A window that one document repeats is one row with all its places."""
     order = np.lexsort((g, h))
-    h, g, th, k, pos = h[order], g[order], th[order], k[order], pos[order]
+    h, g, th, k, pos = h[order], g[order], th[order], k[order], pos[order].astype(np.int32)
     starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
     sure = k > _spread(np.minimum.reduceat(k, starts), starts, len(h))
+    own = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (k[1:] != k[:-1]) | (th[1:] != th[:-1])))
+    first = np.flatnonzero(own)
     h = h.copy()
-    h[sure] = _salted(h[sure], k[sure], pos[sure])
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, g, th, k, pos.astype(np.int32), sure)],
-                                      names=["h", "g", "th", "k", "pos", "sure"])
+    h[sure] = _salted(h[sure], k[sure])
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(pos))
+    return pa.RecordBatch.from_arrays([*[pa.array(x[first]) for x in (h, g, th, k)], places, pa.array(sure[first])],
+                                      names=["h", "g", "th", "k", "at", "sure"])
 
 
 def _windows(batches):
@@ -142,7 +145,7 @@ def _windows(batches):
                 if not len(at):
                     continue
                 h, g = gram_hashes(words, WINDOW, _BASE2), gram_hashes(words, WINDOW, _BASE3)
-                parts.append((signed(h[at]), signed(g[at]), np.full(len(at), ths[i]), np.full(len(at), ks[i]), at))
+                parts.append((signed(h[at]), (g[at] >> np.uint64(33)).astype(np.int32), np.full(len(at), ths[i]), np.full(len(at), ks[i]), at))
                 size += len(at)
                 if size >= _CHUNK:
                     yield _window_rows(*map(np.concatenate, zip(*parts)))
@@ -216,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = by_doc.join(found, ["k", "th"]).select("k", "th", "text", "places").mapInArrow(_windows, _WINDOW_SCHEMA)
     by_window = Window.partitionBy("h", "g")
     repeats = (windows.withColumn("low", F.min("k").over(by_window)).where("sure or k > low")
-               .groupBy("k", "th").agg(F.collect_list("pos").alias("starts")))
+               .groupBy("k", "th").agg(F.flatten(F.collect_list("at")).alias("starts")))
 
     marks = (repeats.select("k", "th", "starts", F.lit(False).alias("copy"))
              .unionByName(copies.select("k", "th", F.lit(None).cast("array<int>").alias("starts"), "copy")))
