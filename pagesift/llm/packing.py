@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -18,22 +21,50 @@ END_ID = 0
 MEMO = 250_000
 
 
+#: Fixed value: the pre-token pattern of the byte-level tokenizer.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_UNEVEN = re.compile(r" \s|\s ")
+
+
+def _byte_of() -> dict:
+    """The byte-level alphabet of such tokenizer files: printable Latin-1 characters stand for themselves, the other
+    bytes, in order, for the code points from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 class _Memo(dict):
-    """Span of text -> its ids as little-endian unsigned 32-bit bytes."""
+    """Span of text -> its ids as little-endian unsigned 32-bit bytes.
+
+    Spans of letters below U+0250 (whose character classes no library version changes) are encoded by ``tiktoken``
+    with the file's own vocabulary as ranks, four times as fast and with the same ids; all others by ``tokenizers``.
+    """
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.tokenizer = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte = _byte_of()
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.fast = tiktoken.Encoding("spans", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, span: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
         return np.array(self.tokenizer.encode(span, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, span):
-        out = self.ids(span)
-        if len(self) < MEMO and len(span) < 64:
+        n = len(span)
+        out = array("I", self.fast(span)).tobytes() if n < 1000 and max(span) < "\u0250" else self.ids(span)
+        if n < 64 and len(self) < MEMO:
             self[span] = out
         return out
 
@@ -41,12 +72,12 @@ class _Memo(dict):
 def encode(memo: _Memo, text: str) -> bytes:
     """The ids of a text.  The byte-level pre-tokeniser always starts a token at a single space between two other
     characters that are not white space, so the text is cut there and each span is encoded (or remembered) alone; a
-    text with other white space next to a space is cut only where the rule holds."""
+    text with other white space next to a space, or a space at an end, is cut only where the rule holds."""
     if not text:
         return b""
+    if text[0] != " " and text[-1] != " " and "\0" not in text and not _UNEVEN.search(text):
+        return b"".join(map(memo.__getitem__, text.replace(" ", "\0 ").split("\0")))
     spans = text.split(" ")
-    if "" not in spans and text.isprintable() and "\xa0" not in text:
-        return memo[spans[0]] + b"".join(map(memo.__getitem__, [" " + s for s in spans[1:]]))
     out, held = [], spans[0]
     for span in spans[1:]:
         if held and span and not held[-1].isspace() and not span[0].isspace():

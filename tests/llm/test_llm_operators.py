@@ -271,7 +271,7 @@ def test_packing(docs, rows):
     assert len(seats) <= -(-total // 256) + 1
 
 
-@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "a \n b", "x y z", "tab\t end", "it's we'll 12 3,4 ...", "été \U0001f600 <|endoftext|> x", "a　b c", "nul\x00 x \x1f y", "\n\n", " "])
+@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "a \n b", "x y z", "tab\t end", "it's we'll 12 3,4 ...", "été \U0001f600 <|endoftext|> x", "a　b c", "nul\x00 x \x1f y", "\n\n", " ", "\x85 a\xa0b \xad\u0250 ʰx ª² ½", "it's ’quoted’ 漢字 かな", "x" * 3000 + " y", "a\tb c\nd e"])
 def test_encoding_by_spans_equals_the_tokenizer(text):
     memo = packing._Memo(tokenizer_path())
     assert packing.encode(memo, text) == memo.ids(text)
