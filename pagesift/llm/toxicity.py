@@ -6,6 +6,8 @@ Every word gives its own vector and those of its character n-grams (with word-bo
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -115,11 +117,20 @@ def score_text(text: str, logits: np.ndarray, bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
+def _pack(at: np.ndarray) -> bytes:
+    """A sorted bag as compressed gaps, a third of its size on the way to the driver."""
+    return zlib.compress(np.diff(at, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<i4"), dtype=np.int32)
+
+
 def _bags(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bag(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["y", "bag"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack(bag(t)) for t in part.column(1).to_pylist()], pa.binary())], names=["y", "bag"])
 
 
 def id_remainder(id_col: str, modulus: int):
@@ -140,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t")).join(F.broadcast(sample), "id")
     # repeated rows of a document: each is one example
     got = rows.select("y", "t").mapInArrow(_bags, "y int, bag binary").collect()
-    return fit([(np.frombuffer(r["bag"], np.int32), r["y"]) for r in sorted(got, key=lambda r: (bytes(r["bag"]), r["y"]))])
+    return fit([(_unpack(r["bag"]), r["y"]) for r in sorted(got, key=lambda r: (bytes(r["bag"]), r["y"]))])
 
 
 def _scores(logits: np.ndarray, bias: float):
