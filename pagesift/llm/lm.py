@@ -27,7 +27,7 @@ WINDOW = 32
 #: Training passes; each takes the training documents of one slice of the id hashes, in parallel, and averages.
 ROUNDS, SLICES = 2, 16
 #: Most frequent tokens whose counts go to every worker (a bound on the broadcast); rarer ones are joined.
-HEAD = 200_000
+HEAD = 100_000
 #: Documents advance side by side in so many lanes.
 LANES, TRAIN_LANES = 256, 96
 #: Tokens that a task holds before it scores them.
@@ -376,7 +376,8 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, head:
     rem = id_remainder(id_col, modulus)
     counts = stage(token_counts(docs.where(rem != held_out), text_col), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["token"]), r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(head).collect()]
+    top = counts.orderBy(F.desc("c"), "token").limit(head).toArrow()
+    top = list(zip(top["token"].to_pylist(), top["c"].to_pylist()))
     net, vocabulary = train(docs.where(rem != held_out), top, total - sum(c for _, c in top), id_col=id_col, text_col=text_col)
     size = len(vocabulary)
     in_vocabulary = sum(c for _, c in top[:size])
