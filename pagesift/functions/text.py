@@ -89,10 +89,14 @@ _DEC_ENT = "&#([0-9]+);"
 
 
 def _decode_numeric(s: Column) -> Column:
+    def significant(d, most, value):
+        # leading zeros do not count; more digits than any code point has are out of range
+        return let(F.regexp_replace(d, "^0+(?=.)", ""), lambda x: F.when(F.length(x) <= most, value(x)))
+
     hexed = F.when(s.rlike(_HEX_ENT), _replace_numeric(
-        s, _HEX_ENT, lambda d: F.when(F.length(d) <= 8, F.conv(d, 16, 10).try_cast("bigint")))).otherwise(s)
+        s, _HEX_ENT, lambda d: significant(d, 8, lambda x: F.conv(x, 16, 10).try_cast("bigint")))).otherwise(s)
     return let(hexed, lambda t: F.when(t.rlike(_DEC_ENT), _replace_numeric(
-        t, _DEC_ENT, lambda d: F.when(F.length(d) <= 9, d.try_cast("bigint")))).otherwise(t))
+        t, _DEC_ENT, lambda d: significant(d, 9, lambda x: x.try_cast("bigint")))).otherwise(t))
 
 
 def decode_entities(c) -> Column:
@@ -127,11 +131,14 @@ def to_finite(c) -> Column:
     """Number(...) coercion of text; null unless finite.  Commas are dropped."""
     def parse(s):
         dec = F.when(s.rlike(_DEC_RE), s.try_cast("double"))
-        other = (
-            F.when(s.rlike(_HEX_RE), F.conv(F.substring(s, 3, 64), 16, 10).try_cast("double"))
-            .when(s.rlike(_OCT_RE), F.conv(F.substring(s, 3, 64), 8, 10).try_cast("double"))
-            .when(s.rlike(_BIN_RE), F.conv(F.substring(s, 3, 64), 2, 10).try_cast("double"))
-        )
+
+        def radix(base):
+            # summed as doubles: literals of any length, no overflow error
+            digits = F.regexp_extract_all(F.lower(F.regexp_replace(s, "^0.", "")), F.lit("."), F.lit(0))
+            value = lambda d: F.call_function("locate", d, F.lit("0123456789abcdef")) - 1
+            return F.aggregate(digits, F.lit(0.0), lambda acc, d: acc * F.lit(float(base)) + value(d))
+
+        other = F.when(s.rlike(_HEX_RE), radix(16)).when(s.rlike(_OCT_RE), radix(8)).when(s.rlike(_BIN_RE), radix(2))
         return let(F.coalesce(dec, other), lambda v: F.when(F.abs(v) <= F.lit(_MAX_DOUBLE), v))
 
     return let(F.regexp_replace(normalize_ws(col(c)), ",", ""), parse)

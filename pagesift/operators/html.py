@@ -7,7 +7,6 @@ after these steps so that nothing wide is ever shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -49,17 +48,38 @@ def elements_with_attribute(pages: DataFrame, attribute: str, tags: Iterable[str
 
     Order is (tag_ordinal, pos): all matches of the first tag, then the second…
     An element nested in another match is reported again under its own tag.
+    All tags come from one scan of the page.
     """
-    # an element carrying the attribute has its name in its raw text: this cheap
-    # test runs before attribute parsing (the filter is pushed below the projection)
-    needle = attribute.lower()
-    parts = [
-        extract_elements(pages, t, id_cols, html_col, with_text).filter(F.lower("raw").contains(needle))
-        .withColumn("tag_ordinal", F.lit(i))
-        for i, t in enumerate(tags)
-    ]
-    union = reduce(lambda a, b: a.unionByName(b), parts)
-    return union.filter(H.has_attr("attrs", attribute))
+    tags = tuple(tags)
+    found = pages.select(*id_cols, F.explode(raw_candidates(html_col, attribute, tags)).alias("_e")).select(*id_cols, "_e.*")
+    return with_attribute(found, attribute, tags, id_cols, with_text)
+
+
+def raw_candidates(html_col, attribute: str, tags: Sequence[str] = DEFAULT_BLOCK_TAGS):
+    """array<struct<tag_ordinal, pos, raw>>: matches of ``tags`` whose raw text names the attribute, in order.  A cheap
+    test before any attribute is parsed: an element carrying the attribute has its name in its raw text."""
+    def of(i, tag):
+        return F.transform(H.raw_matches(html_col, tag), lambda r, p: F.struct(F.lit(i).alias("tag_ordinal"), p.alias("pos"), r.alias("raw")))
+
+    both = F.concat(*[of(i, t) for i, t in enumerate(tags)])
+    return F.filter(both, lambda e: F.lower(e["raw"]).contains(attribute.lower()))
+
+
+def with_attribute(rows: DataFrame, attribute: str, tags: Sequence[str], id_cols: Sequence[str] = ("page_id",),
+                   with_text: bool = True) -> DataFrame:
+    """Rows (ids, tag_ordinal, pos, raw) -> element rows, those that carry the attribute."""
+    def part(group):
+        out = None
+        for i, t in enumerate(tags):
+            value, here = F.regexp_extract("raw", H.element_pattern(t), group), F.col("tag_ordinal") == i
+            out = F.when(here, value) if out is None else out.when(here, value)
+        return out
+
+    cols = [*id_cols, F.element_at(F.array(*[F.lit(t) for t in tags]), F.col("tag_ordinal") + 1).alias("tag"), F.col("pos"),
+            H.parse_attrs(H.attr_source(part(1))).alias("attrs"), part(2).alias("inner_html")]
+    if with_text:
+        cols.append(collapse_ws(part(2)).alias("text"))
+    return rows.select(*cols, "raw", "tag_ordinal").filter(H.has_attr("attrs", attribute))
 
 
 def extract_anchors(pages: DataFrame, id_cols: Sequence[str] = ("page_id",), html_col: str = "html",
@@ -134,7 +154,10 @@ def first_element_attr(pages: DataFrame, tag: str, attribute: str, id_cols: Sequ
     return pages.select(*id_cols, decode_entities(hit).alias(out))
 
 
+# Fixed value: a review block that photo extraction leaves out.
+REVIEW_ARTICLE_RE = r"""(?i)<article(?![A-Za-z0-9_])[^>]*data-review-id=["'][^"']+["'][\s\S]*?</article>"""
+
+
 def strip_review_blocks(pages: DataFrame, html_col: str = "html", out: str = "html") -> DataFrame:
     """Replace `<article … data-review-id="non-empty" …>…</article>` blocks by one space."""
-    pat = r"""(?i)<article(?![A-Za-z0-9_])[^>]*data-review-id=["'][^"']+["'][\s\S]*?</article>"""
-    return pages.withColumn(out, F.regexp_replace(F.col(html_col), pat, " "))
+    return pages.withColumn(out, F.regexp_replace(F.col(html_col), REVIEW_ARTICLE_RE, " "))

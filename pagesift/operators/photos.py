@@ -10,7 +10,7 @@ from ..functions import html as H
 from ..functions.ids import stable_id
 from ..functions.text import let, safe_trim, to_int, unique_strings
 from ..functions.urls import url_key
-from .html import extract_anchors, extract_images, strip_review_blocks
+from .html import REVIEW_ARTICLE_RE, strip_review_blocks
 
 _W = "[A-Za-z0-9_]"
 # Photo rule patterns.
@@ -28,27 +28,40 @@ def url_dimension(url, prefix: str) -> F.Column:
 
 def photo_candidates(pages: DataFrame, id_cols=("page_id",), html_col: str = "html") -> DataFrame:
     """Images (ordinal 0) then photo-host anchors (ordinal 1), with the
-    decision inputs and the record values (alt in the record = title for anchors)."""
-    img = extract_images(pages, id_cols, html_col).select(
-        *id_cols, F.lit(0).alias("source_ordinal"), "pos", "raw",
-        F.coalesce(safe_trim(H.attr("attrs", "data-photo-url")), safe_trim(H.attr("attrs", "src"))).alias("image_url"),
-        safe_trim(H.attr("attrs", "src")).alias("thumbnail_url"),
-        safe_trim(H.attr("attrs", "alt")).alias("alt_text"),
-        safe_trim(H.attr("attrs", "alt")).alias("context_alt"),
-        safe_trim(H.attr("attrs", "title")).alias("title_text"),
-        to_int(H.attr("attrs", "width")).alias("width"), to_int(H.attr("attrs", "height")).alias("height"),
-    ).filter(F.col("image_url").isNotNull())
-    a = extract_anchors(pages, id_cols, html_col, with_text=False)
-    a = a.withColumn("href", safe_trim("href")).filter(F.col("href").isNotNull() & F.col("href").rlike(PHOTO_HOST_RE))
-    anc = a.select(
-        *id_cols, F.lit(1).alias("source_ordinal"), "pos", "raw", F.col("href").alias("image_url"),
-        safe_trim(H.attr("attrs", "data-thumbnail-url")).alias("thumbnail_url"),
-        safe_trim(H.attr("attrs", "title")).alias("alt_text"),
-        F.coalesce(safe_trim(H.attr("attrs", "title")), safe_trim(H.attr("attrs", "aria-label"))).alias("context_alt"),
-        safe_trim(H.attr("attrs", "title")).alias("title_text"),
+    decision inputs and the record values (alt in the record = title for anchors).
+    Both come from one scan of the page."""
+    return candidates_from_raw(pages.select(*id_cols, F.explode(raw_candidates(html_col)).alias("_e")).select(*id_cols, "_e.*"), id_cols)
+
+
+def raw_candidates(html_col):
+    """array<struct<source_ordinal, pos, raw>>: image tags, then anchors with an href."""
+    def numbered(i, raws):
+        return F.transform(raws, lambda r, p: F.struct(F.lit(i).alias("source_ordinal"), p.alias("pos"), r.alias("raw")))
+
+    images = numbered(0, F.regexp_extract_all(html_col, F.lit(H.void_pattern("img")), F.lit(0)))
+    anchors = F.filter(numbered(1, H.raw_matches(html_col, "a")), lambda e: F.lower(e["raw"]).contains("href"))
+    return F.concat(images, anchors)
+
+
+def candidates_from_raw(rows: DataFrame, id_cols=("page_id",)) -> DataFrame:
+    """Rows (ids, source_ordinal, pos, raw) -> candidate rows."""
+    image = F.col("source_ordinal") == 0
+    head = F.when(image, F.regexp_extract("raw", H.void_pattern("img"), 1)).otherwise(F.regexp_extract("raw", H.element_pattern("a"), 1))
+    rows = rows.withColumn("attrs", H.parse_attrs(H.attr_source(head)))
+
+    def at(name):
+        return safe_trim(H.attr("attrs", name))
+
+    out = rows.select(
+        *id_cols, "source_ordinal", "pos", "raw",
+        F.when(image, F.coalesce(at("data-photo-url"), at("src"))).otherwise(at("href")).alias("image_url"),
+        F.when(image, at("src")).otherwise(at("data-thumbnail-url")).alias("thumbnail_url"),
+        F.when(image, at("alt")).otherwise(at("title")).alias("alt_text"),
+        F.when(image, at("alt")).otherwise(F.coalesce(at("title"), at("aria-label"))).alias("context_alt"),
+        at("title").alias("title_text"),
         to_int(H.attr("attrs", "width")).alias("width"), to_int(H.attr("attrs", "height")).alias("height"),
     )
-    return img.unionByName(anc)
+    return out.filter(F.col("image_url").isNotNull() & ((F.col("source_ordinal") == 0) | F.col("image_url").rlike(PHOTO_HOST_RE)))
 
 
 def keep_photo(kind: str, author_col: str | None = None) -> F.Column:
@@ -105,6 +118,16 @@ def place_photo_entries(pages: DataFrame, id_cols=("page_id", "url_key", "captur
     return dedup_photos(filter_photos(cands, "place"), keys=id_cols)
 
 
+def place_photo_array(html_col: str = "html"):
+    """The raw photo candidates of a place page without its review blocks, as one array."""
+    return raw_candidates(F.regexp_replace(html_col, REVIEW_ARTICLE_RE, " "))
+
+
+def photo_entries_from_raw(rows: DataFrame, id_cols=("page_id", "captured_at")) -> DataFrame:
+    """Rows (ids, source_ordinal, pos, raw) of place pages -> kept, de-duplicated entries."""
+    return dedup_photos(filter_photos(candidates_from_raw(rows, id_cols), "place"), keys=id_cols)
+
+
 def place_photo_records(entries: DataFrame, place_rows: DataFrame, join_key: str = "url_key") -> DataFrame:
     """Photo entries of each place's page -> photo records."""
     pl = place_rows.select(F.col("id").alias("place_id"), F.col("source_url").alias("_src"), join_key)
@@ -126,13 +149,18 @@ def place_photos(place_rows: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def review_photos(reviews: DataFrame, image_urls: DataFrame) -> DataFrame:
-    """(review_id, image_url) pairs joined to known reviews; unique URLs per
-    review; id = stable_id(place, review, url)."""
-    u = image_urls.select("review_id", safe_trim("image_url").alias("image_url")).filter(F.col("image_url").isNotNull())
-    u = u.groupBy("review_id", "image_url").agg(F.lit(1).alias("_one")).drop("_one")
-    r = reviews.select(F.col("id").alias("review_id"), "place_id", "place_url", F.col("source_url").alias("_rurl"),
-                       *[c for c in ("scraped_at",) if c in reviews.columns])
-    j = u.join(r, "review_id")
+    """Image URLs joined to known reviews; unique URLs per review; id = stable_id(place, review, url).
+
+    The key is the review's block (page_id, tag_ordinal, block_pos) where both sides have it, so blocks without an id
+    of their own keep their photos; else (place_id, review_id), else review_id."""
+    block, pair = ("page_id", "tag_ordinal", "block_pos"), ("place_id", "review_id")
+    known = reviews.withColumn("review_id", F.col("id"))
+    on = next((list(k) for k in (block, pair, ("review_id",)) if set(k) <= set(known.columns) and set(k) <= set(image_urls.columns)))
+    u = image_urls.select(*on, safe_trim("image_url").alias("image_url")).filter(F.col("image_url").isNotNull())
+    u = u.distinct()
+    keep = dict.fromkeys([*on, "review_id", "place_id", "place_url", "_rurl", *(c for c in ("scraped_at",) if c in reviews.columns)])
+    r = known.withColumn("_rurl", F.col("source_url")).select(*keep).dropDuplicates(list(dict.fromkeys([*on, "place_id", "review_id"])))
+    j = u.join(r, on)
     return j.select(
         stable_id("place_id", "review_id", "image_url").alias("id"), "place_id", "place_url", "review_id",
         safe_trim("_rurl").alias("review_url"), F.lit("review").alias("photo_kind"), "image_url",

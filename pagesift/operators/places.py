@@ -69,16 +69,17 @@ def _tagged(html, tags, attribute):
     return F.filter(both, lambda e: H.has_attr(e["attrs"], attribute))
 
 
-def place_page_fields(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def place_page_fields(pages: DataFrame, html_col: str = "html", keep: tuple = ()) -> DataFrame:
     """Page-local extraction for place pages; the result has no HTML.
 
     Output: page_id, url_key, captured_at and struct ``p`` with every page-side
     candidate the fallbacks need.  Expensive text fallbacks (whole page text) are
-    only evaluated for pages lacking the structured value.
+    only evaluated for pages lacking the structured value.  ``keep`` names further
+    columns of ``pages`` to carry along.
     """
     html = F.col(html_col)
     stage1 = pages.select(
-        "page_id", url_key("url").alias("url_key"), "captured_at", html,
+        "page_id", url_key("url").alias("url_key"), "captured_at", html, *keep,
         H.tag_attr_lists(html, "meta").alias("_metas"),
         H.first(F.filter(H.jsonld_objects(html), _is_place_obj)).alias("_obj"),
         F.transform(
@@ -87,7 +88,7 @@ def place_page_fields(pages: DataFrame, html_col: str = "html") -> DataFrame:
     )
     hrefs = F.transform(F.filter("_a_attrs", lambda a: H.has_attr(a, "href")), lambda a: safe_trim(H.attr(a, "href")))
     stage2 = stage1.select(
-        "page_id", "url_key", "captured_at", html,
+        "page_id", "url_key", "captured_at", html, *keep,
         jsonld_place_fields("_obj").alias("j"),
         H.meta_content("_metas", TITLE_META).alias("meta_title"),
         H.meta_content("_metas", DESC_META).alias("meta_desc"),
@@ -115,7 +116,7 @@ def place_page_fields(pages: DataFrame, html_col: str = "html") -> DataFrame:
     rc_page = F.when(need_rc, F.coalesce(rating_count("meta_desc"), rating_count(page_text)))
     stage3 = stage2.withColumn("_html_address", F.when(F.col("j.address").isNull(), html_address))
     return stage3.select(
-        "page_id", "url_key", "captured_at",
+        "page_id", "url_key", "captured_at", *keep,
         F.struct(
             F.col("j").alias("j"), "meta_title", "meta_desc", "title_text", "canonical",
             F.coalesce(F.substring(phone1, 5, 1 << 30), phone2).alias("phone"),

@@ -74,20 +74,29 @@ def reconcile_progress(job_keywords: DataFrame, ledger: DataFrame) -> DataFrame:
                                         F.col("next_keyword_index").cast("int").alias("next_keyword_index"))
 
 
-def advance_progress(ledger: DataFrame, batch_results: DataFrame, batch_places: DataFrame,
+def skip_completed_searches(search_pages: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Search pages of keywords that the ledger has not completed, so that completed ones are neither parsed nor
+    counted.  The other side is the ledger's completed (region, keyword) pairs."""
+    done = keyword_rows(ledger).filter("completed").select("region", "keyword").distinct()
+    return search_pages.join(done, ["region", "keyword"], "left_anti")
+
+
+def advance_progress(ledger: DataFrame, processed: DataFrame, batch_results: DataFrame, batch_places: DataFrame,
                      now_col: F.Column | None = None) -> DataFrame:
-    """Upsert after a batch.  next_place_index = max(stored, max processed
-    0-based index + 1); keywords processed in the batch are completed; ids of
-    places processed (duplicates advance the index but add no id) are unioned."""
+    """Upsert after a batch.  ``processed`` (region, keyword, keyword_index) are the searches that the batch
+    worked through to their end: exactly these become completed, also those without any result or with none left
+    beyond next_place_index.  next_place_index = max(stored, max processed 0-based index + 1); ids of places processed
+    (duplicates advance the index but add no id) are unioned."""
     now = now_col if now_col is not None else F.current_timestamp()
     kw = keyword_rows(ledger).select("region", "keyword", "keyword_index", "next_place_index", "completed")
+    seen = processed.groupBy("region", "keyword").agg(F.min("keyword_index").cast("int").alias("_pi"), F.lit(True).alias("_seen"))
     batch = batch_results.groupBy("region", "keyword").agg(
         F.max("rank").cast("int").alias("_n"), F.min("keyword_index").cast("int").alias("_ki"))
-    merged = kw.join(batch, ["region", "keyword"], "full_outer").select(
+    merged = kw.join(seen, ["region", "keyword"], "full_outer").join(batch, ["region", "keyword"], "full_outer").select(
         "region", "keyword",
-        F.coalesce("keyword_index", "_ki").alias("keyword_index"),
+        F.coalesce("keyword_index", "_pi", "_ki").alias("keyword_index"),
         F.greatest(F.coalesce("next_place_index", F.lit(0)), F.coalesce("_n", F.lit(0))).alias("next_place_index"),
-        (F.coalesce("completed", F.lit(False)) | F.col("_n").isNotNull()).alias("completed"),
+        (F.coalesce("completed", F.lit(False)) | F.coalesce("_seen", F.lit(False))).alias("completed"),
         F.lit(None).cast("string").alias("place_id"), now.alias("updated_at"),
     )
     ids = completed_ids(ledger).unionByName(batch_places.select("region", F.col("id").alias("place_id"))).distinct()

@@ -10,8 +10,10 @@ from ..functions.ids import stable_id
 from ..functions.labels import LIKES_RE, RATING_RE
 from ..functions.text import WS, collapse_ws, let, safe_trim, to_finite, to_int, unique_strings
 from ..functions.urls import url_key
-from .html import DEFAULT_BLOCK_TAGS, elements_with_attribute
+from .html import DEFAULT_BLOCK_TAGS, elements_with_attribute, raw_candidates, with_attribute
 
+# Attribute names and label patterns of review blocks.
+REVIEW_ATTR = "data-review-id"
 NESTED_TAGS = ("span", "div", "p", "a", "time")
 AUTHOR_ATTRS = ("data-author-name", "data-author", "data-review-author")
 PROFILE_ATTRS = ("data-author-url", "data-profile-url", "href")
@@ -28,7 +30,27 @@ STRIP_FOR_TEXT = (r"(?i)<time(?![A-Za-z0-9_])[\s\S]*?</time>", r"(?i)<img(?![A-Z
 
 def review_blocks(pages: DataFrame, id_cols=("page_id",), html_col: str = "html") -> DataFrame:
     """Elements with data-review-id on article, div, li — in that order."""
-    return elements_with_attribute(pages, "data-review-id", DEFAULT_BLOCK_TAGS, id_cols, html_col, with_text=False)
+    return elements_with_attribute(pages, REVIEW_ATTR, DEFAULT_BLOCK_TAGS, id_cols, html_col, with_text=False)
+
+
+def review_block_array(html_col: str = "html", limit: int | None = None):
+    """The raw review blocks of a page as one array, in order; with a limit the first max(limit, 1) of them, so that
+    the others are never parsed."""
+    blocks = raw_candidates(html_col, REVIEW_ATTR, DEFAULT_BLOCK_TAGS)
+
+    def carries(e):
+        out = None
+        for i, t in enumerate(DEFAULT_BLOCK_TAGS):
+            found = H.has_attr(H.parse_attrs(H.attr_source(F.regexp_extract(e["raw"], H.element_pattern(t), 1))), REVIEW_ATTR)
+            out = F.when(e["tag_ordinal"] == i, found) if out is None else out.when(e["tag_ordinal"] == i, found)
+        return out
+
+    return blocks if limit is None else F.slice(F.filter(blocks, carries), 1, max(int(limit), 1))
+
+
+def review_blocks_from_raw(rows: DataFrame, id_cols=("page_id", "captured_at")) -> DataFrame:
+    """Rows (ids, tag_ordinal, pos, raw) -> O40 rows."""
+    return with_attribute(rows, REVIEW_ATTR, DEFAULT_BLOCK_TAGS, id_cols, with_text=False)
 
 
 def _nested_elements(fragment, attrs):
@@ -116,6 +138,7 @@ def review_records(parsed: DataFrame, place_rows: DataFrame, limit: int | None =
         F.array().cast("array<string>").alias("photo_ids"),
         *[c for c in ("scraped_at",) if c in parsed.columns],
         "raw_label", (F.col("_n") - 1).alias("block_index"),
+        *[F.col(c).alias(a) for c, a in (("page_id", "page_id"), ("tag_ordinal", "tag_ordinal"), ("pos", "block_pos")) if c in parsed.columns],
     )
 
 
@@ -147,4 +170,6 @@ def normalize_reviews(place_rows: DataFrame, raw: DataFrame) -> DataFrame:
         to_finite("rating").alias("rating"), F.col("_pub").alias("published_at"), F.col("_text").alias("text"),
         safe_trim("translated_text").alias("translated_text"), to_int("likes").alias("likes"),
         F.col("_src").alias("source_url"), unique_strings("photo_ids").alias("photo_ids"),
+        (safe_trim("raw_label") if "raw_label" in raw.columns else F.lit(None).cast("string")).alias("raw_label"),
+        (F.col("scraped_at") if "scraped_at" in raw.columns else F.lit(None)).cast("timestamp").alias("scraped_at"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,28 +16,31 @@ from ..functions.urls import is_listing_link, resolve_url, search_url
 SEARCH_KEYS = ("keyword", "region")
 
 
-def build_search_seeds(keywords: DataFrame, region: str, text_col: str = "text",
+def build_search_seeds(keywords: DataFrame, region, text_col: str = "text",
                        order_col: str = "line_no") -> DataFrame:
-    """keyword_index, keyword, region, search_url for one region (as a job has one).
+    """keyword_index, keyword, region, search_url for one region or a list of them (one job each, repeated regions
+    count once).  No region or no keyword at all is a ValueError.
 
     Keyword texts are split on ``[,;\\n]+``, trimmed, blanks dropped, duplicates
     removed keeping the first (line, position); the dense index follows that order.
     The first-seen step is a partial aggregate; the dense index is a window over
     the distinct keywords only (a job-sized list).
     """
-    if not region or not region.strip():
+    regions = [" ".join(r.split()) for r in ([region] if isinstance(region, str) or region is None else region) if r and r.strip()]
+    if not regions:
         raise ValueError("A region is required to build a scrape job.")
     exploded = keywords.select(F.col(order_col).alias("_line"),
                                F.posexplode(F.split(F.col(text_col), "[,;\n]+", -1)).alias("_pos", "_raw"))
     firsts = (exploded.select("_line", "_pos", safe_trim("_raw").alias("keyword"))
               .filter(F.col("keyword").isNotNull())
               .groupBy("keyword").agg(F.min(F.struct("_line", "_pos")).alias("_first")))
+    if firsts.isEmpty():
+        raise ValueError("At least one keyword is required to build a scrape job.")
     idx = F.row_number().over(Window.orderBy("_first")) - 1
-    reg = " ".join(region.split())
-    return firsts.select(
-        idx.cast("int").alias("keyword_index"), "keyword", F.lit(reg).alias("region"),
-        search_url(F.col("keyword"), F.lit(reg)).alias("search_url"),
-    )
+    indexed = firsts.select(idx.cast("int").alias("keyword_index"), "keyword",
+                            F.array(*[F.lit(r) for r in dict.fromkeys(regions)]).alias("_regions"))
+    return indexed.select("keyword_index", "keyword", F.explode("_regions").alias("region")).withColumn(
+        "search_url", search_url(F.col("keyword"), F.col("region")))
 
 
 def filter_listing_links(anchors: DataFrame, kind: str = "place", href_col: str = "href") -> DataFrame:
@@ -70,9 +75,13 @@ def rank_and_limit(links: DataFrame, limit: int | None, keys=SEARCH_KEYS, page_c
         local = local.filter(F.col("_local") <= lim)
     counts = local.groupBy(*keys, page_col).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy(page_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, page_col, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    ranked = local.join(offsets, [*keys, page_col]).withColumn(
-        "rank", (F.col("_off") + F.col("_local")).cast("int")).drop("_off", "_local")
+    on = (*keys, page_col)
+    offsets = counts.select(*[F.col(c).alias(f"_o_{c}") for c in on],
+                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # null-safe: a page without a number (sorted first) keeps its links
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in on])
+    ranked = local.join(offsets, same).withColumn(
+        "rank", (F.col("_off") + F.col("_local")).cast("int")).drop("_off", "_local", *[f"_o_{c}" for c in on])
     if lim is not None:
         ranked = ranked.filter(F.col("rank") <= lim)
     return ranked
@@ -102,12 +111,24 @@ def listing_anchors(pages: DataFrame) -> DataFrame:
     return a.select(*ids, "pos", resolve_url(safe_trim("href")).alias("place_url"), label.alias("raw_label"))
 
 
+def newest_captures(pages: DataFrame, keys=(*SEARCH_KEYS, "page_no")) -> DataFrame:
+    """page_id of the newest capture of each search page (the higher page_id of equal times).  Reads narrow columns
+    only; a partial aggregate, so a page captured very often collapses before the shuffle."""
+    newest = pages.groupBy(*keys).agg(F.max(F.struct("captured_at", "page_id")).alias("_n"))
+    return newest.select(F.col("_n.page_id").alias("page_id"))
+
+
 def search_results(pages: DataFrame, limit: int | None = None, keywords: DataFrame | None = None) -> DataFrame:
-    """Search page snapshots -> search_results rows.
+    """Search page snapshots -> search_results rows; of several captures of one search page the newest counts.
 
     ``keywords`` (keyword, keyword_index) attaches the job's keyword order.
     """
-    links = listing_anchors(pages)
+    return results_from_links(listing_anchors(pages), pages, limit, keywords)
+
+
+def results_from_links(links: DataFrame, pages: DataFrame, limit: int | None = None, keywords: DataFrame | None = None) -> DataFrame:
+    """O24 from extracted links and the (narrow) table of the search pages they come from."""
+    links = links.join(newest_captures(pages), "page_id", "left_semi")
     first = dedup_links(links, payload=("page_id", "raw_label", "captured_at"))
     ranked = rank_and_limit(first, limit)
     parsed = parse_result_labels(ranked)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,65 +36,69 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     and lets several outputs reuse it without recomputation."""
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def prune_to_results(place_pages: DataFrame, pending: DataFrame, max_keys: int) -> DataFrame:
-    """Keep only pages some pending result points at, *if* the set of wanted URL
-    keys is provably small: it is counted (on staged, narrow rows) and broadcast
-    only when at most ``max_keys``.  Beyond that bound pages are not pruned — every
-    page is parsed page-locally and joined later on narrow rows — so the HTML side
-    is never shuffled either way."""
-    from ..functions.urls import url_key
+def extract_place_pages(place_pages: DataFrame, max_reviews: int | None = DEFAULT_MAX_REVIEWS) -> DataFrame:
+    """One page-local pass over place pages: the field struct, the raw review blocks up to the limit and the raw photo
+    candidates.  Everything later reads these narrow rows, so the HTML is read once and never shuffled."""
+    arrays = place_pages.withColumns({"_blocks": RV.review_block_array("html", max_reviews), "_photos": P.place_photo_array("html")})
+    return PL.place_page_fields(arrays, keep=("_blocks", "_photos"))
 
-    wanted = pending.select(url_key("place_url").alias("_k")).distinct()
-    n = wanted.limit(max_keys + 1).count()
-    if n > max_keys:
-        return place_pages
-    return place_pages.join(F.broadcast(wanted), url_key("url") == F.col("_k"), "left_semi")
 
-
-def run_pipeline(spark: SparkSession, keywords: DataFrame, search_pages: DataFrame, place_pages: DataFrame,
-                 ledger: DataFrame | None = None, max_places: int = DEFAULT_MAX_PLACES,
-                 max_reviews: int = DEFAULT_MAX_REVIEWS, dry_run: bool = False,
-                 staged: bool = True, prune_pages: bool = True,
-                 prune_max_keys: int = 2_000_000) -> PipelineResult:
-    """search -> skip completed -> places -> dedup -> {reviews + limit, photos}
-    -> advanced ledger and run summary.  One lazy DAG per output; the HTML is
-    only ever read by page-local projections and never shuffled."""
-    ledger = ledger if ledger is not None else G.empty_ledger(spark)
-    if dry_run:
-        empty = spark.range(0)
-        sr = S.search_results(search_pages.limit(0), max_places, keywords)
-        pl = PL.places(sr, PL.place_page_fields(place_pages.limit(0)))
-        return PipelineResult(sr, pl, empty, empty, ledger, G.run_summary(sr, pl, empty, empty))
-
-    results = S.search_results(search_pages, max_places, keywords)
-    if staged:
-        results = stage(spark, results, "search_results")
-    pending = G.skip_completed_results(results, ledger)
-    if prune_pages:
-        place_pages = prune_to_results(place_pages, pending, prune_max_keys)
-
-    fields = latest_per_url(PL.place_page_fields(place_pages))
+def place_tables(spark: SparkSession, pending: DataFrame, extract: DataFrame, ledger: DataFrame, max_reviews: int,
+                 staged: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pending results and extracted pages -> (places, reviews, photos) without completed places.  Blocks and photos are
+    parsed only on the pages of the places that are kept."""
+    fields = latest_per_url(extract.drop("_blocks", "_photos"))
     place_rows = G.skip_completed_places(PL.dedup_places(PL.places(pending, fields)), ledger)
     if staged:
         place_rows = stage(spark, place_rows, "places")
     by_page = place_rows.withColumn("page_id", F.col("place_page_id"))
+    wanted = extract.select("page_id", "captured_at", "_blocks", "_photos").join(by_page.select("page_id").distinct(), "page_id", "left_semi")
+
+    def rows(array):
+        return wanted.select("page_id", "captured_at", F.explode(array).alias("_e")).select("page_id", "captured_at", "_e.*")
 
-    blocks = RV.parse_review_blocks(RV.review_blocks(place_pages, id_cols=("page_id", "captured_at")))
-    reviews = RV.review_records(blocks.withColumnRenamed("captured_at", "scraped_at"), by_page, max_reviews,
-                                join_key="page_id")
-    entries = P.place_photo_entries(place_pages, id_cols=("page_id", "captured_at"))
-    photos = P.place_photo_records(entries, by_page, join_key="page_id")
+    blocks = RV.parse_review_blocks(RV.review_blocks_from_raw(rows("_blocks")))
+    reviews = RV.review_records(blocks.withColumnRenamed("captured_at", "scraped_at"), by_page, max_reviews, join_key="page_id")
+    photos = P.place_photo_records(P.photo_entries_from_raw(rows("_photos")), by_page, join_key="page_id")
     if staged:
         # independent outputs of the same staged places: submit both jobs at once
-        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            done = [pool.submit(stage, spark, df, name) for df, name in ((reviews, "reviews"), (photos, "photos"))]
+            reviews, photos = (d.result() for d in done)
+    return place_rows, reviews, photos
 
+
+def processed_searches(search_pages: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(region, keyword, keyword_index) of the searches whose pages are given."""
+    return search_pages.select("region", "keyword").distinct().join(keywords.select("keyword", "keyword_index"), "keyword", "left")
+
+
+def run_pipeline(spark: SparkSession, keywords: DataFrame, search_pages: DataFrame, place_pages: DataFrame,
+                 ledger: DataFrame | None = None, max_places: int = DEFAULT_MAX_PLACES,
+                 max_reviews: int = DEFAULT_MAX_REVIEWS, dry_run: bool = False,
+                 staged: bool = True) -> PipelineResult:
+    """search -> skip completed -> places -> dedup -> {reviews + limit, photos}
+    -> advanced ledger and run summary.
+
+    Searches that the ledger has completed are left out before their pages are
+    parsed, so they are not counted.  ``dry_run`` gives the same tables without rows,
+    and the ledger as it is."""
+    ledger = ledger if ledger is not None else G.empty_ledger(spark)
+    if dry_run:
+        search_pages, place_pages, staged = search_pages.limit(0), place_pages.limit(0), False
+    open_pages = G.skip_completed_searches(search_pages, ledger)
+    results = S.search_results(open_pages, max_places, keywords)
+    extract = extract_place_pages(place_pages, max_reviews)
+    if staged:
+        # the two passes over captured HTML are independent of each other
         with ThreadPoolExecutor(max_workers=2) as pool:
-            fr = pool.submit(stage, spark, reviews, "reviews")
-            fp = pool.submit(stage, spark, photos, "photos")
-            reviews, photos = fr.result(), fp.result()
-    progress = G.advance_progress(ledger, pending, place_rows)
+            done = [pool.submit(stage, spark, df, name) for df, name in ((results, "search_results"), (extract, "place_extract"))]
+            results, extract = (d.result() for d in done)
+    pending = G.skip_completed_results(results, ledger)
+    place_rows, reviews, photos = place_tables(spark, pending, extract, ledger, max_reviews, staged)
+    progress = ledger if dry_run else G.advance_progress(ledger, processed_searches(open_pages, keywords), pending, place_rows)
     summary = G.run_summary(results, place_rows, reviews, photos)
     return PipelineResult(results, place_rows, reviews, photos, progress, summary)

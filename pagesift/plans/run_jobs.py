@@ -124,16 +124,23 @@ def q_reconcile_progress(spark, sf):
 
 
 @query("advance_progress", oracle=f"""WITH {L.search_ctes(MP)}, {LEDGER_SQL},
+nk AS (SELECT n_name, n_nationkey FROM nation),
 pend AS (SELECT keyword, region, max(rank) AS mx FROM sr JOIN lg ON lregion = region AND lkeyword = keyword
          WHERE NOT completed AND rank - 1 >= next_place_index GROUP BY keyword, region)
 SELECT lregion AS region, lkeyword AS keyword, CAST(greatest(next_place_index, coalesce(mx, 0)) AS INTEGER) AS next_place_index,
-  completed OR mx IS NOT NULL AS completed
-FROM lg LEFT JOIN pend ON pend.region = lregion AND pend.keyword = lkeyword""")
+  completed OR n_nationkey % 3 <> 1 AS completed
+FROM lg JOIN nk ON n_name = lregion LEFT JOIN pend ON pend.region = lregion AND pend.keyword = lkeyword
+UNION ALL SELECT n_name, 'no results', 0, n_nationkey % 3 <> 1 FROM nk WHERE n_nationkey % 3 <> 1""")
 def q_advance_progress(spark, sf):
+    """Two thirds of the regions are worked through, each with one more keyword that has no result; in some of them
+    nothing is left beyond the stored index."""
     led = ledger_df(spark, sf, with_ids=False)
     res = pipeline(spark, sf).search_results
     pend = G.skip_completed_results(res, led)
-    adv = G.advance_progress(led, pend, spark.createDataFrame([], "region string, id string"))
+    nat = spark.read.parquet(f"{sf}/nation.parquet").filter("n_nationkey % 3 <> 1").select(F.col("n_name").alias("region"))
+    processed = led.join(nat, "region").select("region", "keyword", "keyword_index").unionByName(
+        nat.select("region", F.lit("no results").alias("keyword"), F.lit(99).alias("keyword_index")))
+    adv = G.advance_progress(led, processed, pend, spark.createDataFrame([], "region string, id string"))
     return G.keyword_rows(adv).select("region", "keyword", "next_place_index", "completed")
 
 

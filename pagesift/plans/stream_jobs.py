@@ -24,8 +24,8 @@ from .registry import query
 def q_stream_places(spark, sf):
     src = scratch_path(spark, "stream-in")
     pages = R.stored(spark, sf, "search_pages")
-    # each file holds whole searches (all pages of a keyword/region arrive together)
-    pages.repartition(2, "keyword", "region").write.parquet(src)
+    # the pages of a search are spread over the files
+    pages.repartition(2, "page_id").write.parquet(src)
     out = scratch_path(spark, "stream-out")
     paths = stream_pipeline(spark, src, pages.schema, R.stored(spark, sf, "place_pages"), R.segments(spark, sf),
                             out, scratch_path(spark, "stream-ckpt"), MP, MR, files_per_trigger=1)

@@ -5,62 +5,72 @@ map that is never evicted).  With ``bound`` set, a watermark of that size is
 declared and a key's state expires once event time passes its last event plus
 the bound, which keeps state bounded.  Rows of one key in a micro-batch are
 processed in (ts, seq) order.
+
+All text is normalised by the batch job's expressions before grouping; the stateful
+step only carries the last receive forward, in one vectorised pass per key.  One
+key's rows of one micro-batch meet in one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.text import safe_trim
+from ..operators.netlog import FINISHED, RECEIVED
+
 OUT_SCHEMA = ("request_id string, url string, status int, mime_type string, body string, "
               "base64_encoded boolean, timestamp timestamp, seq bigint")
 STATE_SCHEMA = "url string, status int, mime_type string, last_ts timestamp"
-_WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
-
-
-def _norm(s):
-    if s is None or (isinstance(s, float) and pd.isna(s)):
-        return None
-    import re
-
-    t = re.sub(_WS, " ", str(s)).strip(" ")
-    return t or None
 
 
 def _make_fn(bound_ms: int | None):
     def fn(key, pdfs, state):
+        import numpy as np
+        import pandas as pd
+
         if state.hasTimedOut:
             state.remove()
             return
-        frames = [p for p in pdfs]
-        batch = pd.concat(frames).sort_values(["ts", "seq"], kind="stable") if frames else pd.DataFrame()
-        last = state.get if state.exists else None
-        out = []
-        for r in batch.itertuples(index=False):
-            if r.event_type == "responseReceived":
-                last = (_norm(r.url) or "", None if pd.isna(r.status) else int(r.status), _norm(r.mime_type), r.ts)
-            elif r.event_type == "loadingFinished" and last is not None and not bool(r.body_failed):
-                out.append((key[0], last[0], last[1], last[2], _norm(r.body), bool(r.base64) if r.base64 is not None
-                            else False, r.ts, int(r.seq)))
-        if last is not None:
-            state.update(last)
+        batch = pd.concat(list(pdfs)).sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
+        old = state.get if state.exists else None
+        received = batch["received"].to_numpy(bool)
+        at = np.maximum.accumulate(np.where(received, np.arange(len(batch)), -1))
+        done = ~received & ~batch["body_failed"].to_numpy(bool) & ((at >= 0) | (old is not None))
+        rows, src = batch[done], at[done]
+        out = pd.DataFrame({"request_id": key[0]}, index=range(len(rows)))
+        for name, was in zip(("url", "status", "mime_type"), old or (None, None, None)):
+            values = batch[name].astype(object).to_numpy()[np.maximum(src, 0)]
+            out[name] = [was if i < 0 else None if pd.isna(v) else v for i, v in zip(src, values)]
+        out["status"] = out["status"].astype("Int32")
+        for name, col in (("body", "body"), ("base64_encoded", "base64"), ("timestamp", "ts"), ("seq", "seq")):
+            out[name] = rows[col].to_numpy()
+        if len(batch) and at[-1] >= 0:
+            last = batch.iloc[at[-1]]
+            old = (last["url"], None if pd.isna(last["status"]) else int(last["status"]), last["mime_type"], last["ts"])
+        if old is not None:
+            state.update(old)
             if bound_ms is not None and len(batch):
-                state.setTimeoutTimestamp(int(pd.Timestamp(batch["ts"].max()).value // 1_000_000) + bound_ms)
-        cols = ["request_id", "url", "status", "mime_type", "body", "base64_encoded", "timestamp", "seq"]
-        yield pd.DataFrame(out, columns=cols)
+                state.setTimeoutTimestamp(max(int(batch["ts"].max().value // 1_000_000) + bound_ms, state.getCurrentWatermarkMs() + 1))
+        yield out
 
     return fn
 
 
-def stream_correlate_responses(events: DataFrame, bound: str | None = None, bound_ms: int | None = None) -> DataFrame:
-    """``events``: a streaming DataFrame with the net_events columns."""
-    ev = events.withColumn("request_id", F.trim("request_id")).filter(
-        F.col("request_id").isNotNull() & (F.col("request_id") != ""))
-    timeout = GroupStateTimeout.NoTimeout
+def stream_correlate_responses(events: DataFrame, bound: str | None = None) -> DataFrame:
+    """``events``: a streaming DataFrame with the net_events columns.  ``bound`` (such as "1 hour"): how late an event
+    may be, and how long after a request's last event its receive is kept; without it state is kept for ever."""
+    ev = events.withColumn("request_id", safe_trim("request_id")).filter(
+        F.col("request_id").isNotNull() & F.col("event_type").isin(RECEIVED, FINISHED))
+    ev = ev.select("request_id", "ts", "seq", (F.col("event_type") == RECEIVED).alias("received"),
+                   F.coalesce(safe_trim("url"), F.lit("")).alias("url"), "status", safe_trim("mime_type").alias("mime_type"),
+                   safe_trim("body").alias("body"), F.coalesce("base64", F.lit(False)).alias("base64"),
+                   F.coalesce("body_failed", F.lit(False)).alias("body_failed"))
+    timeout, bound_ms = GroupStateTimeout.NoTimeout, None
     if bound is not None:
+        import pandas as pd
+
         ev = ev.withWatermark("ts", bound)
-        timeout = GroupStateTimeout.EventTimeTimeout
-    return ev.groupBy("request_id").applyInPandasWithState(
-        _make_fn(bound_ms if bound is not None else None), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+        timeout, bound_ms = GroupStateTimeout.EventTimeTimeout, int(pd.Timedelta(bound).total_seconds() * 1000)
+    return ev.groupBy("request_id").applyInPandasWithState(_make_fn(bound_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)

@@ -1,10 +1,14 @@
 """The listing pipeline over arriving search-page snapshot files.
 
-Each micro-batch runs the batch pipeline on its snapshots, drops places already
-stored by *earlier* batches (first arrival wins), and writes places, reviews,
-photos and the advanced ledger under ``batch_id=<n>`` with overwrite, so a
-replayed batch rewrites exactly the same output (data and ledger are committed
-together per batch).  Within a batch, first wins by (keyword_index, rank).
+A search's pages may arrive in any batches, and ranks, the limit and first-wins
+hold over the whole search, so places can only be decided when the search has
+ended.  Each micro-batch therefore extracts its links, once, and appends them as
+narrow rows under ``batch_id=<n>`` (a replayed batch overwrites its own folder).
+When the input is drained, every search seen and not yet completed has ended: the
+place stage runs on the stored links, and places, reviews, photos and the ledger
+are appended under ``run_id=<n>``.  The ledger is written last and commits the run;
+a run that failed before it is repeated with the same id and overwrites its output.
+Place pages are extracted once a call and not read again.
 """
 
 from __future__ import annotations
@@ -15,56 +19,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import progress as G
-from ..plans.pipeline import run_pipeline
+from ..operators import search as S
+from ..plans.pipeline import extract_place_pages, place_tables, processed_searches, stage
 
 TABLES = ("places", "reviews", "photos", "progress")
+PAGE_COLS = ("page_id", "keyword", "region", "page_no", "captured_at")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
 
 
-def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if not _exists(spark, path):
-        return None
-    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
+def current_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The ledger from its appended parts, and the next run id: of every keyword the newest row; every place id."""
+    parts = _stored(spark, path)
+    if parts is None:
+        return G.empty_ledger(spark), 0
+    last = parts.agg(F.max("run_id")).first()[0]
+    cols = [c for c in G.LEDGER_SCHEMA.fieldNames() if c not in ("region", "keyword")]
+    kw = (G.keyword_rows(parts).groupBy("region", "keyword").agg(F.max_by(F.struct(*cols), "run_id").alias("_r"))
+          .select("region", "keyword", "_r.*"))
+    ids = parts.filter(F.col("place_id").isNotNull()).drop("run_id").dropDuplicates(["region", "place_id"])
+    return kw.unionByName(ids).select(*G.LEDGER_SCHEMA.fieldNames()), int(last) + 1
 
 
 def stream_pipeline(spark: SparkSession, snapshot_dir: str, snapshot_schema, place_pages: DataFrame,
                     keywords: DataFrame, out_dir: str, checkpoint_location: str, max_places: int = 25,
                     max_reviews: int = 20, files_per_trigger: int = 1):
-    """Start the stream (trigger availableNow) and block until the input is drained."""
+    """Drain the stream (trigger availableNow), then work through the searches that ended."""
     out = out_dir.rstrip("/")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        prev_ledger = _before(spark, f"{out}/progress", batch_id)
-        if prev_ledger is not None:
-            last = prev_ledger.agg(F.max("batch_id")).first()[0]
-            ledger = prev_ledger.filter(F.col("batch_id") == last).drop("batch_id") if last is not None else None
-        else:
-            ledger = None
-        res = run_pipeline(spark, keywords, batch, place_pages, ledger, max_places, max_reviews,
-                           staged=True, prune_pages=True)
-        places = res.places
-        known = _before(spark, f"{out}/places", batch_id)
-        if known is not None:
-            places = places.join(known.select("region", "id"), ["region", "id"], "left_anti")
-        ids = places.select(F.col("id").alias("place_id"))
-        outputs = {
-            "places": places,
-            "reviews": res.reviews.join(ids, "place_id", "left_semi"),
-            "photos": res.photos.join(ids, "place_id", "left_semi"),
-            "progress": G.advance_progress(ledger if ledger is not None else G.empty_ledger(spark),
-                                           G.skip_completed_results(res.search_results, ledger)
-                                           if ledger is not None else res.search_results, places),
-        }
-        for name, df in outputs.items():
-            df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        batch.select(*PAGE_COLS).write.mode("overwrite").parquet(f"{out}/search_pages/batch_id={batch_id}")
+        S.listing_anchors(batch).write.mode("overwrite").parquet(f"{out}/links/batch_id={batch_id}")
 
     src = (spark.readStream.schema(snapshot_schema).option("maxFilesPerTrigger", files_per_trigger)
            .parquet(snapshot_dir))
     q = (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    finish_searches(spark, place_pages, keywords, out, max_places, max_reviews)
     return {name: os.path.join(out, name) for name in TABLES}
+
+
+def finish_searches(spark: SparkSession, place_pages: DataFrame, keywords: DataFrame, out: str, max_places: int, max_reviews: int) -> None:
+    """The place stage for stored searches that the ledger has not completed; appends one run, or nothing."""
+    pages = _stored(spark, f"{out}/search_pages")
+    if pages is None:
+        return
+    ledger, run = current_ledger(spark, f"{out}/progress")
+    open_pages = G.skip_completed_searches(pages, ledger)
+    if open_pages.isEmpty():
+        return
+    links = G.skip_completed_searches(spark.read.parquet(f"{out}/links"), ledger)
+    results = stage(spark, S.results_from_links(links, open_pages, max_places, keywords), "stream_results")
+    pending = G.skip_completed_results(results, ledger)
+    extract = stage(spark, extract_place_pages(place_pages, max_reviews), "stream_extract")
+    tables = place_tables(spark, pending, extract, ledger, max_reviews)
+    for name, df in zip(("places", "reviews", "photos"), tables):
+        df.write.mode("overwrite").parquet(f"{out}/{name}/run_id={run}")
+    changed = G.advance_progress(ledger, processed_searches(open_pages, keywords), pending, tables[0])
+    old = ledger.select("region", "keyword", "place_id")
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in ("region", "keyword", "place_id")]
+    seen = G.keyword_rows(ledger).filter("completed").unionByName(ledger.filter(F.col("place_id").isNotNull())).select(
+        *[F.col(c).alias(f"_o_{c}") for c in old.columns])
+    changed.join(seen, same[0] & same[1] & same[2], "left_anti").write.mode("overwrite").parquet(f"{out}/progress/run_id={run}")
