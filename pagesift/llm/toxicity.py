@@ -70,11 +70,11 @@ def bag(text: str) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
-def fit(bags: list[tuple[np.ndarray, int]], epochs: int | None = None, rate: float = 0.5, seed: int = 1) -> tuple[np.ndarray, float]:
+def fit(bags: list, epochs: int | None = None, rate: float = 0.5, seed: int = 1) -> tuple[np.ndarray, float]:
     """Joint training of embeddings (BUCKETS x DIM) and the softmax layer by Adagrad, one document a step.
 
-    ``bags``: (distinct buckets, label).  Returns what scoring needs: the softmax's logit difference of each bucket's
-    vector, and the bias.  No labelled documents: all logits and the bias are 0, so every score is 0.5.
+    ``bags``: (packed distinct buckets, label), unpacked one at a time.  Returns what scoring needs: the softmax's
+    logit difference of each bucket's vector, and the bias.  No labelled documents: all logits and the bias are 0, so every score is 0.5.
     """
     if not bags:
         return np.zeros(BUCKETS, np.float32), 0.0
@@ -90,7 +90,8 @@ def fit(bags: list[tuple[np.ndarray, int]], epochs: int | None = None, rate: flo
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(bags)).tolist():
-            at, y = bags[i]
+            packed, y = bags[i]
+            at = _unpack(packed)
             share = np.float32(1 / (len(at) + BLANKS))
             vec = emb[at]
             mean = vec.sum(0) * share
@@ -122,7 +123,7 @@ def _pack(at: np.ndarray) -> bytes:
     return zlib.compress(np.diff(at, prepend=0).astype("<i4").tobytes(), 1)
 
 
-def _unpack(packed: bytes) -> np.ndarray:
+def _unpack(packed) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(packed), "<i4"), dtype=np.int32)
 
 
@@ -150,8 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out
     sample = spark.createDataFrame([(r["id"], r["y"]) for r in chosen], "id long, y int")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t")).join(F.broadcast(sample), "id")
     # repeated rows of a document: each is one example
-    got = rows.select("y", "t").mapInArrow(_bags, "y int, bag binary").collect()
-    return fit([(_unpack(r["bag"]), r["y"]) for r in sorted(got, key=lambda r: (bytes(r["bag"]), r["y"]))])
+    got = rows.select("y", "t").mapInArrow(_bags, "y int, bag binary").toArrow().sort_by([("bag", "ascending"), ("y", "ascending")])
+    bags, marks = got["bag"].combine_chunks(), got["y"].to_pylist()
+    return fit([(bags[i].as_buffer(), y) for i, y in enumerate(marks)])
 
 
 def _scores(logits: np.ndarray, bias: float):
