@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-def _signature(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return r["n"], r["s"]
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node with an edge (u, v), v < u, has only that one and v has none: then v is its component."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below"))))
+    nodes = edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.below").alias("below"), F.min("e.below").alias("least"))
+    return nodes.where("below > 1 or (below > 0 and least = 0)").agg(F.count("*")).first()[0] == 0
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -18,25 +20,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round is one job of joins and partial aggregates, written to the shared checkpoint folder; a node with
     very many neighbours only meets its own minimum, so its rows can be split by a skew join.  The loop ends when
-    a round changes nothing (a forest of stars).  Null ends and loops are ignored; repeated edges count once.
+    the edges are a forest of stars.  Null ends and loops are ignored; repeated edges count once.
     """
     cur = stage(edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
                 .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    seen = _signature(cur)
-    if seen[0]:
-        for _ in range(max_rounds):
-            both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            low = large.groupBy("u").agg(F.min("v").alias("m"))
-            small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                     .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-            cur = stage(small, "cc")
-            now = _signature(cur)
-            if now == seen:
-                break
-            seen = now
-        else:
+    for _ in range(max_rounds):
+        if _is_star_forest(cur):
+            break
+        both = cur.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        above = cur.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = above.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # the row of the minimum itself links the node, the others link their ends
+        small = large.join(low, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        cur = stage(small.distinct(), "cc")
+    else:
+        if not _is_star_forest(cur):
             raise RuntimeError("components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

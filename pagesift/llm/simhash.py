@@ -222,7 +222,8 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     rows = rows.select(F.xxhash64("band", "value", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "fp", "label",
                        F.when(F.col("block") == F.col("other"), 0).otherwise(F.signum(F.col("block") - F.col("other"))).cast("int").alias("side"))
     second = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(max_bits), "u long, v long")
-    return components(stage(first.unionByName(second), "simhash-links"))
+    known = labelled.where("fp <> label").select(F.col("fp").alias("u"), F.col("label").alias("v"))
+    return components(known.unionByName(second))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
