@@ -131,7 +131,15 @@ def _bags(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack(bag(t)) for t in part.column(1).to_pylist()], pa.binary())], names=["y", "bag"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_pack(bag(t)) for t in part.column(2).to_pylist()], pa.binary())],
+                                             names=["id", "y", "bag"])
+
+
+def _fit(batches):
+    """The whole sample -> one row of the model: ``BUCKETS`` logits and the bias."""
+    bags = sorted((x, y) for batch in batches for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    logits, bias = fit(bags)
+    yield pa.RecordBatch.from_arrays([pa.array([logits.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["logits", "bias"])
 
 
 def id_remainder(id_col: str, modulus: int):
@@ -142,18 +150,20 @@ def id_remainder(id_col: str, modulus: int):
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out_modulus: int = 5, per_class: int = SAMPLE_PER_CLASS,
           id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
     """Fits the model on the labelled documents whose id remainder is not 0: at most ``per_class`` of each label,
-    those of the lowest id hashes.  Executors make the bags (at most BUCKETS numbers each, a few kB); the driver
-    receives that bounded sample and runs the numpy fit."""
+    those of the lowest id hashes.  Executors make the bags (at most BUCKETS numbers each, a few kB), and one task
+    runs the numpy fit on that bounded sample; the driver receives the finished logits (1 MB).  Of repeated rows of
+    an id the lowest bag is the example."""
     spark = docs.sparkSession
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
              .groupBy("id").agg(F.max("y").alias("y")).where(id_remainder("id", held_out_modulus) != 0).withColumn("h", F.xxhash64("id")))
     chosen = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy("h", "id").limit(per_class).select("id", "y").collect()]
     sample = spark.createDataFrame([(r["id"], r["y"]) for r in chosen], "id long, y int")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t")).join(F.broadcast(sample), "id")
-    # repeated rows of a document: each is one example
-    got = rows.select("y", "t").mapInArrow(_bags, "y int, bag binary").toArrow().sort_by([("bag", "ascending"), ("y", "ascending")])
-    bags, marks = got["bag"].combine_chunks(), got["y"].to_pylist()
-    return fit([(bags[i].as_buffer(), y) for i, y in enumerate(marks)])
+    bags = rows.select("id", "y", "t").mapInArrow(_bags, "id long, y int, bag binary").groupBy("id", "y").agg(F.min("bag").alias("bag"))
+    model = bags.select("bag", "y").repartition(1).mapInArrow(_fit, "logits binary, bias double").first()
+    if model is None:  # no labelled documents
+        return fit([])
+    return np.frombuffer(bytes(model["logits"]), np.float32), model["bias"]
 
 
 def _scores(logits: np.ndarray, bias: float):
