@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from itertools import chain, repeat
 from math import log10
 
 import numpy as np
@@ -69,7 +70,7 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 # ---- the network ---------------------------------------------------------------------------------------------
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
 class Network:
@@ -128,20 +129,22 @@ class Network:
         adds up the gradients of the mean loss and returns that of the states."""
         p = self.p
         cls = np.where(targets < self.size, targets // CLASS_SIZE, self.classes)
-        logits = states @ p["cw"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
+        # one column a target: sums over the classes and over a class's tokens then run along whole rows
+        logits = p["cw"].T @ states.T + p["cb"][:, None]
+        logits -= logits.max(0)
         rows = np.arange(len(targets))
-        out = logits[rows, cls] - np.log(total)
+        own_logit = logits[cls, rows]
+        e = np.exp(logits, out=logits)
+        total = e.sum(0)
+        out = own_logit - np.log(total)
         back = None
         if grads is not None:
-            e /= total[:, None]
-            e[rows, cls] -= 1
+            e /= total
+            e[cls, rows] -= 1
             e /= len(targets)
-            grads["cw"] += states.T @ e
-            grads["cb"] += e.sum(0)
-            back = e @ p["cw"].T
+            grads["cw"] += states.T @ e.T
+            grads["cb"] += e.sum(1)
+            back = e.T @ p["cw"].T
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.classes + 1))
         for c in range(self.classes):
@@ -149,20 +152,21 @@ class Network:
             if not len(at):
                 continue
             s = states[at]
-            inner = s @ p["ow"][c] + p["ob"][c]
-            inner -= inner.max(1, keepdims=True)
-            e = np.exp(inner)
-            total = e.sum(1)
+            inner = p["ow"][c].T @ s.T + p["ob"][c][:, None]
+            inner -= inner.max(0)
             k = targets[at] - c * CLASS_SIZE
             own = np.arange(len(at))
-            out[at] += inner[own, k] - np.log(total)
+            own_logit = inner[k, own]
+            e = np.exp(inner, out=inner)
+            total = e.sum(0)
+            out[at] += own_logit - np.log(total)
             if grads is not None:
-                e /= total[:, None]
-                e[own, k] -= 1
+                e /= total
+                e[k, own] -= 1
                 e /= len(targets)
-                grads["ow"][c] += s.T @ e
-                grads["ob"][c] += e.sum(0)
-                back[at] += e @ p["ow"][c].T
+                grads["ow"][c] += s.T @ e.T
+                grads["ob"][c] += e.sum(1)
+                back[at] += e.T @ p["ow"][c].T
         return out, back
 
     def backward(self, inputs, fresh, saved, d_out, grads) -> None:
@@ -263,7 +267,7 @@ def pack_lanes(docs: list[np.ndarray], lanes: int, where: bool = False):
 
 def _numbers(text: bytes, number: dict, rare: int) -> np.ndarray:
     words = tokens(text)
-    return np.fromiter([number.get(w, rare) for w in words], np.int32, len(words))
+    return np.fromiter(map(number.get, words, repeat(rare)), np.int32, len(words))
 
 
 def _train_part(net: Network, vocabulary, rate: float):
@@ -326,17 +330,21 @@ def _score_part(shared, net: Network, size: int, total: int, distinct: int, rare
     base0, rare0 = log10(total + distinct + 1), log10(rare_total + rare_distinct + 1)
 
     def run(batches):
-        head = shared.value  # token -> (number, count)
-        known = {w: (i, log10(c + 1) - base0, (log10(c + 1) - rare0) if i >= size else 0.0) for i, (w, c) in enumerate(head)}
+        head = shared.value  # (token, count), by number
+        number = {w: i for i, (w, _) in enumerate(head)}
+        # by number, and at last for a token outside the head
+        base = np.array([log10(c + 1) - base0 for _, c in head] + [0.0])
+        share = np.array([(log10(c + 1) - rare0) if i >= size else 0.0 for i, (_, c) in enumerate(head)] + [0.0])
         docs, rows, held = [], [], 0
 
         def done():
             cols = list(zip(*[(*r, s) for r, s in zip(rows, net.score(docs))]))
             k, out, n, hk, hb, rs, rare, s = cols
             lp = [a / 2.302585092994046 + b for a, b in zip(s, rs)]
-            kind = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32())]))
+            ends = np.cumsum([0, *map(len, rare)], dtype=np.int32)
+            flat = pa.StructArray.from_arrays([pa.array(chain.from_iterable(rare), pa.binary()), pa.array(chain.from_iterable(x.values() for x in rare), pa.int32())], ["w", "n"])
             return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(out, pa.bool_()), pa.array(n, pa.int64()), pa.array(hk, pa.int64()),
-                                               pa.array(hb, pa.float64()), pa.array(lp, pa.float64()), pa.array(rare, kind)],
+                                               pa.array(hb, pa.float64()), pa.array(lp, pa.float64()), pa.ListArray.from_arrays(pa.array(ends), flat)],
                                               names=["k", "held_out", "n_tokens", "head_known", "head_base", "head_score", "rare"])
 
         for batch in batches:
@@ -344,12 +352,10 @@ def _score_part(shared, net: Network, size: int, total: int, distinct: int, rare
                 part = batch.slice(lo, 256)
                 for k, out, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()):
                     words = tokens(text)
-                    got = list(map(known.get, words))
-                    other = [w for w, g in zip(words, got) if g is None]
-                    some = [g for g in got if g is not None]
-                    docs.append(np.fromiter([size if g is None or g[0] >= size else g[0] for g in got], np.int32, len(got)))
-                    rows.append((k, out, len(words), len(some), sum([g[1] for g in some]), sum([g[2] for g in some]),
-                                 [{"w": w, "n": n} for w, n in Counter(other).items()]))
+                    at = np.fromiter(map(number.get, words, repeat(-1)), np.int32, len(words))
+                    other = [words[i] for i in np.flatnonzero(at < 0).tolist()]
+                    docs.append(np.where((at < 0) | (at >= size), np.int32(size), at))
+                    rows.append((k, out, len(words), len(words) - len(other), float(base[at].sum()), float(share[at].sum()), dict(Counter(other))))
                     held += len(words)
                 if held > _GROUP:
                     yield done()
