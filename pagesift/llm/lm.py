@@ -25,8 +25,9 @@ from .toxicity import id_remainder
 CLASSES, CLASS_SIZE = 48, 48
 EMBED, HIDDEN = 12, 16
 WINDOW = 32
-#: Training passes; each takes the training documents of one slice of the id hashes, in parallel, and averages.
-ROUNDS, SLICES = 2, 16
+#: Training rounds; each takes the training documents of one slice of the id hashes, in parallel, and averages.  As many
+#: rounds as slices: every training document is learnt from once.
+ROUNDS = SLICES = 2
 #: Most frequent tokens whose counts go to every worker (a bound on the broadcast); rarer ones are joined.
 HEAD = 100_000
 #: Documents advance side by side in so many lanes.
@@ -305,8 +306,9 @@ def _train_part(net: Network, vocabulary, rate: float):
 def train(docs: DataFrame, counts: list, rare: int, rounds: int = ROUNDS, slices: int = SLICES, rate: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> tuple[Network, list]:
     """The network and its vocabulary.  In each round every task runs truncated backpropagation over its documents of
     one slice (of ``slices``) of the id hashes, from the same start; Spark sums the parameters, weighted by tokens, and
-    the driver takes their mean (one model's size).  Training work is ``rounds / slices`` of the corpus, so it grows
-    with it; vocabulary and counts come from all of it."""
+    the driver takes their mean (one model's size).  By default the rounds take every document once; with fewer rounds
+    than slices the network learns from ``rounds / slices`` of the corpus only.  Vocabulary and counts come from all of
+    it."""
     top = counts[: CLASSES * CLASS_SIZE]
     net = Network([c for _, c in top], rare + sum(c for _, c in counts[len(top):]))
     vocabulary = [w for w, _ in top]
