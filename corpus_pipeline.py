@@ -6,11 +6,11 @@ documents with their columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm import decontamination, packing, simhash, substring_dedup, toxicity
-from pagesift.llm.common import key_of, stage
+from pagesift.llm.common import digest_of, key_of, stage
 from pagesift.llm.queries import tokenizer_path
 from pagesift.sources.tables import table
 
@@ -21,13 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup (7): of each component of fingerprints the document with the smallest id stays.  Of rows
-    with one id, and of null ids in a component without any id, one row stays (the lowest text hash)."""
-    near = simhash.near_duplicates(docs)
-    keep = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key_of("doc_id").alias("_k")).distinct()
-    first = Window.partitionBy("_k").orderBy(F.xxhash64("text"))
-    out = docs.withColumn("_k", key_of("doc_id")).join(keep, "_k", "left_semi").withColumn("_n", F.row_number().over(first))
-    return out.where("_n = 1").select(*docs.columns)
+    """SimHash near-dedup (7): of each component of fingerprints one row stays, that with the smallest id (null last),
+    then the smallest text digest.  A row is known by its id and digest, so null or repeated ids in different
+    components all stay; of exact copies of a row one stays."""
+    rows = docs.withColumn("_k", key_of("doc_id")).withColumn("_d", digest_of("text")).dropDuplicates(["_k", "_d"])
+    keep = simhash.first_rows(docs).select(F.col("k").alias("_k"), F.col("d").alias("_d"))
+    return rows.join(keep, ["_k", "_d"], "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

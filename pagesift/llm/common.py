@@ -39,6 +39,11 @@ def text_of(text_col: str):
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+def digest_of(text_col: str):
+    """The text's 128-bit digest as 16 bytes; with the id it names a row where ids are null or repeated."""
+    return F.unhex(F.md5(text_of(text_col).cast("binary")))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser over uint64 (bijective)."""
     x = x ^ (x >> np.uint64(30))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, stage, text_of
+from .common import digest_of, id_of, key_of, stage, text_of
 
 WINDOW = 10
 #: Most distinct n-gram hashes that travel as a set in the plan; a larger benchmark is joined window by window.
@@ -82,7 +82,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without what the benchmark holds.  ``documents``: contaminated documents go, the others stay as they
-    are, all columns kept.  ``spans``: rows (id, text) with the hit words left out and the others joined by one space
+    are, all columns kept; rows are judged by id and text, so others with the same or a null id stay.  ``spans``: rows (id, text) with the hit words left out and the others joined by one space
     (the normalised words), texts without hits unchanged."""
     if mode == "spans":
         found = contaminated_words(docs.withColumn("_text", F.col(text_col)), benchmark, window, id_col, text_col, keep=("_text",))
@@ -91,5 +91,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         return found.select(id_col, F.when(F.col("n_hit") > 0, left).otherwise(F.col("_text")).alias(text_col))
     if mode != "documents":
         raise ValueError("mode is 'documents' or 'spans'")
-    bad = contaminated_words(docs, benchmark, window, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    rows = docs.withColumn("_digest", digest_of(text_col))
+    bad = contaminated_words(rows, benchmark, window, id_col, text_col, keep=("_digest",)).where("n_hit > 0")
+    bad = bad.select(F.col(id_col).alias("_bad"), F.col("_digest").alias("_bad_digest")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_bad")) & (F.col("_digest") == F.col("_bad_digest"))
+    return rows.join(bad, same, "left_anti").select(*docs.columns)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, signed, stage, text_of
+from .common import digest_of, id_of, key_of, signed, stage, text_of
 from .components import components
 
 MAX_BITS = 4
@@ -55,7 +55,7 @@ def _fingerprints(shingle: int):
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 fps = np.array([fingerprint(t, shingle) for t in part.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed(fps))], names=["k", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed(fps)), *part.columns[2:]], names=["k", "fp", *part.schema.names[2:]])
     return run
 
 
@@ -242,3 +242,15 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     named = named.join(lowest, "component").select("fp", "c")
     return fps.join(named, "fp").select(id_of(F.col("k")).alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                         id_of(F.col("c")).alias("component_id"))
+
+
+def first_rows(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (k, d), one per component: key and text digest of its row with the smallest id, then the smallest digest.
+    Components are those of ``near_duplicates``, told apart by their fingerprints, so null and repeated ids in
+    different components do not meet."""
+    rows = docs.select(key_of(id_col).alias("k"), text_of(text_col).alias("t"), digest_of(text_col).alias("d"))
+    fps = stage(rows.mapInArrow(_fingerprints(shingle), "k long, fp long, d binary"), "simhash")
+    distinct = stage(fps.groupBy("fp").agg(F.min(F.struct("k", "d")).alias("first"), F.count("*").alias("weight")), "simhash-distinct")
+    linked = link_fingerprints(distinct.select("fp", "weight"), max_bits)
+    named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("component", "fp").alias("component"))
+    return named.groupBy("component").agg(F.min("first").alias("first")).select("first.k", "first.d")
