@@ -112,9 +112,11 @@ def listing_anchors(pages: DataFrame) -> DataFrame:
 
 
 def newest_captures(pages: DataFrame, keys=(*SEARCH_KEYS, "page_no")) -> DataFrame:
-    """page_id of the newest capture of each search page (the higher page_id of equal times).  Reads narrow columns
-    only; a partial aggregate, so a page captured very often collapses before the shuffle."""
-    newest = pages.groupBy(*keys).agg(F.max(F.struct("captured_at", "page_id")).alias("_n"))
+    """page_id of the newest capture of each search page (the higher page_id of equal times).  Pages without a number
+    are told apart by their resolved url (query kept, hash dropped).  Reads narrow columns only; a partial aggregate,
+    so a page captured very often collapses before the shuffle."""
+    unnumbered = F.when(F.col("page_no").isNull(), F.regexp_replace(resolve_url("url"), "(?s)#.*$", "")).alias("_url")
+    newest = pages.groupBy(*keys, unnumbered).agg(F.max(F.struct("captured_at", "page_id")).alias("_n"))
     return newest.select(F.col("_n.page_id").alias("page_id"))
 
 
@@ -129,8 +131,9 @@ def search_results(pages: DataFrame, limit: int | None = None, keywords: DataFra
 def results_from_links(links: DataFrame, pages: DataFrame, limit: int | None = None, keywords: DataFrame | None = None) -> DataFrame:
     """O24 from extracted links and the (narrow) table of the search pages they come from."""
     links = links.join(newest_captures(pages), "page_id", "left_semi")
-    first = dedup_links(links, payload=("page_id", "raw_label", "captured_at"))
-    ranked = rank_and_limit(first, limit)
+    # a page is its number and, as several may have none, its id
+    first = dedup_links(links, order=("page_no", "page_id", "pos"), payload=("raw_label", "captured_at"))
+    ranked = rank_and_limit(first.withColumn("_page", F.struct("page_no", "page_id")), limit, page_col="_page")
     parsed = parse_result_labels(ranked)
     title = F.coalesce(F.col("parsed_title"), F.col("raw_label"), F.col("place_url"))
     out = parsed.withColumn("title", title).select(

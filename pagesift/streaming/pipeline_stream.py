@@ -23,12 +23,12 @@ from ..operators import search as S
 from ..plans.pipeline import extract_place_pages, place_tables, processed_searches, stage
 
 TABLES = ("places", "reviews", "photos", "progress")
-PAGE_COLS = ("page_id", "keyword", "region", "page_no", "captured_at")
+PAGE_COLS = ("page_id", "url", "keyword", "region", "page_no", "captured_at")
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+    return spark.read.option("mergeSchema", True).parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
 
 
 def current_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
@@ -68,6 +68,8 @@ def finish_searches(spark: SparkSession, place_pages: DataFrame, keywords: DataF
     pages = _stored(spark, f"{out}/search_pages")
     if pages is None:
         return
+    if "url" not in pages.columns:  # stored before pages kept their url
+        pages = pages.withColumn("url", F.lit(None).cast("string"))
     ledger, run = current_ledger(spark, f"{out}/progress")
     open_pages = G.skip_completed_searches(pages, ledger)
     if open_pages.isEmpty():
