@@ -2,7 +2,7 @@
 the same.
 
 Operators without SQL (2: chunk fingerprints, 4 and 10: trained models, 6: token ids, 7: XXH64 fingerprints, 8:
-licence expressions) are tested against brute-force versions or held-out quality in ``tests/llm``.
+licence expressions, 13: an approximate graph search) are tested against brute-force versions or held-out quality in ``tests/llm``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagesift.sources.tables import table
 
-from . import decontamination, fingerprints, licenses, lm, packing, sharding, simhash, substring_dedup, toxicity, url_filters
+from . import ann, clustering, decontamination, fingerprints, licenses, lm, merkle, packing, sharding, simhash, substring_dedup, toxicity, url_filters
 
 
 def tokenizer_path() -> str:
@@ -68,9 +68,25 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    out = merkle.manifest(table(spark, sf_dir, "documents"), tampered, merkle.lower_text())
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))[0]
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_document_fingerprints, op3_sharding, op4_toxicity, op5_substring_dedup, op6_best_fit_packing,
-    op7_simhash_near_dedup, op8_license_scans, op9_benchmark_decontamination, op10_lm_scoring)}
+    op7_simhash_near_dedup, op8_license_scans, op9_benchmark_decontamination, op10_lm_scoring,
+    op11_merkle_manifest, op12_centroid_clustering, op13_nearest_neighbours)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -148,4 +164,65 @@ j AS (SELECT page_id, coalesce({_host("url")}, '') AS host, coalesce({_path("url
 SELECT page_id, host, path, {_judge("host", "path", "rule")} AS rule,
   coalesce({_judge("host", "path", "verdict")}, CASE WHEN node IN (SELECT node FROM blocked) THEN 'block' END, 'allow') AS verdict FROM j"""
 
-ORACLES = {"op1_url_filters": _OP1, "op3_sharding": _OP3, "op5_substring_dedup": _OP5, "op9_benchmark_decontamination": _OP9}
+
+
+def _merkle_tree(name: str, leaves: str, levels: int) -> str:
+    """CTEs of a tree over ``leaves`` (g, i, d, t): <name>p rows (g, i0, path: list of (place, siblings)), <name>r (g, root).
+    ``levels`` is the greatest height; a finished tree passes on its top."""
+    out = [f"{name}0 AS (SELECT g, i, d, count(*) OVER (PARTITION BY g) AS n FROM {leaves})"]
+    for k in range(levels):
+        out.append(f"{name}u{k} AS (SELECT g, i // 16 AS r, list(d ORDER BY i) AS run, any_value(n) AS n FROM {name}{k} GROUP BY 1, 2)")
+        out.append(f"{name}{k + 1} AS (SELECT g, r AS i, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS d, (n + 15) // 16 AS n FROM {name}u{k})")
+    path = "list_concat(" + ", ".join(f"[CASE WHEN u{k}.n > 1 THEN {{'place': (i // {16**k}) % 16, 'run': u{k}.run}} END]" for k in range(levels)) + ")"
+    joins = " ".join(f"JOIN {name}u{k} u{k} ON u{k}.g = l.g AND u{k}.r = l.i // {16**(k + 1)}" for k in range(levels))
+    out.append(f"{name}p AS (SELECT l.g, l.i, list_filter({path}, lambda x: x IS NOT NULL) AS path FROM {name}0 l {joins})")
+    out.append(f"{name}r AS (SELECT g, d AS root FROM {name}{levels})")
+    return ",\n".join(out)
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+
+def _op11(levels: int = 6) -> str:
+    """Trees of up to 16 ** levels leaves."""
+    text = _LOWER.format("text")
+    fields = [_field(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    crc = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(strlen(s)), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::BIGINT)"
+    plain, changed = (f"sha256({' || '.join([*fields, _field(t)])})" for t in ("text", text))
+    rest = "list_reduce(list_concat([''], list_transform(path, lambda x: array_to_string(list_concat(x.run[1:x.place], x.run[x.place + 2:]), ''))), lambda a, b: a || b)"
+    step = "sha256(array_to_string(list_concat(path[{k}].run[1:path[{k}].place], [f], path[{k}].run[path[{k}].place + 2:]), ''))"
+    folds = []
+    for k in range(1, 2 * levels + 1):
+        folds.append(f"f{k} AS (SELECT doc_id, d, subroot, path, CASE WHEN len(path) >= {k} THEN {step.format(k=k)} ELSE f END AS f FROM f{k - 1})")
+    return f"""
+WITH {_CRC},
+c AS (SELECT doc_id, {crc} % 5 = 0 AS tampered FROM (SELECT doc_id, doc_id::VARCHAR AS s, hex(encode(doc_id::VARCHAR)) AS x FROM documents), crc_table),
+leaves AS (SELECT coalesce('=' || source, '') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, doc_id, {plain} AS d, {changed} AS e FROM documents),
+{_merkle_tree('a', 'leaves', levels)},
+tops AS (SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, root AS d, g AS source FROM ar),
+{_merkle_tree('b', 'tops', levels)},
+f0 AS (SELECT l.doc_id, l.d, tops.d AS subroot, list_concat(ap.path, bp.path) AS path, CASE WHEN c.tampered THEN l.e ELSE l.d END AS f
+  FROM leaves l JOIN c USING (doc_id) JOIN ap ON ap.g = l.g AND ap.i = l.i JOIN tops ON tops.source = l.g JOIN bp ON bp.i = tops.i),
+{", ".join(folds)}
+SELECT doc_id, d AS leaf, subroot, root, sha256({rest}) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{2 * levels}, br"""
+
+
+def _op12(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    near = "list_sum(list_transform(range(1, {d} + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))".format(d=dims)
+    parts = [f"""v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::HUGEINT) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims})""",
+             f"c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS n, x AS c FROM (SELECT sha256('3:' || vec_id::VARCHAR) AS h, x FROM v ORDER BY h LIMIT {k}))"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS (SELECT vec_id, any_value(x) AS x, min((d, n)) AS b FROM (SELECT vec_id, x, n, {near} AS d FROM v, c{r}) GROUP BY vec_id)")
+        if r < rounds:
+            parts.append(f"""m{r} AS (SELECT n, list(((s - ((s % q) + q) % q) // q) ORDER BY j) AS c FROM (SELECT b[2] AS n, j, sum(e)::HUGEINT AS s, count(*)::HUGEINT AS q
+  FROM (SELECT b, unnest(x) AS e, unnest(range(1, {dims} + 1)) AS j FROM a{r}) GROUP BY 1, 2) GROUP BY n)""")
+            parts.append(f"c{r + 1} AS (SELECT n, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (n))")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, b[2]::INT AS cluster, b[1]::BIGINT AS distance, (sum(b[1]) OVER (PARTITION BY b[2]))::BIGINT AS cluster_inertia, (sum(b[1]) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON n = b[2]"""
+
+
+ORACLES = {"op1_url_filters": _OP1, "op3_sharding": _OP3, "op5_substring_dedup": _OP5, "op9_benchmark_decontamination": _OP9,
+           "op11_merkle_manifest": _op11(), "op12_centroid_clustering": _op12()}
