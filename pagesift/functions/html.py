@@ -13,101 +13,158 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NOT_WS, WS, WS_CHARS, col, collapse_ws, decode_entities, safe_trim
+from .text import NOT_WS, WS, WS_CHARS, col, collapse_ws, decode_entities, let, safe_trim
 
 _WORD_END = "(?![A-Za-z0-9_])"  # ECMAScript \b after an ASCII word character
 
 
-def _quote(tag: str) -> str:
-    return re.escape(tag)
+def tag_pattern(tag: str) -> str:
+    """An open tag ``<tag ...>``; group 1 = attribute text."""
+    return "(?i)<" + re.escape(tag) + _WORD_END + "([^>]*)>"
 
 
-def element_pattern(tag: str) -> str:
-    """`<tag ...>inner</tag>` with group 1 = attribute text, group 2 = inner HTML."""
-    t = _quote(tag)
-    return "(?i)<" + t + _WORD_END + r"([^>]*)>([\s\S]*?)</" + t + WS + "*>"
+def close_pattern(tag: str) -> str:
+    return "(?i)</" + re.escape(tag) + WS + "*>"
 
 
-def void_pattern(tag: str) -> str:
-    """`<tag ...>` without a body (img, meta, link)."""
-    return "(?i)<" + _quote(tag) + _WORD_END + "([^>]*)>"
+void_pattern = tag_pattern  # a body-less tag (img, meta, link) is its open tag
 
 
-# Attribute tokenizer: name, then optional = "dq" | 'sq' | unquoted.
-ATTR_RE = (
-    "([^" + WS_CHARS + "=/>]+)(?:" + WS + "*=" + WS + "*(?:\"([^\"]*)\"|'([^']*)'|([^"
-    + WS_CHARS + "\"'=<>`]+)))?"
-)
+def before_last(text, mark: str = ">") -> Column:
+    """``text`` up to and with the last ``mark`` (a single character), '' without one."""
+    s = col(text)
+    return F.left(s, F.length(s) - F.length(F.substring_index(s, mark, -1)))
 
-JSONLD_RE = (
-    "(?i)<script" + _WORD_END + r"""([^>]*)type=["']application/ld\+json["'][^>]*>([\s\S]*?)</script>"""
-)
+
+def spans(text, start: Column, open_re: Column, close_re: Column, accept=None) -> Column:
+    """array<struct<open, inner, close>>: what the pattern ``open_re`` + lazy body + ``close_re`` matches, in order and
+    without overlaps, in time linear in the text.
+
+    ``open_re`` is an open tag (its only ``>`` is its end) that begins with ``start``, ``close_re`` a close tag;
+    ``accept`` may reject open tags.  The text is cut at its close tags.  Each piece's first complete open tag, with
+    the rest of the piece as its body, is a match; opens behind the last close tag are never tried.  An open tag whose
+    ``>`` is that of the next close tag takes the whole next piece as its body; in a run of pieces that hold nothing
+    else, every other one does.
+    """
+    def first_open(t):
+        hit = F.regexp_substr(t, open_re) if accept is None else F.get(F.filter(F.regexp_extract_all(t, open_re, F.lit(0)), accept), 0)
+        return F.coalesce(hit, F.lit(""))
+
+    def piece(p, c):
+        over = let(F.substring_index(p, ">", -1), lambda t: F.when(F.regexp_like(t, start), first_open(F.concat(t, c))).otherwise(F.lit("")))
+        return let(first_open(before_last(p)), lambda o: F.struct(
+            p.alias("p"), c.alias("c"), o.alias("o"), F.when(o == "", over).otherwise(F.lit("")).alias("over")))
+
+    def own(e):
+        # the first place where the tag's text stands is the tag itself
+        inner = F.substr(e["p"], F.instr(e["p"], e["o"]) + F.length(e["o"]))
+        return F.when(e["o"] != "", F.struct(e["o"].alias("open"), inner.alias("inner"), e["c"].alias("close")))
+
+    def build(rows):
+        marks = F.array_join(F.transform(rows, lambda e: F.when(e["over"] != "", "1").otherwise("0")), "")
+        run = F.when(F.exists(rows, lambda e: e["over"] != ""), F.split(F.regexp_replace(marks, "11", "CB"), ""))
+
+        def with_overruns(run):
+            def one(e, i):
+                body = F.coalesce(F.get(run, i - 1).isin("1", "C"), F.lit(False))
+                return F.when(body, F.struct(F.get(rows, i - 1)["over"].alias("open"), e["p"].alias("inner"), e["c"].alias("close"))).otherwise(own(e))
+            return F.transform(rows, one)
+
+        return F.filter(let(run, with_overruns), lambda e: e.isNotNull())
+
+    def cut(s):
+        return let(F.transform(s["closes"], lambda c, i: piece(F.get(s["parts"], i), c)), build)
+
+    return let(F.struct(F.split(col(text), close_re, -1).alias("parts"), F.regexp_extract_all(col(text), close_re, F.lit(0)).alias("closes")), cut)
+
+
+def element_array(html, tag: str) -> Column:
+    """array<struct<open, inner, close>>: the ``<tag ...>inner</tag>`` elements in order, the first close tag winning."""
+    return spans(html, F.lit("(?i)<" + re.escape(tag)), F.lit(tag_pattern(tag)), F.lit(close_pattern(tag)))
+
+
+def elements_of(html, tags, attribute: str | None = None) -> Column:
+    """array<struct<tag_ordinal, pos, open, inner, close>>: the elements of several tags, all of the first tag, then of
+    the second...  With ``attribute`` those whose open tag names it: a cheap test before any attribute is parsed."""
+    def of(t, i):
+        found = spans(html, t["start"], t["open"], t["close"])
+        return F.transform(found, lambda e, p: F.struct(i.alias("tag_ordinal"), p.alias("pos"), e["open"].alias("open"), e["inner"].alias("inner"), e["close"].alias("close")))
+
+    each = F.array(*[F.struct(F.lit("(?i)<" + re.escape(t)).alias("start"), F.lit(tag_pattern(t)).alias("open"), F.lit(close_pattern(t)).alias("close")) for t in tags])
+    found = F.flatten(F.transform(each, of))
+    return found if attribute is None else F.filter(found, lambda e: F.lower(e["open"]).contains(attribute.lower()))
 
 
-def attr_source(open_text) -> Column:
-    """Attribute text of an open tag: drop what is glued to the tag name and a final '/'."""
-    s = F.regexp_replace(col(open_text), "^[^" + WS_CHARS + ">]*" + WS + "*", "")
-    return F.regexp_replace(s, "/$", "")
+def open_attrs(open_tag) -> Column:
+    """Parsed attributes of an open tag.  What is glued to the tag's name and a final '/' do not count."""
+    return parse_attrs(F.regexp_replace(col(open_tag), "^[^" + WS_CHARS + ">]*" + WS + "*|/?>$", ""))
+
+
+def raw_element(e) -> Column:
+    return F.concat(e["open"], e["inner"], e["close"])
+
+
+def remove_spans(text, pattern: str, close_re: str) -> Column:
+    """Each match of ``pattern``, which ends in ``close_re``, replaced by a space; nothing behind the last close is tried."""
+    def cut(s):
+        head = F.regexp_extract(s, "(?i)^[\\s\\S]*" + close_re, 0)
+        return let(head, lambda h: F.concat(F.regexp_replace(h, pattern, " "), F.substr(s, F.length(h) + 1)))
+
+    return let(col(text), cut)
+
+
+# Attribute tokenizer: name (group 1), then optional = "dq" | 'sq' | unquoted (group 2, quotes included).
+ATTR_RE = (
+    "([^" + WS_CHARS + "=/>]+)(?:" + WS + "*=" + WS + "*(\"[^\"]*\"|'[^']*'|[^" + WS_CHARS + "\"'=<>`]+))?"
+)
+
+JSONLD_TYPE_RE = r"""(?i)type=["']application/ld\+json["']"""
 
 
 def parse_attrs(src) -> Column:
-    """array<struct<name, value>> in source order; names lower-cased, values decoded."""
-    tokens = F.regexp_extract_all(col(src), F.lit(ATTR_RE), 0)
+    """array<struct<name, value>> in source order; names lower-cased, values decoded.  Two matching passes over the
+    tag give aligned arrays of names and values."""
+    def plain(v):
+        return F.when(v.rlike("^[\"']"), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
 
-    def one(t):
-        value = F.concat(
-            F.regexp_extract(t, ATTR_RE, 2), F.regexp_extract(t, ATTR_RE, 3), F.regexp_extract(t, ATTR_RE, 4)
-        )
-        return F.struct(F.lower(F.regexp_extract(t, ATTR_RE, 1)).alias("name"), decode_entities(value).alias("value"))
+    def zipped(s):
+        values = F.regexp_extract_all(s, F.lit(ATTR_RE), F.lit(2))
+        return let(values, lambda vs: F.transform(F.regexp_extract_all(s, F.lit(ATTR_RE), F.lit(1)), lambda n, i: F.struct(
+            F.lower(n).alias("name"), decode_entities(plain(F.get(vs, i))).alias("value"))))
 
-    return F.transform(tokens, one)
+    return let(col(src), zipped)
 
 
-def attr(attrs, name: str) -> Column:
-    """Value of attribute ``name`` (last duplicate wins); null when absent."""
-    hit = F.try_element_at(F.filter(col(attrs), lambda a: a["name"] == F.lit(name.lower())), F.lit(-1))
-    return hit["value"]
+def _lower_name(name) -> Column:
+    return F.lit(name.lower()) if isinstance(name, str) else name
 
 
-def has_attr(attrs, name: str) -> Column:
-    return F.exists(col(attrs), lambda a: a["name"] == F.lit(name.lower()))
+def attr(attrs, name) -> Column:
+    """Value of attribute ``name`` (a text, or a Column of lower-case names; last duplicate wins); null when absent."""
+    hit = F.try_element_at(F.filter(col(attrs), lambda a: a["name"] == _lower_name(name)), F.lit(-1))
+    return hit["value"]
 
 
-def raw_matches(html, tag: str) -> Column:
-    return F.regexp_extract_all(col(html), F.lit(element_pattern(tag)), 0)
+def has_attr(attrs, name) -> Column:
+    return F.exists(col(attrs), lambda a: a["name"] == _lower_name(name))
 
 
 def elements(html, tag: str, with_text: bool = True, with_raw: bool = False) -> Column:
     """array<struct<pos, attrs, inner[, text][, raw]>> for one tag, in document order."""
-    pat = element_pattern(tag)
-
-    def one(raw, i):
-        inner = F.regexp_extract(raw, pat, 2)
-        fields = [
-            i.alias("pos"),
-            parse_attrs(attr_source(F.regexp_extract(raw, pat, 1))).alias("attrs"),
-            inner.alias("inner"),
-        ]
+    def one(e, i):
+        fields = [i.alias("pos"), open_attrs(e["open"]).alias("attrs"), e["inner"].alias("inner")]
         if with_text:
-            fields.append(collapse_ws(inner).alias("text"))
+            fields.append(collapse_ws(e["inner"]).alias("text"))
         if with_raw:
-            fields.append(raw.alias("raw"))
+            fields.append(raw_element(e).alias("raw"))
         return F.struct(*fields)
 
-    return F.transform(raw_matches(html, tag), one)
+    return F.transform(element_array(html, tag), one)
 
 
-def void_elements(html, tag: str, with_raw: bool = False) -> Column:
-    """array<struct<pos, attrs[, raw]>> for a body-less tag."""
-    pat = void_pattern(tag)
-
-    def one(raw, i):
-        fields = [i.alias("pos"), parse_attrs(attr_source(F.regexp_extract(raw, pat, 1))).alias("attrs")]
-        if with_raw:
-            fields.append(raw.alias("raw"))
-        return F.struct(*fields)
-
-    return F.transform(F.regexp_extract_all(col(html), F.lit(pat), 0), one)
+def open_tags(html, tag: str) -> Column:
+    """The ``<tag ...>`` tags of a page; what follows the last ``>`` holds none."""
+    return F.regexp_extract_all(before_last(html), F.lit(tag_pattern(tag)), F.lit(0))
 
 
 def first(arr) -> Column:
@@ -144,15 +201,12 @@ def link_href(link_attrs, rel: str) -> Column:
 
 def tag_attr_lists(html, tag: str) -> Column:
     """array<array<struct<name,value>>> — the parsed attributes of each void tag."""
-    pat = void_pattern(tag)
-    return F.transform(
-        F.regexp_extract_all(col(html), F.lit(pat), 1), lambda g: parse_attrs(attr_source(g))
-    )
+    return F.transform(open_tags(html, tag), open_attrs)
 
 
 def jsonld_objects(html) -> Column:
     """array<variant>: JSON-LD script bodies, top-level arrays flattened one level."""
-    bodies = F.regexp_extract_all(col(html), F.lit(JSONLD_RE), 2)
+    bodies = F.transform(spans(html, F.lit("(?i)<script"), F.lit(tag_pattern("script")), F.lit("(?i)</script>"), lambda t: t.rlike(JSONLD_TYPE_RE)), lambda e: e["inner"])
     parsed = F.transform(bodies, lambda b: F.try_parse_json(F.regexp_replace(b, "^" + WS + "+|" + WS + "+$", "")))
     nested = F.transform(
         F.filter(parsed, lambda v: v.isNotNull()),
@@ -194,8 +248,8 @@ def page_text(html) -> Column:
 
 
 __all__ = [
-    "ATTR_RE", "JSONLD_RE", "NOT_WS", "attr", "attr_source", "element_pattern", "elements", "first",
-    "has_attr", "jsonld_objects", "link_href", "meta_content", "page_text", "parse_attrs", "raw_matches",
-    "tag_attr_lists", "v_is_object", "v_is_string", "v_kind", "v_string", "v_text", "vget", "void_elements",
-    "void_pattern",
+    "ATTR_RE", "NOT_WS", "attr", "before_last", "close_pattern", "element_array", "elements", "elements_of", "first",
+    "has_attr", "jsonld_objects", "link_href", "meta_content", "open_attrs", "open_tags", "page_text", "parse_attrs",
+    "raw_element", "remove_spans", "spans", "tag_attr_lists", "tag_pattern", "v_is_object", "v_is_string", "v_kind",
+    "v_string", "v_text", "vget", "void_pattern",
 ]

@@ -64,53 +64,46 @@ def _codepoint_to_str(cp: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
 
 
-def _replace_numeric(s: Column, pattern: str, digits_to_cp) -> Column:
-    """Single global pass replacing each ``pattern`` match by its code point.
+def _replace_numeric(s: Column, kind: Column) -> Column:
+    """Single global pass replacing each match of ``kind.pattern`` by its code point.
 
     The text between matches comes from ``split``; the captured digits from
-    ``regexp_extract_all``; both are zipped back together.  Out-of-range code
-    points are left as written (the reference raises there).
+    ``regexp_extract_all``; both are zipped back together.  Leading zeros do not count; more than ``kind.most``
+    digits and out-of-range code points are left as written (the reference raises there).
     """
-    pieces = F.split(s, pattern, -1)
-    codes = F.regexp_extract_all(s, F.lit(pattern), 1)
-    whole = F.regexp_extract_all(s, F.lit(pattern), 0)
+    found = F.struct(F.regexp_extract_all(s, kind["pattern"], F.lit(0)).alias("whole"), F.regexp_extract_all(s, kind["pattern"], F.lit(1)).alias("digits"))
 
-    def piece(p, i):
-        cp = digits_to_cp(F.get(codes, i))
-        rep = F.when(cp.isNotNull() & (cp <= 0x10FFFF), _codepoint_to_str(cp)).otherwise(F.get(whole, i))
-        return F.concat(p, F.coalesce(rep, F.lit("")))
+    def piece(m):
+        def one(p, i):
+            digits = F.regexp_replace(F.get(m["digits"], i), "^0+(?=.)", "")
+            cp = let(digits, lambda d: F.when(F.length(d) <= kind["most"], F.call_function("conv", d, kind["base"], F.lit(10)).try_cast("bigint")))
+            char = let(cp, lambda c: F.when(c <= 0x10FFFF, _codepoint_to_str(c)))
+            return F.concat(p, F.coalesce(char, F.get(m["whole"], i), F.lit("")))
+        return one
 
-    return F.array_join(F.transform(pieces, piece), "")
+    return let(found, lambda m: F.array_join(F.transform(F.split(s, kind["pattern"], -1), piece(m)), ""))
 
 
+# Named entities, then numeric forms, in their order of replacement.
 _NAMED = (("nbsp", " "), ("quot", '"'), ("#39", "'"), ("amp", "&"), ("lt", "<"), ("gt", ">"))
-_HEX_ENT = "(?i)&#x([0-9a-f]+);"
-_DEC_ENT = "&#([0-9]+);"
+_NUMERIC = (("(?i)&#x([0-9a-f]+);", 16, 8), ("&#([0-9]+);", 10, 9))
 
 
-def _decode_numeric(s: Column) -> Column:
-    def significant(d, most, value):
-        # leading zeros do not count; more digits than any code point has are out of range
-        return let(F.regexp_replace(d, "^0+(?=.)", ""), lambda x: F.when(F.length(x) <= most, value(x)))
-
-    hexed = F.when(s.rlike(_HEX_ENT), _replace_numeric(
-        s, _HEX_ENT, lambda d: significant(d, 8, lambda x: F.conv(x, 16, 10).try_cast("bigint")))).otherwise(s)
-    return let(hexed, lambda t: F.when(t.rlike(_DEC_ENT), _replace_numeric(
-        t, _DEC_ENT, lambda d: significant(d, 9, lambda x: x.try_cast("bigint")))).otherwise(t))
+def _pairs(rows, names) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows])
 
 
 def decode_entities(c) -> Column:
     """Entity decoding in the reference's order: named, then hex, then decimal."""
 
-    def named(x: Column) -> Column:
-        # Named entities and their order of replacement.
-        for ent, rep in _NAMED:
-            x = F.regexp_replace(x, "(?i)&" + ent + ";", rep)
-        return x
+    def decode(x: Column) -> Column:
+        pairs = _pairs([(f"(?i)&{name};", char) for name, char in _NAMED], ("pattern", "char"))
+        named = F.aggregate(pairs, x, lambda acc, e: F.regexp_replace(acc, e["pattern"], e["char"]))
+        return let(named, lambda n: F.when(n.contains("&#"), F.aggregate(
+            _pairs(_NUMERIC, ("pattern", "base", "most")), n, _replace_numeric)).otherwise(n))
 
     def run(x: Column) -> Column:
-        return F.when(x.contains("&"), let(named(x), lambda n: F.when(
-            n.contains("&#"), _decode_numeric(n)).otherwise(n))).otherwise(x)
+        return F.when(x.contains("&"), decode(x)).otherwise(x)
 
     # A plain column name is cheap to repeat; any expression is bound once.
     if isinstance(c, str):
@@ -119,7 +112,13 @@ def decode_entities(c) -> Column:
 
 
 def strip_tags(c) -> Column:
-    return F.regexp_replace(col(c), "<[^>]+>", " ")
+    """``<...>`` replaced by a space.  An open bracket behind the last ``>`` ends nowhere, so it is not tried."""
+    def run(s):
+        tail = F.substring_index(s, ">", -1)
+        return F.when(tail.contains("<"), let(tail, lambda t: F.concat(
+            F.regexp_replace(F.left(s, F.length(s) - F.length(t)), "<[^>]+>", " "), t))).otherwise(F.regexp_replace(s, "<[^>]+>", " "))
+
+    return run(F.col(c)) if isinstance(c, str) else let(c, run)
 
 
 def collapse_ws(c) -> Column:

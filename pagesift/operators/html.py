@@ -25,19 +25,18 @@ def extract_elements(pages: DataFrame, tag: str, id_cols: Sequence[str] = ("page
     Matching is non-overlapping with the first closing tag winning, so a nested
     element of the same tag ends its parent (the reference's behaviour).
     """
-    pat = H.element_pattern(tag)
-    exploded = pages.select(*id_cols, F.posexplode(H.raw_matches(html_col, tag)).alias("pos", "raw"))
-    inner = F.regexp_extract("raw", pat, 2)
+    exploded = pages.select(*id_cols, F.posexplode(H.element_array(html_col, tag)).alias("pos", "_e"))
+    inner = F.col("_e.inner")
     cols = [
         *id_cols,
         F.lit(tag).alias("tag"),
         F.col("pos"),
-        H.parse_attrs(H.attr_source(F.regexp_extract("raw", pat, 1))).alias("attrs"),
+        H.open_attrs("_e.open").alias("attrs"),
         inner.alias("inner_html"),
     ]
     if with_text:
         cols.append(collapse_ws(inner).alias("text"))
-    cols.append(F.col("raw"))
+    cols.append(H.raw_element(F.col("_e")).alias("raw"))
     return exploded.select(*cols)
 
 
@@ -51,35 +50,19 @@ def elements_with_attribute(pages: DataFrame, attribute: str, tags: Iterable[str
     All tags come from one scan of the page.
     """
     tags = tuple(tags)
-    found = pages.select(*id_cols, F.explode(raw_candidates(html_col, attribute, tags)).alias("_e")).select(*id_cols, "_e.*")
+    found = pages.select(*id_cols, F.explode(H.elements_of(html_col, tags, attribute)).alias("_e")).select(*id_cols, "_e.*")
     return with_attribute(found, attribute, tags, id_cols, with_text)
 
 
-def raw_candidates(html_col, attribute: str, tags: Sequence[str] = DEFAULT_BLOCK_TAGS):
-    """array<struct<tag_ordinal, pos, raw>>: matches of ``tags`` whose raw text names the attribute, in order.  A cheap
-    test before any attribute is parsed: an element carrying the attribute has its name in its raw text."""
-    def of(i, tag):
-        return F.transform(H.raw_matches(html_col, tag), lambda r, p: F.struct(F.lit(i).alias("tag_ordinal"), p.alias("pos"), r.alias("raw")))
-
-    both = F.concat(*[of(i, t) for i, t in enumerate(tags)])
-    return F.filter(both, lambda e: F.lower(e["raw"]).contains(attribute.lower()))
-
-
 def with_attribute(rows: DataFrame, attribute: str, tags: Sequence[str], id_cols: Sequence[str] = ("page_id",),
                    with_text: bool = True) -> DataFrame:
-    """Rows (ids, tag_ordinal, pos, raw) -> element rows, those that carry the attribute."""
-    def part(group):
-        out = None
-        for i, t in enumerate(tags):
-            value, here = F.regexp_extract("raw", H.element_pattern(t), group), F.col("tag_ordinal") == i
-            out = F.when(here, value) if out is None else out.when(here, value)
-        return out
-
+    """Rows (ids, tag_ordinal, pos, open, inner, close) -> element rows, those that carry the attribute."""
     cols = [*id_cols, F.element_at(F.array(*[F.lit(t) for t in tags]), F.col("tag_ordinal") + 1).alias("tag"), F.col("pos"),
-            H.parse_attrs(H.attr_source(part(1))).alias("attrs"), part(2).alias("inner_html")]
+            H.open_attrs("open").alias("attrs"), F.col("inner").alias("inner_html")]
     if with_text:
-        cols.append(collapse_ws(part(2)).alias("text"))
-    return rows.select(*cols, "raw", "tag_ordinal").filter(H.has_attr("attrs", attribute))
+        cols.append(collapse_ws("inner").alias("text"))
+    raw = F.concat("open", "inner", "close").alias("raw")
+    return rows.select(*cols, raw, "tag_ordinal").filter(H.has_attr("attrs", attribute))
 
 
 def extract_anchors(pages: DataFrame, id_cols: Sequence[str] = ("page_id",), html_col: str = "html",
@@ -91,13 +74,8 @@ def extract_anchors(pages: DataFrame, id_cols: Sequence[str] = ("page_id",), htm
 
 def extract_images(pages: DataFrame, id_cols: Sequence[str] = ("page_id",), html_col: str = "html") -> DataFrame:
     """One row per `<img …>` tag: id cols, pos, attrs, raw."""
-    pat = H.void_pattern("img")
-    exploded = pages.select(*id_cols, F.posexplode(F.regexp_extract_all(html_col, F.lit(pat), 0)).alias("pos", "raw"))
-    return exploded.select(
-        *id_cols, F.col("pos"),
-        H.parse_attrs(H.attr_source(F.regexp_extract("raw", pat, 1))).alias("attrs"),
-        F.col("raw"),
-    )
+    exploded = pages.select(*id_cols, F.posexplode(H.open_tags(html_col, "img")).alias("pos", "raw"))
+    return exploded.select(*id_cols, F.col("pos"), H.open_attrs("raw").alias("attrs"), F.col("raw"))
 
 
 def extract_meta(pages: DataFrame, criteria, id_cols: Sequence[str] = ("page_id",), html_col: str = "html",
@@ -139,10 +117,8 @@ def pages_containing(pages: DataFrame, needle: str, html_col: str = "html") -> D
 def first_element_text(pages: DataFrame, tag: str, id_cols: Sequence[str] = ("page_id",),
                        html_col: str = "html", out: str = "text") -> DataFrame:
     """Text of the very first ``tag`` element (even when empty); null when none."""
-    pat = H.element_pattern(tag)
-    raw = F.regexp_extract(F.col(html_col), pat, 0)
-    inner = F.regexp_extract(F.col(html_col), pat, 2)
-    return pages.select(*id_cols, F.when(raw != "", collapse_ws(inner)).alias(out))
+    hit = H.first(H.element_array(html_col, tag))
+    return pages.select(*id_cols, collapse_ws(hit["inner"]).alias(out))
 
 
 def first_element_attr(pages: DataFrame, tag: str, attribute: str, id_cols: Sequence[str] = ("page_id",),
@@ -158,6 +134,10 @@ def first_element_attr(pages: DataFrame, tag: str, attribute: str, id_cols: Sequ
 REVIEW_ARTICLE_RE = r"""(?i)<article(?![A-Za-z0-9_])[^>]*data-review-id=["'][^"']+["'][\s\S]*?</article>"""
 
 
+def without_review_blocks(html_col):
+    return H.remove_spans(html_col, REVIEW_ARTICLE_RE, "</article>")
+
+
 def strip_review_blocks(pages: DataFrame, html_col: str = "html", out: str = "html") -> DataFrame:
     """Replace `<article … data-review-id="non-empty" …>…</article>` blocks by one space."""
-    return pages.withColumn(out, F.regexp_replace(F.col(html_col), REVIEW_ARTICLE_RE, " "))
+    return pages.withColumn(out, without_review_blocks(html_col))

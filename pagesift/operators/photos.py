@@ -10,7 +10,7 @@ from ..functions import html as H
 from ..functions.ids import stable_id
 from ..functions.text import let, safe_trim, to_int, unique_strings
 from ..functions.urls import url_key
-from .html import REVIEW_ARTICLE_RE, strip_review_blocks
+from .html import strip_review_blocks, without_review_blocks
 
 _W = "[A-Za-z0-9_]"
 # Photo rule patterns.
@@ -34,20 +34,19 @@ def photo_candidates(pages: DataFrame, id_cols=("page_id",), html_col: str = "ht
 
 
 def raw_candidates(html_col):
-    """array<struct<source_ordinal, pos, raw>>: image tags, then anchors with an href."""
-    def numbered(i, raws):
-        return F.transform(raws, lambda r, p: F.struct(F.lit(i).alias("source_ordinal"), p.alias("pos"), r.alias("raw")))
+    """array<struct<source_ordinal, pos, open, raw>>: image tags, then anchors with an href."""
+    def entry(i, pos, open_tag, raw):
+        return F.struct(F.lit(i).alias("source_ordinal"), pos.alias("pos"), open_tag.alias("open"), raw.alias("raw"))
 
-    images = numbered(0, F.regexp_extract_all(html_col, F.lit(H.void_pattern("img")), F.lit(0)))
-    anchors = F.filter(numbered(1, H.raw_matches(html_col, "a")), lambda e: F.lower(e["raw"]).contains("href"))
-    return F.concat(images, anchors)
+    images = F.transform(H.open_tags(html_col, "img"), lambda r, p: entry(0, p, r, r))
+    anchors = F.transform(H.element_array(html_col, "a"), lambda e, p: entry(1, p, e["open"], H.raw_element(e)))
+    return F.concat(images, F.filter(anchors, lambda e: F.lower(e["open"]).contains("href")))
 
 
 def candidates_from_raw(rows: DataFrame, id_cols=("page_id",)) -> DataFrame:
-    """Rows (ids, source_ordinal, pos, raw) -> candidate rows."""
+    """Rows (ids, source_ordinal, pos, open, raw) -> candidate rows."""
     image = F.col("source_ordinal") == 0
-    head = F.when(image, F.regexp_extract("raw", H.void_pattern("img"), 1)).otherwise(F.regexp_extract("raw", H.element_pattern("a"), 1))
-    rows = rows.withColumn("attrs", H.parse_attrs(H.attr_source(head)))
+    rows = rows.withColumn("attrs", H.open_attrs("open"))
 
     def at(name):
         return safe_trim(H.attr("attrs", name))
@@ -120,11 +119,11 @@ def place_photo_entries(pages: DataFrame, id_cols=("page_id", "url_key", "captur
 
 def place_photo_array(html_col: str = "html"):
     """The raw photo candidates of a place page without its review blocks, as one array."""
-    return raw_candidates(F.regexp_replace(html_col, REVIEW_ARTICLE_RE, " "))
+    return raw_candidates(without_review_blocks(html_col))
 
 
 def photo_entries_from_raw(rows: DataFrame, id_cols=("page_id", "captured_at")) -> DataFrame:
-    """Rows (ids, source_ordinal, pos, raw) of place pages -> kept, de-duplicated entries."""
+    """Rows (ids, source_ordinal, pos, open, raw) of place pages -> kept, de-duplicated entries."""
     return dedup_photos(filter_photos(candidates_from_raw(rows, id_cols), "place"), keys=id_cols)
 
 

@@ -56,17 +56,10 @@ def _first_text_of(elements_arr, pred) -> F.Column:
 
 
 def _tagged(html, tags, attribute):
-    """Elements of ``tags`` (tag-major order) that carry ``attribute``; raw matches
+    """Elements of ``tags`` (tag-major order) that carry ``attribute``; open tags
     not mentioning the attribute are skipped before any attribute parsing."""
-    arrs = []
-    for t in tags:
-        pat = H.element_pattern(t)
-        raws = F.filter(H.raw_matches(html, t), lambda r: F.lower(r).contains(attribute))
-        arrs.append(F.transform(raws, lambda r: F.struct(
-            H.parse_attrs(H.attr_source(F.regexp_extract(r, pat, 1))).alias("attrs"),
-            F.regexp_extract(r, pat, 2).alias("inner"))))
-    both = F.concat(*arrs) if len(arrs) > 1 else arrs[0]
-    return F.filter(both, lambda e: H.has_attr(e["attrs"], attribute))
+    found = F.transform(H.elements_of(html, tags, attribute), lambda e: F.struct(H.open_attrs(e["open"]).alias("attrs"), e["inner"].alias("inner")))
+    return F.filter(found, lambda e: H.has_attr(e["attrs"], attribute))
 
 
 def place_page_fields(pages: DataFrame, html_col: str = "html", keep: tuple = ()) -> DataFrame:
@@ -83,8 +76,8 @@ def place_page_fields(pages: DataFrame, html_col: str = "html", keep: tuple = ()
         H.tag_attr_lists(html, "meta").alias("_metas"),
         H.first(F.filter(H.jsonld_objects(html), _is_place_obj)).alias("_obj"),
         F.transform(
-            F.filter(H.raw_matches(html, "a"), lambda r: F.lower(r).contains("href")),
-            lambda r: H.parse_attrs(H.attr_source(F.regexp_extract(r, H.element_pattern("a"), 1)))).alias("_a_attrs"),
+            F.filter(H.element_array(html, "a"), lambda e: F.lower(e["open"]).contains("href")),
+            lambda e: H.open_attrs(e["open"])).alias("_a_attrs"),
     )
     hrefs = F.transform(F.filter("_a_attrs", lambda a: H.has_attr(a, "href")), lambda a: safe_trim(H.attr(a, "href")))
     stage2 = stage1.select(
@@ -93,8 +86,7 @@ def place_page_fields(pages: DataFrame, html_col: str = "html", keep: tuple = ()
         H.meta_content("_metas", TITLE_META).alias("meta_title"),
         H.meta_content("_metas", DESC_META).alias("meta_desc"),
         H.meta_content("_metas", ADDRESS_META).alias("meta_address"),
-        F.when(F.regexp_extract(html, H.element_pattern("title"), 0) != "",
-               collapse_ws(F.regexp_extract(html, H.element_pattern("title"), 2))).alias("title_text"),
+        collapse_ws(H.first(H.element_array(html, "title"))["inner"]).alias("title_text"),
         H.link_href(H.tag_attr_lists(html, "link"), "canonical").alias("canonical"),
         hrefs.alias("_hrefs"),
     )

@@ -106,11 +106,18 @@ def advance_progress(ledger: DataFrame, processed: DataFrame, batch_results: Dat
     return merged.unionByName(ids)
 
 
+SUMMARY_NAMES = ("search_result_count", "place_count", "review_count", "photo_count")
+
+
+def summary_of_counts(spark: SparkSession, *counts: int) -> DataFrame:
+    """O63 from counts taken while the four tables were written; reads none of them."""
+    return spark.range(1).select(*[F.lit(int(n)).cast("bigint").alias(name) for n, name in zip(counts, SUMMARY_NAMES)])
+
+
 def run_summary(search_results: DataFrame, place_rows: DataFrame, reviews: DataFrame, photos: DataFrame) -> DataFrame:
     """The four counts in one row (union of one-row aggregates, then a
     conditional sum — no cross join)."""
     parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("t"), "n")
              for i, df in enumerate((search_results, place_rows, reviews, photos))]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    names = ("search_result_count", "place_count", "review_count", "photo_count")
-    return u.agg(*[F.sum(F.when(F.col("t") == i, F.col("n"))).cast("bigint").alias(n) for i, n in enumerate(names)])
+    return u.agg(*[F.sum(F.when(F.col("t") == i, F.col("n"))).cast("bigint").alias(n) for i, n in enumerate(SUMMARY_NAMES)])

@@ -10,7 +10,7 @@ from ..functions.ids import stable_id
 from ..functions.labels import LIKES_RE, RATING_RE
 from ..functions.text import WS, collapse_ws, let, safe_trim, to_finite, to_int, unique_strings
 from ..functions.urls import url_key
-from .html import DEFAULT_BLOCK_TAGS, elements_with_attribute, raw_candidates, with_attribute
+from .html import DEFAULT_BLOCK_TAGS, elements_with_attribute, with_attribute
 
 # Attribute names and label patterns of review blocks.
 REVIEW_ATTR = "data-review-id"
@@ -24,8 +24,8 @@ PUBLISHED_LABEL_RE = "(?i)(?:posted|reviewed)" + WS + "+on" + WS + "+(.+?)(?:[·
 TIME_RE = r"""(?i)<time(?![A-Za-z0-9_])[^>]*datetime=["']([^"']+)["'][^>]*>"""
 DATA_RATING_RE = r"""(?i)data-rating=["']([^"']+)["']"""
 DATA_LIKES_RE = r"""(?i)data-like-count=["']([^"']+)["']"""
-STRIP_FOR_TEXT = (r"(?i)<time(?![A-Za-z0-9_])[\s\S]*?</time>", r"(?i)<img(?![A-Za-z0-9_])[\s\S]*?>",
-                  r"(?i)<button(?![A-Za-z0-9_])[\s\S]*?</button>")
+STRIP_FOR_TEXT = ((r"(?i)<time(?![A-Za-z0-9_])[\s\S]*?</time>", "</time>"), (r"(?i)<img(?![A-Za-z0-9_])[\s\S]*?>", ">"),
+                  (r"(?i)<button(?![A-Za-z0-9_])[\s\S]*?</button>", "</button>"))
 
 
 def review_blocks(pages: DataFrame, id_cols=("page_id",), html_col: str = "html") -> DataFrame:
@@ -34,44 +34,33 @@ def review_blocks(pages: DataFrame, id_cols=("page_id",), html_col: str = "html"
 
 
 def review_block_array(html_col: str = "html", limit: int | None = None):
-    """The raw review blocks of a page as one array, in order; with a limit the first max(limit, 1) of them, so that
+    """The review blocks of a page as one array, in order; with a limit the first max(limit, 1) of them, so that
     the others are never parsed."""
-    blocks = raw_candidates(html_col, REVIEW_ATTR, DEFAULT_BLOCK_TAGS)
+    blocks = H.elements_of(html_col, DEFAULT_BLOCK_TAGS, REVIEW_ATTR)
 
     def carries(e):
-        out = None
-        for i, t in enumerate(DEFAULT_BLOCK_TAGS):
-            found = H.has_attr(H.parse_attrs(H.attr_source(F.regexp_extract(e["raw"], H.element_pattern(t), 1))), REVIEW_ATTR)
-            out = F.when(e["tag_ordinal"] == i, found) if out is None else out.when(e["tag_ordinal"] == i, found)
-        return out
+        return H.has_attr(H.open_attrs(e["open"]), REVIEW_ATTR)
 
     return blocks if limit is None else F.slice(F.filter(blocks, carries), 1, max(int(limit), 1))
 
 
 def review_blocks_from_raw(rows: DataFrame, id_cols=("page_id", "captured_at")) -> DataFrame:
-    """Rows (ids, tag_ordinal, pos, raw) -> O40 rows."""
+    """Rows (ids, tag_ordinal, pos, open, inner, close) -> O40 rows."""
     return with_attribute(rows, REVIEW_ATTR, DEFAULT_BLOCK_TAGS, id_cols, with_text=False)
 
 
-def _nested_elements(fragment, attrs):
-    arrs = []
-    for t in NESTED_TAGS:
-        pat = H.element_pattern(t)
-        raws = F.filter(H.raw_matches(fragment, t), lambda r: F.lower(r).contains("data-"))
-        arrs.append(F.transform(raws, lambda r: F.struct(
-            H.parse_attrs(H.attr_source(F.regexp_extract(r, pat, 1))).alias("attrs"),
-            F.regexp_extract(r, pat, 2).alias("inner"))))
-    return F.concat(*arrs)
+def _nested_elements(fragment):
+    return F.transform(H.elements_of(fragment, NESTED_TAGS, "data-"), lambda e: F.struct(H.open_attrs(e["open"]).alias("attrs"), e["inner"].alias("inner")))
 
 
 def _nested_text(els, names) -> F.Column:
     """First attribute value (else element text) that is non-empty, attribute-major."""
-    outs = []
-    for n in names:
+    def of(n):
         vals = F.transform(F.filter(els, lambda e: H.has_attr(e["attrs"], n)),
                            lambda e: F.coalesce(safe_trim(H.attr(e["attrs"], n)), collapse_ws(e["inner"])))
-        outs.append(H.first(F.filter(vals, lambda v: v.isNotNull() & (v != ""))))
-    return F.coalesce(*outs)
+        return H.first(F.filter(vals, lambda v: v.isNotNull() & (v != "")))
+
+    return H.first(F.filter(F.transform(F.array(*[F.lit(n) for n in names]), of), lambda v: v.isNotNull()))
 
 
 def parse_review_blocks(blocks: DataFrame) -> DataFrame:
@@ -81,11 +70,12 @@ def parse_review_blocks(blocks: DataFrame) -> DataFrame:
         "*",
         safe_trim(H.attr("attrs", "data-review-id")).alias("review_id"),
         F.coalesce(safe_trim(H.attr("attrs", "aria-label")), collapse_ws(frag)).alias("label0"),
-        _nested_elements(frag, NESTED_TAGS).alias("_els"),
-        F.transform(F.filter(F.transform(F.filter(H.raw_matches(frag, "a"), lambda r: F.lower(r).contains("href")),
-                                         lambda r: H.parse_attrs(H.attr_source(F.regexp_extract(r, H.element_pattern("a"), 1)))),
+        _nested_elements(frag).alias("_els"),
+        F.transform(F.filter(F.transform(F.filter(H.element_array(frag, "a"), lambda e: F.lower(e["open"]).contains("href")),
+                                         lambda e: H.open_attrs(e["open"])),
                              lambda a: H.has_attr(a, "href")),
-                    lambda a: F.coalesce(*[safe_trim(H.attr(a, n)) for n in PROFILE_ATTRS])).alias("_profiles"),
+                    lambda a: H.first(F.filter(F.transform(F.array(*[F.lit(n) for n in PROFILE_ATTRS]), lambda n: safe_trim(H.attr(a, n))),
+                                               lambda v: v.isNotNull()))).alias("_profiles"),
     )
     label = F.col("label0")
     author_label = F.when(label.rlike(AUTHOR_LABEL_RE), safe_trim(F.regexp_extract(label, AUTHOR_LABEL_RE, 1)))
@@ -97,8 +87,8 @@ def parse_review_blocks(blocks: DataFrame) -> DataFrame:
         F.when(label.rlike(PUBLISHED_LABEL_RE), safe_trim(F.regexp_extract(label, PUBLISHED_LABEL_RE, 1))))
     explicit = _nested_text("_els", TEXT_ATTRS)
     stripped = frag
-    for pat in STRIP_FOR_TEXT:
-        stripped = F.regexp_replace(stripped, pat, " ")
+    for pat, close in STRIP_FOR_TEXT:
+        stripped = H.remove_spans(stripped, pat, close)
     text = F.coalesce(collapse_ws(explicit), let(collapse_ws(stripped), lambda t: F.nullif(t, F.lit(""))))
     translated = collapse_ws(_nested_text("_els", TRANSLATED_ATTRS))
     likes_raw = F.coalesce(F.when(frag.rlike(DATA_LIKES_RE), F.regexp_extract(frag, DATA_LIKES_RE, 1)),

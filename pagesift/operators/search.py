@@ -100,10 +100,8 @@ def listing_anchors(pages: DataFrame) -> DataFrame:
     """Listing anchors of search page snapshots with resolved URL and raw label
     (aria-label -> title -> collapsed inner HTML).  Narrow; HTML is dropped here."""
     ids = ["page_id", "keyword", "region", "page_no", "captured_at"]
-    a = pages.select(*ids, F.posexplode(H.raw_matches("html", "a")).alias("pos", "raw"))
-    pat = H.element_pattern("a")
-    a = a.select(*ids, "pos", H.parse_attrs(H.attr_source(F.regexp_extract("raw", pat, 1))).alias("attrs"),
-                 F.regexp_extract("raw", pat, 2).alias("inner_html"))
+    a = pages.select(*ids, F.posexplode(H.element_array("html", "a")).alias("pos", "_e"))
+    a = a.select(*ids, "pos", H.open_attrs("_e.open").alias("attrs"), F.col("_e.inner").alias("inner_html"))
     a = a.filter(H.has_attr("attrs", "href")).withColumn("href", H.attr("attrs", "href"))
     a = filter_listing_links(a)
     label = F.coalesce(safe_trim(H.attr("attrs", "aria-label")), safe_trim(H.attr("attrs", "title")),

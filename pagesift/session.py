@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # no call-site capture for each Column call: the extraction plans are built from some ten thousand of them
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # HTML rows are CPU-heavy: smaller scan splits give more parallel tasks
     "spark.sql.files.maxPartitionBytes": "32m",
     "spark.driver.memory": os.environ.get("PAGESIFT_DRIVER_MEMORY", "16g"),

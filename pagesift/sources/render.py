@@ -271,20 +271,19 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def net_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured network events from ``events``: 'view' = response received,
-    'click' = loading finished; request id = user id; seq = event id."""
+    'click' = loading finished, others under their own names; request id = user id; seq = event id."""
     e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
-    e = e.filter(F.col("event_type").isin("view", "click"))
-    recv = F.col("event_type") == "view"
+    recv, fin = F.col("event_type") == "view", F.col("event_type") == "click"
     eid = F.col("event_id")
     return e.select(
         F.col("user_id").cast("string").alias("request_id"),
-        F.when(recv, F.lit("responseReceived")).otherwise(F.lit("loadingFinished")).alias("event_type"),
+        F.when(recv, F.lit("responseReceived")).when(fin, F.lit("loadingFinished")).otherwise(F.col("event_type")).alias("event_type"),
         "ts", eid.alias("seq"),
         F.when(recv, F.concat(F.lit("https://api.example.com/u/"), F.col("user_id").cast("string"), F.lit("/e/"),
                               eid.cast("string"))).alias("url"),
         F.when(recv, (F.lit(200) + eid % 3).cast("int")).alias("status"),
         F.when(recv, F.lit("application/json")).alias("mime_type"),
-        F.when(~recv, F.concat(F.lit("  "), F.col("props"), F.lit("\n "))).alias("body"),
-        F.when(~recv, eid % 2 == 0).alias("base64"),
-        F.when(~recv, eid % 13 == 0).alias("body_failed"),
+        F.when(fin, F.concat(F.lit("  "), F.col("props"), F.lit("\n "))).alias("body"),
+        F.when(fin, eid % 2 == 0).alias("base64"),
+        F.when(fin, eid % 13 == 0).alias("body_failed"),
     )

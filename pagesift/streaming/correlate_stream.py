@@ -1,14 +1,17 @@
-"""Finish <-> latest earlier receive over an event stream, with keyed state.
+"""Finish <-> latest earlier receive over an event stream, right also when events arrive out of order.
 
-State per request id is the latest receive seen so far (the reference keeps a
-map that is never evicted).  With ``bound`` set, a watermark of that size is
-declared and a key's state expires once event time passes its last event plus
-the bound, which keeps state bounded.  Rows of one key in a micro-batch are
-processed in (ts, seq) order.
+Keyed state per request id holds the receives that may still be the latest earlier one of some finish, sorted by
+(ts, seq), and the finishes that may still change.
 
-All text is normalised by the batch job's expressions before grouping; the stateful
-step only carries the last receive forward, in one vectorised pass per key.  One
-key's rows of one micro-batch meet in one task.
+* With ``bound`` (how late an event may be) a watermark of that size is declared.  A finish waits until the watermark
+  has passed it, so that no earlier receive can follow, and is then emitted once.  Of the receives up to the
+  watermark only the last one is kept.  Event-time timers emit what waits when a request has no further events; a
+  later event of any request, or a heartbeat row, moves the watermark.  ``idle`` forgets a request so long after its last event.
+* Without ``bound`` nothing is ever final: a finish is emitted when it arrives, and again, with the next ``revision``,
+  when a late receive changes its answer.  ``latest_revisions`` keeps the last word on every finish.  All receives and finishes stay in the state.
+
+All text is normalised by the batch job's expressions before grouping.  One key's rows of one micro-batch meet in one
+task; the batch job (O70) has no such limit.
 """
 
 from __future__ import annotations
@@ -20,57 +23,114 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..functions.text import safe_trim
 from ..operators.netlog import FINISHED, RECEIVED
 
-OUT_SCHEMA = ("request_id string, url string, status int, mime_type string, body string, "
-              "base64_encoded boolean, timestamp timestamp, seq bigint")
-STATE_SCHEMA = "url string, status int, mime_type string, last_ts timestamp"
+_OUT = "request_id string, url string, status int, mime_type string, body string, base64_encoded boolean, us bigint, seq bigint, revision int"
+_RECEIVES = ("r_us", "r_seq", "r_url", "r_status", "r_mime")
+_FINISHES = ("f_us", "f_seq", "f_body", "f_base64", "f_match", "f_revision")
+_STATE = ("r_us array<bigint>, r_seq array<bigint>, r_url array<string>, r_status array<int>, r_mime array<string>, f_us array<bigint>, f_seq array<bigint>, "
+          "f_body array<string>, f_base64 array<boolean>, f_match array<string>, f_revision array<int>, last_us bigint")
+
+
+def _none(v):
+    """A pandas null as None."""
+    return None if v is None or v != v else v
+
 
+def _ordered(rows: list[tuple]) -> list[tuple]:
+    return sorted(rows, key=lambda r: r[:2])
 
-def _make_fn(bound_ms: int | None):
+
+def _latest_before(receives: list[tuple], finishes: list[tuple]) -> list[int]:
+    """For each finish the number of the last receive before it by (ts, seq), or -1; both lists are sorted."""
+    out, i = [], 0
+    for f in finishes:
+        while i < len(receives) and receives[i][:2] < f[:2]:
+            i += 1
+        out.append(i - 1)
+    return out
+
+
+def _make_fn(bounded: bool, idle_ms: int | None):
     def fn(key, pdfs, state):
-        import numpy as np
         import pandas as pd
 
-        if state.hasTimedOut:
+        old = dict(zip((*_RECEIVES, *_FINISHES, "last_us"), state.get)) if state.exists else {}
+        receives = list(zip(*(old.get(c) or [] for c in _RECEIVES)))
+        finishes = list(zip(*(old.get(c) or [] for c in _FINISHES)))
+        last = old.get("last_us") or -(2**62)
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                last = max(last, int(pdf["us"].max()))
+                got = pdf["received"]
+                for us, seq, url, status, mime in pdf.loc[got, ["us", "seq", "url", "status", "mime_type"]].itertuples(index=False):
+                    status = _none(status)
+                    receives.append((int(us), int(seq), url, None if status is None else int(status), _none(mime)))
+                for us, seq, body, base64 in pdf.loc[~got & ~pdf["body_failed"], ["us", "seq", "body", "base64"]].itertuples(index=False):
+                    finishes.append((int(us), int(seq), _none(body), bool(base64), None, -1))
+        receives, finishes = _ordered(receives), _ordered(finishes)
+        out, kept = [], []
+        passed = state.getCurrentWatermarkMs() * 1000 if bounded else None
+        for f, at in zip(finishes, _latest_before(receives, finishes)):
+            if bounded and f[0] > passed:
+                kept.append(f)
+                continue
+            r = receives[at] if at >= 0 else None
+            match = None if r is None else f"{r[0]}/{r[1]}"
+            if r is not None and match != f[4]:
+                f = (*f[:4], match, f[5] + 1)
+                out.append((key[0], r[2], r[3], r[4], f[2], f[3], f[0], f[1], f[5]))
+            if not bounded:
+                kept.append(f)
+        if bounded:
+            done = sum(r[0] <= passed for r in receives)
+            receives = receives[max(0, done - 1):]
+        expiry = None if idle_ms is None else last // 1000 + idle_ms
+        if bounded and not kept and (not receives or (expiry is not None and state.hasTimedOut and expiry <= passed // 1000)):
             state.remove()
-            return
-        batch = pd.concat(list(pdfs)).sort_values(["ts", "seq"], kind="stable").reset_index(drop=True)
-        old = state.get if state.exists else None
-        received = batch["received"].to_numpy(bool)
-        at = np.maximum.accumulate(np.where(received, np.arange(len(batch)), -1))
-        done = ~received & ~batch["body_failed"].to_numpy(bool) & ((at >= 0) | (old is not None))
-        rows, src = batch[done], at[done]
-        out = pd.DataFrame({"request_id": key[0]}, index=range(len(rows)))
-        for name, was in zip(("url", "status", "mime_type"), old or (None, None, None)):
-            values = batch[name].astype(object).to_numpy()[np.maximum(src, 0)]
-            out[name] = [was if i < 0 else None if pd.isna(v) else v for i, v in zip(src, values)]
-        out["status"] = out["status"].astype("Int32")
-        for name, col in (("body", "body"), ("base64_encoded", "base64"), ("timestamp", "ts"), ("seq", "seq")):
-            out[name] = rows[col].to_numpy()
-        if len(batch) and at[-1] >= 0:
-            last = batch.iloc[at[-1]]
-            old = (last["url"], None if pd.isna(last["status"]) else int(last["status"]), last["mime_type"], last["ts"])
-        if old is not None:
-            state.update(old)
-            if bound_ms is not None and len(batch):
-                state.setTimeoutTimestamp(max(int(batch["ts"].max().value // 1_000_000) + bound_ms, state.getCurrentWatermarkMs() + 1))
-        yield out
+        else:
+            lists = [[r[i] for r in receives] for i in range(len(_RECEIVES))] + [[f[i] for f in kept] for i in range(len(_FINISHES))]
+            state.update((*lists, last))
+            timers = ([kept[0][0] // 1000 + 1] if kept else []) + ([expiry] if expiry is not None else [])
+            if bounded and timers:
+                state.setTimeoutTimestamp(max(min(timers), passed // 1000 + 1))
+        cols = [c.split()[0] for c in _OUT.split(", ")]
+        frame = pd.DataFrame(out, columns=cols)
+        frame["status"] = frame["status"].astype("Int32")
+        yield frame
 
     return fn
 
 
-def stream_correlate_responses(events: DataFrame, bound: str | None = None) -> DataFrame:
-    """``events``: a streaming DataFrame with the net_events columns.  ``bound`` (such as "1 hour"): how late an event
-    may be, and how long after a request's last event its receive is kept; without it state is kept for ever."""
-    ev = events.withColumn("request_id", safe_trim("request_id")).filter(
-        F.col("request_id").isNotNull() & F.col("event_type").isin(RECEIVED, FINISHED))
-    ev = ev.select("request_id", "ts", "seq", (F.col("event_type") == RECEIVED).alias("received"),
+def _ms(text: str) -> int:
+    import pandas as pd
+
+    return int(pd.Timedelta(text).total_seconds() * 1000)
+
+
+def stream_correlate_responses(events: DataFrame, bound: str | None = None, idle: str | None = None) -> DataFrame:
+    """``events``: a streaming DataFrame with the net_events columns.  Rows as O70's, and ``revision`` (always 0 with a bound).  ``bound`` and ``idle`` are times such as
+    "1 hour"; ``idle`` needs a bound.  Events of other types only move the watermark."""
+    if idle is not None and bound is None:
+        raise ValueError("idle needs a bound")
+    kind = events.schema["ts"].dataType
+    ev = events.withColumn("request_id", safe_trim("request_id")).withColumn("ts", F.col("ts").cast("timestamp"))
+    if bound is not None:
+        ev = ev.withWatermark("ts", bound)
+    # the test names ts, so that it stays above the watermark, which every row moves
+    wanted = F.col("request_id").isNotNull() & F.col("event_type").isin(RECEIVED, FINISHED)
+    ev = ev.filter(F.when(F.col("ts").isNotNull(), wanted).otherwise(F.lit(False)))
+    ev = ev.select("request_id", "ts", F.unix_micros("ts").alias("us"), "seq", (F.col("event_type") == RECEIVED).alias("received"),
                    F.coalesce(safe_trim("url"), F.lit("")).alias("url"), "status", safe_trim("mime_type").alias("mime_type"),
                    safe_trim("body").alias("body"), F.coalesce("base64", F.lit(False)).alias("base64"),
                    F.coalesce("body_failed", F.lit(False)).alias("body_failed"))
-    timeout, bound_ms = GroupStateTimeout.NoTimeout, None
-    if bound is not None:
-        import pandas as pd
+    timeout = GroupStateTimeout.NoTimeout if bound is None else GroupStateTimeout.EventTimeTimeout
+    fn = _make_fn(bound is not None, None if idle is None else _ms(idle))
+    out = ev.groupBy("request_id").applyInPandasWithState(fn, _OUT, _STATE, "append", timeout)
+    return out.select("request_id", "url", "status", "mime_type", "body", "base64_encoded", F.timestamp_micros("us").cast(kind).alias("timestamp"), "seq", "revision")
 
-        ev = ev.withWatermark("ts", bound)
-        timeout, bound_ms = GroupStateTimeout.EventTimeTimeout, int(pd.Timedelta(bound).total_seconds() * 1000)
-    return ev.groupBy("request_id").applyInPandasWithState(_make_fn(bound_ms), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+
+def latest_revisions(emitted: DataFrame) -> DataFrame:
+    """Of every finish the row emitted last."""
+    key = ("request_id", "timestamp", "seq")
+    rest = [c for c in emitted.columns if c not in key and c != "revision"]
+    last = emitted.groupBy(*key).agg(F.max_by(F.struct(*rest), "revision").alias("_last"))
+    return last.select("request_id", *[F.col("_last")[c].alias(c) for c in rest], "timestamp", "seq")
