@@ -44,6 +44,12 @@ def digest_of(text_col: str):
     return F.unhex(F.md5(text_of(text_col).cast("binary")))
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc, k, d): the whole row as one struct, so that no column name of the table can clash, its key and its
+    text's digest."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key_of(id_col).alias("k"), digest_of(text_col).alias("d"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser over uint64 (bijective)."""
     x = x ^ (x >> np.uint64(30))

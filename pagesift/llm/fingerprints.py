@@ -126,31 +126,55 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of the next document in ascending id order; the last document is followed by the first.  ``near_*`` are the
     containment of the text's fingerprint in the edited text's and in the next document's.
 
-    Documents are dealt into ranges of ids at quantiles (four a shuffle partition, searched by bisection in the
-    expression) and sorted there, so the next document is the next row; the first document of each range, one row,
+    Documents are dealt into ranges of (id, text hash, place in the input) at quantiles (four a shuffle partition,
+    searched by bisection in the expression), so one id or one text may fill any number of them, and sorted there, so the next document is the next row; the first document of each range, one row,
     also goes to the end of the range before.  The text is shuffled once.
 
     Null text is empty (one empty set), null ids come last, equal ids are ordered by text hash, repeated rows are
     separate documents, a single document is its own next, an empty table gives no rows, other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(key_of(id_col).alias("k"), text_of(text_col).alias("text")).select("k", F.xxhash64("text").alias("h"), "text")
-    ranges = 4 * shuffle_partitions(spark)
-    cuts = docs.select(key_of(id_col).alias("k")).agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
+    # repeated rows are told apart by their place in the input
+    rows = docs.select(key_of(id_col).alias("k"), text_of(text_col).alias("text")).select("k", F.xxhash64("text").alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("u"), "text")
+    cuts = _cuts(rows.select("k", "h"), 4 * shuffle_partitions(spark))
     depth = max(1, len(cuts).bit_length())
-    padded = F.array(*[F.lit(c) for c in cuts + [2**63 - 1] * (2**depth - len(cuts))])
+    padded = F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for x, n in zip(c, "khu")]) for c in cuts + [(_END,) * 3] * (2**depth - len(cuts))])
     step = F.sequence(F.lit(depth - 1), F.lit(0), F.lit(-1))
-    bucket = F.aggregate(step, F.lit(0), lambda at, s: F.when(F.element_at(padded, F.call_function("shiftleft", F.lit(1), s) + at) < F.col("k"),
+    place = F.struct("k", "h", "u")
+    bucket = F.aggregate(step, F.lit(0), lambda at, s: F.when(F.element_at(padded, F.call_function("shiftleft", F.lit(1), s) + at) < place,
                                                             F.call_function("shiftleft", F.lit(1), s) + at).otherwise(at))
     rows = rows.withColumn("bucket", bucket if cuts else F.lit(0))
     # one row per range: the document that the range before it ends with
-    firsts = sorted(tuple(r) for r in rows.groupBy("bucket").agg(F.min(F.struct("k", "h")).alias("m")).select("bucket", "m.k", "m.h").collect())
-    guests = [(k, h, firsts[i - 1][0]) for i, (_, k, h) in enumerate(firsts)]
-    guests = spark.createDataFrame(guests, "gk long, gh long, before int")
-    rows = rows.join(F.broadcast(guests), (F.col("k") == F.col("gk")) & (F.col("h") == F.col("gh")), "left")
+    firsts = sorted(tuple(r) for r in rows.groupBy("bucket").agg(F.min(place).alias("m")).select("bucket", "m.*").collect())
+    guests = [(*m, firsts[i - 1][0]) for i, (_, *m) in enumerate(firsts)]
+    guests = spark.createDataFrame(guests, "gk long, gh long, gu long, before int")
+    rows = rows.join(F.broadcast(guests), (F.col("k") == F.col("gk")) & (F.col("h") == F.col("gh")) & (F.col("u") == F.col("gu")), "left")
     seat = F.when(F.col("before").isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g")))).otherwise(
         F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("g")), F.struct(F.col("before").alias("b"), F.lit(True).alias("g"))))
-    rows = rows.select("k", "h", "text", F.explode(seat).alias("s")).select("k", "h", "text", "s.b", "s.g")
-    out = rows.repartition("b").sortWithinPartitions("b", "g", "k", "h").select("k", "text", "g").mapInArrow(_compare, _SCHEMA)
+    rows = rows.select("k", "h", "u", "text", F.explode(seat).alias("s")).select("k", "h", "u", "text", "s.b", "s.g")
+    out = rows.repartition("b").sortWithinPartitions("b", "g", "k", "h", "u").select("k", "text", "g").mapInArrow(_compare, _SCHEMA)
     return out.select(id_of(F.col("k")).alias(id_col), *[c.split()[0] for c in _SCHEMA.split(", ")[1:]])
+
+
+_END = 2**63 - 1
+
+
+def _cuts(keys: DataFrame, ranges: int) -> list[tuple[int, int, int]]:
+    """At most ``ranges`` cuts (id, text hash, place) at quantiles.  An id that fills several ranges (null ids, a repeated id) is
+    cut at quantiles of its text hashes, and a hash that fills several of these (copies) at even steps of the place."""
+    def quantiles(c, n):
+        return F.percentile_approx(c, [i / n for i in range(1, n)], 100 * n)
+
+    at = keys.agg(quantiles("k", ranges).alias("c")).first()["c"] or []
+    share = {k: at.count(k) for k in set(at)}
+    heavy = {k: n for k, n in share.items() if n > 1}
+    cuts = [(k, _END, _END) for k in share]
+    if heavy:
+        inside = keys.where(F.col("k").isin(list(heavy))).groupBy("k").agg(quantiles("h", ranges).alias("c")).collect()
+        for r in inside:
+            n = heavy[r["k"]] + 1
+            hashes = [r["c"][i * len(r["c"]) // n] for i in range(1, n)]
+            for h in set(hashes):
+                m = hashes.count(h)
+                cuts += [(r["k"], h, _END)] + [(r["k"], h, -(2**63) + j * 2**64 // m) for j in range(1, m)]
+    return sorted(set(cuts))

@@ -33,8 +33,12 @@ WEIGHTS = (("public-domain", 0.1), ("unlicense", 0.1), ("cc0", 0.1), ("mit", 0.2
            ("apache", 0.2), ("cc-by-nc", 0.8), ("cc-by-nd", 0.7), ("cc-by-sa", 0.5), ("cc-by", 0.3), ("mpl", 0.4), ("epl", 0.4),
            ("lgpl", 0.5), ("agpl", 0.8), ("gpl", 0.7), ("reserved", 1.0), ("proprietary", 1.0))
 OTHER = 0.6
+#: Names that licence identifiers begin with; an identifier is one of them, alone or followed by a version or a suffix.
+FAMILIES = ("0bsd afl agpl apache artistic beerware bsd bsl cc cc0 cddl cecill curl epl eupl ftl gfdl gpl isc lgpl libpng mit mpl ms-pl ms-rl ncsa odbl ofl "
+            "openssl osl php postgresql proprietary psf public-domain python ruby unlicense vim w3c wtfpl x11 zlib zpl").split()
+_IDENTIFIER = re.compile("(?:licenseref|documentref)-.+|(?:" + "|".join(map(re.escape, FAMILIES)) + r")(?:[-+].*|v?\d.*)?|.*-exception(?:-.*)?")
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_EXPRESSION = re.compile(rb"[ \t]*[:=]?[ \t\"']*((?:[(]|[)]|[A-Za-z0-9][A-Za-z0-9.+-]*|[ \t])+)")
+_EXPRESSION = re.compile(rb"[ \t]*[:=][ \t\"']*((?:[(]|[)]|[A-Za-z0-9][A-Za-z0-9.+-]*|[ \t])+)")
 _TAG_TEXT = re.compile(rb"(?i)(?:spdx[^0-9A-Za-z\x80-\xff]+license(?:[^0-9A-Za-z\x80-\xff]+identifier)?|license[^0-9A-Za-z\x80-\xff]+expression)(?![0-9A-Za-z\x80-\xff])")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -44,8 +48,8 @@ def weight(label: str) -> float:
 
 
 def postfix(tokens: list[str]) -> list[str]:
-    """Shunting-yard: operators or < and < with, left to right, with parentheses.  A token where an operator is due
-    ends the expression (the text goes on); unbalanced parentheses and operators without operands are dropped."""
+    """Shunting-yard: operators or < and < with, left to right, with parentheses.  A token where an operator is due,
+    or one that is no licence identifier where an operand is due, ends the expression (the text goes on); unbalanced parentheses and operators without operands are dropped."""
     out, ops, operand = [], [], False
     for t in tokens:
         low = t.lower()
@@ -67,7 +71,7 @@ def postfix(tokens: list[str]) -> list[str]:
             ops.append(low)
             operand = False
         else:
-            if operand:
+            if operand or not _IDENTIFIER.fullmatch(low):
                 break
             out.append(low)
             operand = True

@@ -31,7 +31,7 @@ ROUNDS = SLICES = 2
 #: Most frequent tokens whose counts go to every worker (a bound on the broadcast); rarer ones are joined.
 HEAD = 100_000
 #: Documents advance side by side in so many lanes.
-LANES, TRAIN_LANES = 256, 96
+LANES, TRAIN_LANES = 512, 192
 #: Tokens that a task holds before it scores them.
 _GROUP = 3_000_000
 END = b"\n"  # cannot be a word
@@ -195,24 +195,23 @@ class Network:
         grads["wh"] += np.concatenate([g_uh, g_un], 1)
         grads["wx"] += p["emb"][at].T @ flat
         grads["b"] += flat.sum(0)
-        np.add.at(grads["emb"], at, flat @ p["wx"].T)
+        order = np.argsort(at, kind="stable")
+        who, first = np.unique(at[order], return_index=True)
+        grads["emb"][who] += np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
 
     def train(self, docs: list[np.ndarray], rate: float, seed: int = 5) -> int:
         """One pass of Adagrad over the documents (token numbers); returns the number of tokens."""
-        lanes = pack_lanes(docs, TRAIN_LANES)
+        lanes = Lanes(docs, TRAIN_LANES)
         state = {k: np.full_like(x, 1e-5) for k, x in self.p.items()}
-        h = np.zeros((lanes[0].shape[1], HIDDEN), np.float32)
-        ids, inputs, fresh, real = lanes
-        for lo in range(0, len(ids), WINDOW):
-            live = int(real[lo].sum())  # lanes that have not ended
-            w = (slice(lo, lo + WINDOW), slice(0, live))
+        h = np.zeros((lanes.width, HIDDEN), np.float32)
+        for lo in range(0, lanes.steps, WINDOW):
+            ids, inputs, fresh, on = lanes.window(lo, WINDOW)
             grads = {k: np.zeros_like(x) for k, x in self.p.items()}
-            out, h, saved = self.forward(inputs[w], fresh[w], h[:live], True)
-            on = real[w]
-            _, back = self.log_probs(out[on], ids[w][on], grads)
+            out, h, saved = self.forward(inputs, fresh, h[:ids.shape[1]], True)
+            _, back = self.log_probs(out[on], ids[on], grads)
             d_out = np.zeros_like(out)
             d_out[on] = back
-            self.backward(inputs[w], fresh[w], saved, d_out, grads)
+            self.backward(inputs, fresh, saved, d_out, grads)
             for k, g in grads.items():
                 np.clip(g, -0.5, 0.5, out=g)
                 state[k] += g * g
@@ -223,45 +222,62 @@ class Network:
         """Natural log probability of every document, the state carried from window to window."""
         if not docs:
             return []
-        ids, inputs, fresh, real, place = pack_lanes(docs, LANES, True)
+        lanes = Lanes(docs, LANES)
         table = self.p["emb"] @ self.p["wx"] + self.p["b"]
-        h = np.zeros((ids.shape[1], HIDDEN), np.float32)
-        got = np.zeros(ids.shape, np.float32)
-        for lo in range(0, len(ids), 2 * WINDOW):
-            live = int(real[lo].sum())  # lanes that have not ended
-            w = (slice(lo, lo + 2 * WINDOW), slice(0, live))
-            out, h, _ = self.forward(inputs[w], fresh[w], h[:live], False, table)
-            on = real[w]
-            part = np.zeros(on.shape, np.float32)
-            part[on] = self.log_probs(out[on], ids[w][on])[0]
-            got[w] = part
-        return [float(got[a:a + len(d), lane].sum(dtype=np.float64)) for d, (lane, a) in zip(docs, place)]
-
-
-def pack_lanes(docs: list[np.ndarray], lanes: int, where: bool = False):
-    """Documents end to end in lanes of near equal length, the longest first: targets, inputs (the token before; the
-    start mark at a document's head), heads and a mask of real tokens, each (steps, lanes)."""
-    lanes = max(1, min(lanes, len(docs)))
-    heap = [(0, i) for i in range(lanes)]
-    place = [(0, 0)] * len(docs)
-    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
-        used, lane = heap[0]
-        place[i] = (lane, used)
-        heapq.heapreplace(heap, (used + len(docs[i]), lane))
-    by_length = sorted(heap, reverse=True)  # the longest lane first, so that lanes end from the right
-    seat = {lane: i for i, (_, lane) in enumerate(by_length)}
-    place = [(seat[lane], a) for lane, a in place]
-    steps = by_length[0][0]
-    start = -1
-    ids = np.zeros((steps, lanes), np.int32)
-    inputs = np.full((steps, lanes), start, np.int32)
-    fresh, real = np.zeros((steps, lanes), bool), np.zeros((steps, lanes), bool)
-    for d, (lane, a) in zip(docs, place):
-        ids[a:a + len(d), lane] = d
-        inputs[a + 1:a + len(d), lane] = d[:-1]
-        fresh[a, lane] = True
-        real[a:a + len(d), lane] = True
-    return (ids, inputs, fresh, real, place) if where else (ids, inputs, fresh, real)
+        h = np.zeros((lanes.width, HIDDEN), np.float32)
+        got = np.zeros(lanes.end[-1], np.float32)
+        for lo in range(0, lanes.steps, 2 * WINDOW):
+            ids, inputs, fresh, on = lanes.window(lo, 2 * WINDOW)
+            out, h, _ = self.forward(inputs, fresh, h[:ids.shape[1]], False, table)
+            got[lanes.places(lo, on)] = self.log_probs(out[on], ids[on])[0]
+        return [float(got[a:a + len(d)].sum(dtype=np.float64)) for d, a in zip(docs, lanes.at)]
+
+
+class Lanes:
+    """Documents end to end in lanes of near equal length, the longest lane first.  Only the tokens themselves are
+    held, lane after lane; the (steps, lanes) matrices of a window are cut from them when it is its turn."""
+
+    def __init__(self, docs: list[np.ndarray], lanes: int):
+        lanes = max(1, min(lanes, len(docs)))
+        heap, members = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
+        for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+            used, lane = heap[0]
+            members[lane].append(i)
+            heapq.heapreplace(heap, (used + len(docs[i]), lane))
+        order = [lane for _, lane in sorted(heap, reverse=True)]  # the longest first, so that lanes end from the right
+        self.width = lanes
+        self.length = np.array([sum(len(docs[i]) for i in members[lane]) for lane in order], np.int64)
+        self.end = np.cumsum(self.length)
+        self.start = self.end - self.length
+        self.steps = int(self.length[0])
+        self.at = [0] * len(docs)  # a document's place among all tokens
+        self.tokens = np.empty(int(self.end[-1]), np.int32)
+        self.head = np.zeros(int(self.end[-1]), bool)
+        place = 0
+        for lane in order:
+            for i in members[lane]:
+                self.at[i] = place
+                self.tokens[place:place + len(docs[i])] = docs[i]
+                self.head[place:place + 1] = len(docs[i]) > 0
+                place += len(docs[i])
+
+    def _where(self, lo: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a window's tokens (steps, live lanes), and which of them are real."""
+        live = int(np.searchsorted(-self.length, -lo))  # lanes longer than lo
+        steps = int(min(steps, self.steps - lo))
+        t = np.arange(lo, lo + steps)[:, None]
+        on = t < self.length[None, :live]
+        return np.where(on, self.start[None, :live] + t, 0), on
+
+    def window(self, lo: int, steps: int):
+        """Targets, inputs (the token before; the start mark at a document's head), heads and a mask of real tokens."""
+        place, on = self._where(lo, steps)
+        fresh = self.head[place] & on
+        inputs = np.where(on & ~fresh, self.tokens[place - 1], -1)
+        return np.where(on, self.tokens[place], 0), inputs, fresh, on
+
+    def places(self, lo: int, on: np.ndarray) -> np.ndarray:
+        return self._where(lo, len(on))[0][on]
 
 
 # ---- distributed training and scoring ------------------------------------------------------------------------

@@ -391,9 +391,9 @@ def test_licence_expressions(text, labels, weight):
 # ---- 9
 
 
-@pytest.mark.parametrize("most", [200_000, 1])
-def test_contamination(spark, monkeypatch, docs, rows, most):
-    monkeypatch.setattr(decontamination, "MOST_HASHES", most)
+@pytest.mark.parametrize("bits", [64, 1])  # with one bit a gram nearly every window leaves its row
+def test_contamination(spark, monkeypatch, docs, rows, bits):
+    monkeypatch.setattr(decontamination, "BITS_PER_GRAM", bits)
     items = [(1, PASSAGE[:200]), (2, "one, TWO"), (3, rows[9][1].upper()), (4, None), (5, "..."), (12, rows[9][1]), (None, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = by_id(decontamination.contaminated_words(docs, bench))
@@ -452,7 +452,7 @@ def test_network_gradients_and_normalisation():
     net = lm.Network([100 - i for i in range(60)], 30)
     for k, x in net.p.items():
         net.p[k] = (x + rng.normal(0, 0.1, x.shape)).astype(np.float64)
-    ids, inputs, fresh, real = lm.pack_lanes([rng.integers(0, 61, n).astype(np.int32) for n in (9, 5, 4)], 2)
+    ids, inputs, fresh, real = lm.Lanes([rng.integers(0, 61, n).astype(np.int32) for n in (9, 5, 4)], 2).window(0, 99)
 
     def loss(grads=None):
         out, _, saved = net.forward(inputs, fresh, np.zeros((ids.shape[1], lm.HIDDEN)), True)
@@ -499,6 +499,6 @@ def test_state_is_carried_across_windows():
     net.p["ow"] = rng.normal(0, 1, net.p["ow"].shape).astype(np.float32)
     both = net.score(docs)
     assert both[0] == pytest.approx(net.score(docs[:1])[0], abs=1e-2) and both[1] == pytest.approx(net.score(docs[1:])[0], abs=1e-3)
-    ids, inputs, fresh, _ = lm.pack_lanes(docs[:1], 1)
+    ids, inputs, fresh, _ = lm.Lanes(docs[:1], 1).window(0, len(docs[0]))
     out, _, _ = net.forward(inputs, fresh, np.zeros((1, lm.HIDDEN), np.float32))
     assert both[0] == pytest.approx(float(net.log_probs(out[:, 0], ids[:, 0])[0].sum()), abs=1e-2)
