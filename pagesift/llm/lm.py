@@ -71,7 +71,11 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 # ---- the network ---------------------------------------------------------------------------------------------
 
 def _sigmoid(x):
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+    y = np.float32(0.5) * x
+    np.tanh(y, out=y)
+    y *= np.float32(0.5)
+    y += np.float32(0.5)
+    return y
 
 
 class Network:
@@ -140,9 +144,8 @@ class Network:
         out = own_logit - np.log(total)
         back = None
         if grads is not None:
-            e /= total
-            e[cls, rows] -= 1
-            e /= len(targets)
+            e *= 1 / (total * len(targets))
+            e[cls, rows] -= 1 / len(targets)
             grads["cw"] += states.T @ e.T
             grads["cb"] += e.sum(1)
             back = e.T @ p["cw"].T
@@ -162,9 +165,8 @@ class Network:
             total = e.sum(0)
             out[at] += own_logit - np.log(total)
             if grads is not None:
-                e /= total
-                e[k, own] -= 1
-                e /= len(targets)
+                e *= 1 / (total * len(targets))
+                e[k, own] -= 1 / len(targets)
                 grads["ow"][c] += s.T @ e.T
                 grads["ob"][c] += e.sum(1)
                 back[at] += e.T @ p["ow"][c].T
