@@ -25,8 +25,9 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 
 def normalize_ledger(ledger: DataFrame) -> DataFrame:
     """Indexes truncated toward zero and clamped at >= 0; completed ids unique."""
-    kw = ledger.filter(F.col("place_id").isNull()).withColumn(
-        "next_place_index", F.greatest(F.lit(0), F.coalesce(F.col("next_place_index").cast("int"), F.lit(0))))
+    kw = ledger.filter(F.col("place_id").isNull()).withColumns({
+        "next_place_index": F.greatest(F.lit(0), F.coalesce(F.col("next_place_index").cast("int"), F.lit(0))),
+        "keyword_index": F.when(F.col("keyword_index").isNotNull(), F.greatest(F.lit(0), F.col("keyword_index").cast("int")))})
     ids = ledger.filter(F.col("place_id").isNotNull()).dropDuplicates(["region", "place_id"])
     return kw.unionByName(ids)
 
