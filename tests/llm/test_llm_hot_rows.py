@@ -38,13 +38,13 @@ def test_decontaminated_rows_keep_their_columns(spark):
 def test_a_very_long_text_takes_memory_of_its_own_length():
     rng = np.random.default_rng(0)
     net = lm.Network([10] * 50, 5)
-    docs = [rng.integers(0, 50, 300_000).astype(np.int32)] + [rng.integers(0, 50, 10).astype(np.int32) for _ in range(255)]
+    docs = [rng.integers(0, 50, 40_000).astype(np.int32)] + [rng.integers(0, 50, 10).astype(np.int32) for _ in range(255)]
     tracemalloc.start()
     scores = net.score(docs)
     net.train(docs, 0.1)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert len(scores) == 256 and peak < 30e6  # a dense matrix of 256 lanes would take some 900 MB
+    assert len(scores) == 256 and peak < 30e6  # a dense matrix of 256 lanes would take some 120 MB
 
 
 def test_two_million_tokens_are_held_once():
