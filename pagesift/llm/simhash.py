@@ -1,7 +1,7 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-Fingerprints within ``MAX_BITS`` bits are linked and components are formed.  Candidates meet in band groups: with
-MAX_BITS + 1 bands, two such fingerprints agree in at least one whole band.  Inside a group the fingerprints are
+Fingerprints within ``MAX_BITS`` bits are linked and components are formed.  Candidates meet in key groups: of
+MAX_BITS + 2 blocks, two such fingerprints agree in at least two (``key_masks``).  Inside a group the fingerprints are
 sorted by Gray rank and indexed: each node holds a mask of the bits that all fingerprints below share and their
 pattern, so a query adds up differences on newly shared bits on its way down and drops a whole node once they
 exceed the limit.
@@ -9,6 +9,8 @@ exceed the limit.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,7 +22,7 @@ from .components import components
 
 MAX_BITS = 4
 SHINGLE = 4
-#: Rows of one side of a cell: larger band groups are split into cells of two blocks each.
+#: Rows of one side of a cell: larger key groups are divided by more bits, then split into cells of two blocks each.
 BLOCK = 4096
 #: Children of a node of the index.
 FANOUT = 8
@@ -181,14 +183,61 @@ def _cells(limit: int):
     return run
 
 
-def _bands(fp, limit: int):
-    """(band, value) of each of ``limit`` + 1 bands of nearly equal width."""
-    n, at, out = limit + 1, 0, []
-    for i in range(n):
-        width = 64 // n + (i < 64 % n)
-        out.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)).alias("value")))
-        at += width
-    return F.explode(F.array(*out))
+def key_masks(limit: int) -> list[tuple[int, list[int]]]:
+    """(mask, finer masks) of each key.  Of limit + 2 blocks of the 64 bits, two fingerprints within ``limit`` bits
+    agree in at least two, so every pair of blocks is a key; of limit + 1 bands of a key's other bits they agree in
+    at least one, so the key with each band is a finer one."""
+    def mask(bits):
+        m = sum(1 << i for i in bits)
+        return m - 2**64 if m >= 2**63 else m
+
+    def cut(bits, n):
+        return [bits[len(bits) * i // n:len(bits) * (i + 1) // n] for i in range(n)]
+
+    out = []
+    for pair in combinations(cut(range(64), limit + 2), 2):
+        own = [i for block in pair for i in block]
+        rest = [i for i in range(64) if i not in own]
+        out.append((mask(own), [mask(own + band) for band in cut(rest, limit + 1)]))
+    return out
+
+
+def _longs(values):
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
+def _keyed(rows: DataFrame, limit: int) -> DataFrame:
+    """Each row with every (key, value) of its fingerprint."""
+    masks = _longs([m for m, _ in key_masks(limit)])
+    keys = F.transform(masks, lambda m, i: F.struct(i.alias("key"), F.col("fp").bitwiseAND(m).alias("value")))
+    return rows.withColumn("b", F.explode(keys)).select(*rows.columns, "b.key", "b.value")
+
+
+def _open_groups(keyed: DataFrame) -> DataFrame:
+    """(key, value, n) of the groups that still hold several components."""
+    return (keyed.groupBy("key", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+            .where("lo <> hi").select("key", "value", "n"))
+
+
+def cells(labelled: DataFrame, limit: int) -> DataFrame:
+    """Rows (fp, label) -> (cell, fp, label, side), such that any two within ``limit`` bits and of different labels
+    meet in a cell of at most two blocks of ``BLOCK``.
+
+    A key has 21 bits or more at four differing bits.  Groups of more than ``BLOCK`` are divided by the finer keys,
+    which multiplies their rows by limit + 1 and divides their size by 2 to the band's width, however large they are.
+    Only what is still larger, thousands of fingerprints alike in 29 bits, is cut into cells of two blocks."""
+    keyed = _keyed(labelled, limit)
+    finer = F.array(*[_longs(fine) for _, fine in key_masks(limit)])
+    at = (limit + 1) * F.col("key") + (limit + 2) * (limit + 1) // 2
+    divided = F.transform(F.get(finer, F.col("key")), lambda m, i: F.struct((at + i).alias("key"), F.col("fp").bitwiseAND(m).alias("value")))
+    parts = F.when(F.col("n") > BLOCK, divided).otherwise(F.array(F.struct("key", "value")))
+    rows = keyed.join(_open_groups(keyed), ["key", "value"]).select("fp", "label", F.explode(parts).alias("b")).select("fp", "label", "b.key", "b.value")
+    rows = stage(rows, "simhash-open")
+    groups = _open_groups(rows).select("key", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(groups, ["key", "value"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("key", "value", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "fp", "label",
+                       F.when(F.col("block") == F.col("other"), 0).otherwise(F.signum(F.col("block") - F.col("other"))).cast("int").alias("side"))
 
 
 def _distance(a: str, b: str):
@@ -198,30 +247,21 @@ def _distance(a: str, b: str):
 def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Rows (fp, weight) of distinct fingerprints -> (node, component) of those with a partner within ``max_bits``.
 
-    First every band group links its members to its heaviest fingerprint where they are within the limit: joins and
-    aggregates only, so groups of near copies of one text collapse without comparing their members.  Then only band
-    groups that still hold several components are searched.  Groups larger than ``BLOCK`` are split into cells of
-    two blocks, so a task's memory is bounded and every pair of blocks still meets; a cell sends back at most one
-    link for each pair of components that it joins, never its pairs.
+    First every key group links its members to its heaviest fingerprint where they are within the limit: joins and
+    aggregates only, so groups of near copies of one text collapse without comparing their members.  Then only key
+    groups that still hold several components are searched, in cells that bound a task's memory; a cell sends back
+    at most one link for each pair of components that it joins, never its pairs.
     """
-    band = _bands(F.col("fp"), max_bits)
-    banded = fps.select("fp", "weight", band.alias("b")).select("fp", "weight", "b.band", "b.value")
-    hub = banded.groupBy("band", "value").agg(F.max(F.struct("weight", "fp")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hub = hub.select("band", "value", F.col("hub.fp").alias("hub"))
-    near = banded.join(hub, ["band", "value"]).where((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= max_bits))
+    keyed = _keyed(fps.select("fp", "weight"), max_bits)
+    hub = keyed.groupBy("key", "value").agg(F.max(F.struct("weight", "fp")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hub = hub.select("key", "value", F.col("hub.fp").alias("hub"))
+    near = keyed.join(hub, ["key", "value"]).where((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= max_bits))
     first = stage(near.select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "simhash-hubs")
     labels = components(first)
 
     labelled = fps.select("fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"))
     labelled = stage(labelled, "simhash-labels")
-    banded = labelled.select("fp", "label", band.alias("b")).select("fp", "label", "b.band", "b.value")
-    open_groups = (banded.groupBy("band", "value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-                   .where("lo <> hi").select("band", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows = banded.join(open_groups, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.xxhash64("band", "value", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "fp", "label",
-                       F.when(F.col("block") == F.col("other"), 0).otherwise(F.signum(F.col("block") - F.col("other"))).cast("int").alias("side"))
-    second = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(max_bits), "u long, v long")
+    second = cells(labelled, max_bits).repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(max_bits), "u long, v long")
     known = labelled.where("fp <> label").select(F.col("fp").alias("u"), F.col("label").alias("v"))
     return components(known.unionByName(second))
 

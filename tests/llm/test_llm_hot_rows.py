@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagesift.llm import decontamination, fingerprints, licenses, lm
+from pagesift.llm import decontamination, fingerprints, licenses, lm, simhash
 
 
 def test_a_large_benchmark_takes_the_same_plan(spark):
@@ -83,3 +83,35 @@ def test_hot_ids_are_cut(spark, copies):
 def test_only_licence_identifiers_are_operands(text, labels, score):
     got = licenses.scan(text.encode(), licenses.automaton())
     assert (got[5], pytest.approx(got[6])) == (labels, score)
+
+
+@pytest.mark.parametrize("n", [4096, 65536])
+def test_rows_of_a_key_group_do_not_grow_with_it(spark, n):
+    """Fingerprints that agree in 22 bits, otherwise at random, with close partners planted."""
+    rng = np.random.default_rng(n)
+    fp = rng.integers(0, 2**63, n, np.uint64) << np.uint64(1) & np.uint64(2**64 - 2**22) | np.uint64(5)
+    fp[1:101] = fp[101:201] ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64)) ^ np.uint64(7 << 40)
+    fp = np.unique(fp)
+    df = spark.createDataFrame([(int(x), int(x)) for x in fp.view(np.int64)], "fp long, label long")
+    cells = simhash.cells(df, simhash.MAX_BITS).cache()
+    assert cells.count() <= 20 * n
+    assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 2 * simhash.BLOCK
+    got = {r.node for r in simhash.link_fingerprints(df.select("fp", F.lit(1).alias("weight"))).collect()}
+    ordered = np.sort(fp)
+    want = set()
+    for lo in range(0, len(fp), 256):
+        near = np.bitwise_count(ordered[lo:lo + 256, None] ^ ordered[None, :]) <= simhash.MAX_BITS
+        want |= set(ordered[lo:lo + 256][near.sum(1) > 1].view(np.int64).tolist())
+    assert got == want and len(want) >= 200
+
+
+def test_keys_cover_every_choice_of_differing_bits():
+    rng = np.random.default_rng(1)
+    for limit in (0, 1, 4):
+        keys = simhash.key_masks(limit)
+        assert all(m & (2**64 - 1) == m & f & (2**64 - 1) for m, fine in keys for f in fine)
+        for _ in range(2000):
+            x = sum(1 << int(i) for i in rng.choice(64, limit, replace=False))
+            assert any(not m & x and any(not f & x for f in fine) for m, fine in keys)
+        # a finer key is found under whichever coarse key agrees
+        assert all(any(not f & x for f in fine) for m, fine in keys if not m & x)
