@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .text import NOT_WS, WS, WS_CHARS, col, collapse_ws, decode_entities, let, safe_trim
@@ -118,6 +118,8 @@ ATTR_RE = (
     "([^" + WS_CHARS + "=/>]+)(?:" + WS + "*=" + WS + "*(\"[^\"]*\"|'[^']*'|[^" + WS_CHARS + "\"'=<>`]+))?"
 )
 
+DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
 JSONLD_TYPE_RE = r"""(?i)type=["']application/ld\+json["']"""
 
 
@@ -205,7 +207,11 @@ def tag_attr_lists(html, tag: str) -> Column:
 
 
 def jsonld_objects(html) -> Column:
-    """array<variant>: JSON-LD script bodies, top-level arrays flattened one level."""
+    """array<variant>: JSON-LD script bodies, top-level arrays flattened one level.
+
+    Of a key that an object repeats the last value counts; Spark's parser needs a session setting for it, which is
+    set here for the active session and read when the query is planned."""
+    SparkSession.active().conf.set(DUPLICATE_KEYS, "true")
     bodies = F.transform(spans(html, F.lit("(?i)<script"), F.lit(tag_pattern("script")), F.lit("(?i)</script>"), lambda t: t.rlike(JSONLD_TYPE_RE)), lambda e: e["inner"])
     parsed = F.transform(bodies, lambda b: F.try_parse_json(F.regexp_replace(b, "^" + WS + "+|" + WS + "+$", "")))
     nested = F.transform(

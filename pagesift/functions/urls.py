@@ -24,10 +24,28 @@ def _encode_path_chars(s: Column) -> Column:
     return s
 
 
+_DOT_RE = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
+
+
+def remove_dot_segments(path) -> Column:
+    """A path with its ``.`` and ``..`` segments (also written ``%2e``) worked off: a stack of segments, of which ``..``
+    takes the last; either at the end leaves a trailing slash.  Other paths are returned as they are."""
+    def step(stack, e):
+        dots = F.regexp_replace(F.lower(e["s"]), "%2e", ".")
+        kept = F.when(dots == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).when(dots == ".", stack)
+        return F.when(dots.isin(".", ".."), F.when(e["last"], F.array_append(kept, F.lit(""))).otherwise(kept)).otherwise(F.array_append(stack, e["s"]))
+
+    def fold(segments):
+        each = F.transform(segments, lambda s, i: F.struct(s.alias("s"), (i == F.size(segments) - 1).alias("last")))
+        return F.concat(F.lit("/"), F.array_join(F.aggregate(each, F.array().cast("array<string>"), step), "/"))
+
+    return let(col(path), lambda p: F.when(p.rlike(_DOT_RE), let(F.split(F.substr(p, F.lit(2)), "/", -1), fold)).otherwise(p))
+
+
 def resolve_url(href) -> Column:
     """Resolve a link against https://www.google.com and normalise it:
     lower-case scheme and host, default port dropped, empty path -> '/',
-    backslashes as slashes, tabs/newlines removed, spaces percent-encoded."""
+    backslashes as slashes, tabs/newlines removed, dot segments removed, spaces percent-encoded."""
     h0 = F.regexp_replace(col(href), "[\\t\\n\\r]", "")
     h0 = F.regexp_replace(h0, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
 
@@ -56,7 +74,14 @@ def resolve_url(href) -> Column:
     out = let(h0, with_h)
     # empty path after the authority -> "/"
     out = F.regexp_replace(out, r"^([a-z][a-z0-9+.-]*://[^/?#]*)([?#]|$)", "$1/$2")
-    return _encode_path_chars(out)
+    return _encode_path_chars(let(out, _without_dots))
+
+
+def _without_dots(url: Column) -> Column:
+    head, path = r"^((?:https?|wss?|ftp)://[^/?#]*)", r"([^?#]*)"
+    plain = remove_dot_segments(F.regexp_extract(url, head + path, 2))
+    dotted = F.regexp_extract(url, head + path, 2).rlike(_DOT_RE)
+    return F.when(dotted, F.concat(F.regexp_extract(url, head, 1), plain, F.regexp_extract(url, head + path + r"([\s\S]*)$", 3))).otherwise(url)
 
 
 def url_key(url) -> Column:

@@ -90,17 +90,11 @@ def q_rank_limit(spark, sf):
 
 @query("parse_labels", oracle=f"""
 WITH {L.search_ctes()}
-SELECT place_url, name AS title, category, rating, review_count, snippet FROM ranked WHERE keyword = seg""")
+SELECT keyword, region, place_url, name AS title, category, rating, review_count, snippet FROM ranked""")
 def q_parse_labels(spark, sf):
-    links = S.listing_anchors(R.stored(spark, sf, 'search_pages'))
-    own = links.join(R.customers(spark, sf).select(F.col("seg").alias("keyword"), F.col("nat").alias("region"), "name"),
-                     ["keyword", "region"], "left_semi")
-    d = S.dedup_links(own, payload=("raw_label",))
-    p = S.parse_result_labels(d)
-    # keep one row per place under its own segment: the first listing's label
-    seg_of = R.customers(spark, sf).select(F.col("seg").alias("keyword"), F.col("canon"))
-    p = p.withColumn("canon", F.regexp_replace("place_url", r"\?.*$", "")).join(seg_of, ["keyword", "canon"], "left_semi")
-    return p.select("place_url", F.col("parsed_title").alias("title"), "category", "rating", "review_count", "snippet")
+    links = S.dedup_links(S.listing_anchors(R.stored(spark, sf, 'search_pages')), payload=("raw_label",))
+    return S.parse_result_labels(links).select("keyword", "region", "place_url", F.col("parsed_title").alias("title"),
+                                               "category", "rating", "review_count", "snippet")
 
 
 SR_COLS = "id, keyword, region, title, place_url, category, rating, review_count, snippet, rank, raw_label, keyword_index"
@@ -125,14 +119,15 @@ def q_results_pages_join(spark, sf):
                                               F.count(F.when(F.col("page_found"), 1)).alias("n_found"))
 
 
-@query("jsonld_objects", oracle="""
-SELECT c_custkey AS page_id, CAST(CASE c_custkey % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS n_objects
-FROM customer""")
+@query("jsonld_objects", oracle=f"""
+WITH {L.CUST}
+SELECT k AS page_id, 0 AS pos, name, 'https://schema.org' AS context, CAST(k AS VARCHAR) || ' Main St' AS street FROM cf WHERE k % 3 = 1
+UNION ALL SELECT k, 0, NULL, 'https://schema.org', NULL FROM cf WHERE k % 3 = 2
+UNION ALL SELECT k, 1, name, NULL, NULL FROM cf WHERE k % 3 = 2""")
 def q_jsonld_objects(spark, sf):
-    o = hops.extract_jsonld(R.stored(spark, sf, 'place_heads'))
-    pages = R.stored(spark, sf, 'place_heads').select("page_id")
-    return pages.join(o.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")), "page_id", "left").select(
-        "page_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_objects"))
+    o = hops.extract_jsonld(R.stored(spark, sf, 'place_pages'))
+    return o.select("page_id", "pos", H.v_string(H.vget("value", "name")).alias("name"), H.v_string(H.vget("value", "@context")).alias("context"),
+                    F.try_variant_get("value", "$.address.streetAddress", "string").alias("street"))
 
 
 @query("jsonld_place", oracle=f"""
@@ -161,7 +156,7 @@ SELECT k AS page_id, CASE WHEN k % 3 <> 0 THEN name END AS og_title, seg || ' in
   CASE WHEN k % 3 <> 0 THEN canon END AS canonical, CASE WHEN k % 3 = 2 THEN CAST(k AS VARCHAR) || ' Side Rd, ' || nat END AS street
 FROM cf""")
 def q_meta_and_links(spark, sf):
-    pages = R.stored(spark, sf, 'place_heads')
+    pages = R.stored(spark, sf, 'place_pages')
     a = hops.extract_meta(pages, PL.TITLE_META, out="og_title")
     b = hops.extract_meta(pages, PL.DESC_META, out="description")
     c = hops.extract_link_href(pages, "canonical", out="canonical")
@@ -398,14 +393,11 @@ def q_place_photos(spark, sf):
     return P.place_photos(pl, R.stored(spark, sf, 'place_pages')).select(*PHOTO_OUT)
 
 
-@query("review_photos", oracle=f"""WITH {L.review_ctes()}
-SELECT {sid('place_id', "'o' || CAST(o AS VARCHAR)", "'https://lh3.googleusercontent.com/rp/' || CAST(o AS VARCHAR) || '.jpg'")} AS id,
-  place_id, src AS place_url, 'o' || CAST(o AS VARCHAR) AS review_id, src AS review_url, 'review' AS photo_kind,
-  'https://lh3.googleusercontent.com/rp/' || CAST(o AS VARCHAR) || '.jpg' AS image_url, CAST(NULL AS VARCHAR) AS thumbnail_url,
-  CAST(NULL AS VARCHAR) AS alt_text, CAST(NULL AS BIGINT) AS width, CAST(NULL AS BIGINT) AS height, src AS source_url
-FROM rv WHERE o % 3 = 0 AND o % 10 <> 2""")
+@query("review_photos", oracle=f"""WITH {L.review_ctes()},
+rp AS (SELECT *, CASE WHEN o % 10 = 2 THEN {sid('place_id', 'pname', 'd', 'pri', 'idx')} ELSE 'o' || CAST(o AS VARCHAR) END AS rid,
+         'https://lh3.googleusercontent.com/rp/' || CAST(o AS VARCHAR) || '.jpg' AS image_url FROM rv WHERE o % 3 = 0)
+SELECT {sid('place_id', 'rid', 'image_url')} AS id, place_id, src AS place_url, rid AS review_id, src AS review_url, 'review' AS photo_kind,
+  image_url, CAST(NULL AS VARCHAR) AS thumbnail_url, CAST(NULL AS VARCHAR) AS alt_text, CAST(NULL AS BIGINT) AS width,
+  CAST(NULL AS BIGINT) AS height, src AS source_url FROM rp""")
 def q_review_photos(spark, sf):
-    pages = R.stored(spark, sf, 'place_pages')
-    rv = reviews_df(spark, sf)
-    urls = P.review_image_urls(pages).filter(F.col("review_id").isNotNull())
-    return P.review_photos(rv, urls).select(*PHOTO_OUT)
+    return P.review_photos(reviews_df(spark, sf), P.review_image_urls(R.stored(spark, sf, 'place_pages'))).select(*PHOTO_OUT)

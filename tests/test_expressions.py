@@ -2,6 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from pagesift.functions import html as H
 from pagesift.functions import text as T
 from pagesift.functions.ids import slugify, stable_id
 from pagesift.functions.urls import coords_from_url, encode_uri_component, resolve_url, url_key
@@ -59,3 +60,15 @@ def test_long_digits(spark):
     assert one(spark, T.to_finite(F.lit("0x1FFFFFFFFFFFFFFFF"))) == float(0x1FFFFFFFFFFFFFFFF)
     assert one(spark, T.to_finite(F.lit("0b101"))) == 5.0 and one(spark, T.to_finite(F.lit("0o17"))) == 15.0
     assert one(spark, T.to_finite(F.lit("0x" + "F" * 400))) is None
+
+
+def test_dot_segments_and_repeated_json_keys(spark):
+    want = {"/a/../b": "https://www.google.com/b", "https://h.com/a/b/..": "https://h.com/a/", "https://h.com/a/./b/.": "https://h.com/a/b/",
+            "../x": "https://www.google.com/x", "https://h.com/../../c?q=/../z#/./": "https://h.com/c?q=/../z#/./", "/a/%2E%2e/c": "https://www.google.com/c",
+            "https://h.com/a..b/.c/...": "https://h.com/a..b/.c/...", "mailto:a/../b": "mailto:a/../b", "/a//../b": "https://www.google.com/a/b"}
+    df = spark.createDataFrame([(u,) for u in want] + [(None,)], "u string")
+    assert {r.u: r.r for r in df.select("u", resolve_url("u").alias("r")).collect()} == {**want, None: None}
+    page = '<script type="application/ld+json">{"name": "old", "x": {"y": 1, "y": 2}, "name": "new"}</script>'
+    v = spark.createDataFrame([(page,)], "html string").select(F.explode(H.jsonld_objects("html")).alias("v"))
+    row = v.select(H.v_string(H.vget("v", "name")).alias("name"), F.try_variant_get("v", "$.x.y", "int").alias("y")).first()
+    assert (row.name, row.y) == ("new", 2)
