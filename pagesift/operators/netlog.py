@@ -28,19 +28,19 @@ def correlate_responses(events: DataFrame, predicate=None, bucket_seconds: int =
     recv_struct = F.struct(F.coalesce(safe_trim("url"), F.lit("")).alias("url"), "status",
                            safe_trim("mime_type").alias("mime_type"))
     is_recv = F.col("event_type") == RECEIVED
-    # last receive per (request, bucket): partial aggregate, skew-safe
-    last_in_bucket = (ev.filter(is_recv).groupBy("request_id", "_b")
-                      .agg(F.max_by(recv_struct, F.struct("ts", "seq")).alias("_last")))
-    fin_buckets = ev.filter(F.col("event_type") == FINISHED).select("request_id", "_b").distinct()
-    buckets = fin_buckets.join(last_in_bucket, ["request_id", "_b"], "full_outer")
+    is_fin = F.col("event_type") == FINISHED
+    ev = ev.filter(is_recv | is_fin)
+    # one partial aggregate per (request, bucket), without bodies and skew-safe: the last receive, and whether a finish asks
+    buckets = ev.groupBy("request_id", "_b").agg(
+        F.max_by(recv_struct, F.when(is_recv, F.struct("ts", "seq"))).alias("_last"), F.max(is_fin).alias("_asked"))
     wb = Window.partitionBy("request_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = buckets.select("request_id", "_b", F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
+    carry = (buckets.select("request_id", "_b", "_asked", F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
+             .filter(F.col("_asked") & F.col("_carry").isNotNull()).drop("_asked"))
     # within (request, bucket): running last receive strictly before each row
-    rows = ev.filter(is_recv | (F.col("event_type") == FINISHED)).withColumn(
-        "_r", F.when(is_recv, recv_struct))
+    rows = ev.withColumn("_r", F.when(is_recv, recv_struct))
     w = Window.partitionBy("request_id", "_b").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
     fin = (rows.withColumn("_prev", F.last("_r", ignorenulls=True).over(w))
-           .filter(F.col("event_type") == FINISHED))
+           .filter(is_fin))
     out = fin.join(carry, ["request_id", "_b"], "left").withColumn("_m", F.coalesce("_prev", "_carry"))
     out = out.filter(F.col("_m").isNotNull() & ~F.coalesce(F.col("body_failed"), F.lit(False)))
     res = out.select(

@@ -63,13 +63,10 @@ def q_search_seeds(spark, sf):
 # ---------------- O20-O24 ----------------
 @query("listing_links", oracle=f"""
 WITH {L.search_ctes()}
-SELECT keyword, region, CAST(count(*) AS BIGINT) AS n_links, CAST(count(DISTINCT place_url) AS BIGINT) AS n_urls
-FROM (SELECT keyword, region, place_url FROM ranked UNION ALL SELECT keyword, region, place_url FROM ranked WHERE k % 5 = 0)
-GROUP BY keyword, region""")
+SELECT keyword, region, place_url, raw_label FROM ranked
+UNION ALL SELECT keyword, region, place_url, raw_label FROM ranked WHERE k % 5 = 0""")
 def q_listing_links(spark, sf):
-    links = S.listing_anchors(R.stored(spark, sf, 'search_pages'))
-    return links.groupBy("keyword", "region").agg(
-        F.count(F.lit(1)).alias("n_links"), F.countDistinct("place_url").alias("n_urls"))
+    return S.listing_anchors(R.stored(spark, sf, 'search_pages')).select("keyword", "region", "place_url", "raw_label")
 
 
 @query("dedup_links", oracle=f"""
@@ -111,12 +108,10 @@ def q_search_results(spark, sf):
 # ---------------- O30-O38 ----------------
 @query("results_pages_join", oracle=f"""
 WITH {L.search_ctes()}
-SELECT keyword, region, CAST(count(*) AS BIGINT) AS n_results, CAST(count(*) AS BIGINT) AS n_found FROM sr
-GROUP BY keyword, region""")
+SELECT keyword, region, rank, place_url, k AS place_page_id, true AS page_found FROM sr""")
 def q_results_pages_join(spark, sf):
     j = PL.join_results_to_pages(search_results_df(spark, sf), place_fields_df(spark, sf), "left")
-    return j.groupBy("keyword", "region").agg(F.count(F.lit(1)).alias("n_results"),
-                                              F.count(F.when(F.col("page_found"), 1)).alias("n_found"))
+    return j.select("keyword", "region", "rank", "place_url", "place_page_id", "page_found")
 
 
 @query("jsonld_objects", oracle=f"""

@@ -54,3 +54,14 @@ def test_suffix_only_title_gives_unknown_place(spark):
 def test_empty_title_element_blocks_result_title_in_raw_title(spark):
     p = run(spark, "<title></title>")
     assert p.raw_title is None and p.name == "Result Title"
+
+
+def test_results_without_a_page_stay_flagged_in_a_left_join(spark):
+    seen, unseen = ("https://www.google.com/maps/place/%s/@1.5,2.25,17z" % n for n in ("Seen", "Unseen"))
+    rows = [(n, "kw", "Reg", n, url, None, None, None, None, i, None, TS, 0)
+            for i, (n, url) in enumerate([("a", seen + "?hl=en"), ("b", unseen), ("c", None)])]
+    res = spark.createDataFrame(rows, RES_SCHEMA)
+    pages = PL.place_page_fields(spark.createDataFrame([(7, seen, "<title>Seen</title>", "place", None, None, 0, TS)], PAGE_SNAPSHOT_SCHEMA))
+    left = {r.id: (r.place_page_id, r.page_found) for r in PL.join_results_to_pages(res, pages, "left").collect()}
+    assert left == {"a": (7, True), "b": (None, False), "c": (None, False)}
+    assert [r.id for r in PL.join_results_to_pages(res, pages).collect()] == ["a"]

@@ -116,3 +116,12 @@ def test_finishes_take_the_latest_earlier_receive(spark):
     for seconds in (5, 20, 100_000):  # the width of the time buckets does not matter
         got = N.correlate_responses(log, bucket_seconds=seconds).orderBy("seq").collect()
         assert [(r.seq, r.url, r.status, r.mime_type, r.body, r.base64_encoded) for r in got] == want
+
+
+def test_the_log_is_read_twice_and_bodies_once(spark, tmp_path):
+    where = str(tmp_path / "log")
+    rows = [("q", N.RECEIVED, WHEN, 1, "v/1", 200, "a/b", None, None, None)]
+    spark.createDataFrame(rows, "request_id string, event_type string, ts timestamp, seq bigint, url string, status int, mime_type string, body string, base64 boolean, body_failed boolean").write.parquet(where)
+    plan = N.correlate_responses(spark.read.parquet(where))._jdf.queryExecution().executedPlan().toString()
+    schemas = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert len(schemas) == 2 and sum("body#" in line.split("Batched")[0] for line in schemas) == 1
