@@ -262,9 +262,9 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         tag = hashlib.sha1(f"{key}".encode()).hexdigest()[:12]
         path = os.path.join(checkpoint_dir(spark), "rendered", f"{name}-{tag}")
         df = _BUILDERS[name](spark, sf_dir)
-        # several files so the HTML scan parallelises (rows are CPU-heavy, not big)
-        n = max(8, spark.sparkContext.defaultParallelism * 2)
-        df.repartition(n, "page_id").write.mode("overwrite").parquet(path)
+        # as many files as shuffle partitions that hold enough (adaptive execution keeps one a core at least): the HTML
+        # scan parallelises and a task's share does not grow with the table
+        df.repartition("page_id").write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(path)
 
