@@ -9,6 +9,7 @@ the HTML before anything is shuffled.
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -36,46 +37,66 @@ def before_last(text, mark: str = ">") -> Column:
     return F.left(s, F.length(s) - F.length(F.substring_index(s, mark, -1)))
 
 
+class Pieces(NamedTuple):
+    """A text already cut by ``cut``: given in place of the text, so that several lookups share one cut."""
+    column: Column
+
+
+def cut(text) -> Column:
+    """array<struct<p, l>>: what stands before each ``>`` of the text, as written and in lower case.  An open tag ends
+    with its piece, as its only ``>`` is its end; what follows the last ``>`` holds no tag and is left out."""
+    return let(F.split(col(text), ">", -1), lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda p: F.struct(p.alias("p"), F.lower(p).alias("l"))))
+
+
+def _with_pieces(text, fn) -> Column:
+    return fn(text.column) if isinstance(text, Pieces) else let(cut(text), fn)
+
+
+def _part(text: Column, pattern) -> Column:
+    """The first match of a pattern that may be a Column ('' without one)."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(0))
+
+
 def spans(text, start: Column, open_re: Column, close_re: Column, accept=None) -> Column:
     """array<struct<open, inner, close>>: what the pattern ``open_re`` + lazy body + ``close_re`` matches, in order and
     without overlaps, in time linear in the text.
 
-    ``open_re`` is an open tag (its only ``>`` is its end) that begins with ``start``, ``close_re`` a close tag;
-    ``accept`` may reject open tags.  The text is cut at its close tags.  Each piece's first complete open tag, with
-    the rest of the piece as its body, is a match; opens behind the last close tag are never tried.  An open tag whose
-    ``>`` is that of the next close tag takes the whole next piece as its body; in a run of pieces that hold nothing
-    else, every other one does.
+    ``open_re`` is an open tag (its only ``>`` is its end) that begins with ``start`` ("(?i)<name"), ``close_re`` its
+    close tag; ``accept`` may reject open tags.  Of the text's pieces only those with an open tag (O), a close tag (C) or
+    both (B) count, found by a plain test for the tag's name before any pattern is tried.  From an open tag to the next
+    piece that ends in a close tag is a match, and the search goes on behind it; opens behind the last close are never tried.
     """
-    def first_open(t):
-        hit = F.regexp_substr(t, open_re) if accept is None else F.get(F.filter(F.regexp_extract_all(t, open_re, F.lit(0)), accept), 0)
-        return F.coalesce(hit, F.lit(""))
+    name = F.lower(F.replace(F.substr(start, F.lit(6)), F.lit("\\"), F.lit("")))
 
-    def piece(p, c):
-        over = let(F.substring_index(p, ">", -1), lambda t: F.when(F.regexp_like(t, start), first_open(F.concat(t, c))).otherwise(F.lit("")))
-        return let(first_open(before_last(p)), lambda o: F.struct(
-            p.alias("p"), c.alias("c"), o.alias("o"), F.when(o == "", over).otherwise(F.lit("")).alias("over")))
+    def found(pieces, plain):
+        def mark(q, i):
+            def tried(has, pattern):
+                return F.when(has, _part(F.concat(q["p"], F.lit(">")), pattern)).otherwise(F.lit(""))
 
-    def own(e):
-        # the first place where the tag's text stands is the tag itself
-        inner = F.substr(e["p"], F.instr(e["p"], e["o"]) + F.length(e["o"]))
-        return F.when(e["o"] != "", F.struct(e["o"].alias("open"), inner.alias("inner"), e["c"].alias("close")))
+            def kind(e):
+                opens = (e["o"] != "") if accept is None else (e["o"] != "") & accept(e["o"])
+                closes = e["c"] != ""
+                return F.struct(i.alias("i"), e["o"].alias("o"), e["c"].alias("c"), F.when(opens & closes, "B").when(opens, "O").when(closes, "C").alias("k"))
 
-    def build(rows):
-        marks = F.array_join(F.transform(rows, lambda e: F.when(e["over"] != "", "1").otherwise("0")), "")
-        run = F.when(F.exists(rows, lambda e: e["over"] != ""), F.split(F.regexp_replace(marks, "11", "CB"), ""))
+            opens, closes = q["l"].contains(plain["open"]), q["l"].contains(plain["close"])
+            return F.when(opens | closes, let(F.struct(tried(opens, open_re).alias("o"), tried(closes, close_re).alias("c")), kind))
 
-        def with_overruns(run):
-            def one(e, i):
-                body = F.coalesce(F.get(run, i - 1).isin("1", "C"), F.lit(False))
-                return F.when(body, F.struct(F.get(rows, i - 1)["over"].alias("open"), e["p"].alias("inner"), e["c"].alias("close"))).otherwise(own(e))
-            return F.transform(rows, one)
+        def element(s, e):
+            body = F.array_join(F.transform(F.slice(pieces, s["i"] + 2, e["i"] - s["i"]), lambda q: q["p"]), ">")
+            inner = let(body, lambda x: F.left(x, F.length(x) + 1 - F.length(e["c"])))
+            return F.struct(s["o"].alias("open"), inner.alias("inner"), e["c"].alias("close"))
 
-        return F.filter(let(run, with_overruns), lambda e: e.isNotNull())
+        def build(tags):
+            marks = F.regexp_extract(F.array_join(F.transform(tags, lambda e: e["k"]), ""), "^.*[CB]", 0)
+            bounds = F.split(F.regexp_replace(marks, "[OB]([^CB]*)[CB]", "S$1E"), "")
+            # the n-th start and the n-th end belong together
+            both = let(bounds, lambda m: F.struct(*[F.filter(tags, lambda e, n: F.get(m, n) == which).alias(which) for which in "SE"]))
+            return let(both, lambda b: F.transform(b["S"], lambda s, n: element(s, F.get(b["E"], n))))
 
-    def cut(s):
-        return let(F.transform(s["closes"], lambda c, i: piece(F.get(s["parts"], i), c)), build)
+        return let(F.filter(F.transform(pieces, mark), lambda e: e["k"].isNotNull()), build)
 
-    return let(F.struct(F.split(col(text), close_re, -1).alias("parts"), F.regexp_extract_all(col(text), close_re, F.lit(0)).alias("closes")), cut)
+    plain = F.struct(F.concat(F.lit("<"), name).alias("open"), F.concat(F.lit("</"), name).alias("close"))
+    return _with_pieces(text, lambda pieces: let(plain, lambda names: found(pieces, names)))
 
 
 def element_array(html, tag: str) -> Column:
@@ -85,14 +106,22 @@ def element_array(html, tag: str) -> Column:
 
 def elements_of(html, tags, attribute: str | None = None) -> Column:
     """array<struct<tag_ordinal, pos, open, inner, close>>: the elements of several tags, all of the first tag, then of
-    the second...  With ``attribute`` those whose open tag names it: a cheap test before any attribute is parsed."""
-    def of(t, i):
-        found = spans(html, t["start"], t["open"], t["close"])
-        return F.transform(found, lambda e, p: F.struct(i.alias("tag_ordinal"), p.alias("pos"), e["open"].alias("open"), e["inner"].alias("inner"), e["close"].alias("close")))
+    the second...  With ``attribute`` those whose open tag names it: a cheap test before any attribute is parsed, and
+    a tag that never stands before that name in one piece is not searched for."""
+    each = F.array(*[F.struct(F.lit("(?i)<" + re.escape(t)).alias("start"), F.lit("<" + t.lower()).alias("plain"), F.lit(tag_pattern(t)).alias("open"), F.lit(close_pattern(t)).alias("close")) for t in tags])
 
-    each = F.array(*[F.struct(F.lit("(?i)<" + re.escape(t)).alias("start"), F.lit(tag_pattern(t)).alias("open"), F.lit(close_pattern(t)).alias("close")) for t in tags])
-    found = F.flatten(F.transform(each, of))
-    return found if attribute is None else F.filter(found, lambda e: F.lower(e["open"]).contains(attribute.lower()))
+    def in_pieces(pieces):
+        def of(t, i):
+            found = F.transform(spans(Pieces(pieces), t["start"], t["open"], t["close"]), lambda e, p: F.struct(
+                i.alias("tag_ordinal"), p.alias("pos"), e["open"].alias("open"), e["inner"].alias("inner"), e["close"].alias("close")))
+            if attribute is None:
+                return found
+            named = F.filter(found, lambda e: F.lower(e["open"]).contains(attribute.lower()))
+            return F.when(F.exists(pieces, lambda q: q["l"].contains(attribute.lower()) & q["l"].contains(t["plain"])), named)
+
+        return F.flatten(F.filter(F.transform(each, of), lambda x: x.isNotNull()))
+
+    return _with_pieces(html, in_pieces)
 
 
 def open_attrs(open_tag) -> Column:
@@ -166,7 +195,11 @@ def elements(html, tag: str, with_text: bool = True, with_raw: bool = False) ->
 
 def open_tags(html, tag: str) -> Column:
     """The ``<tag ...>`` tags of a page; what follows the last ``>`` holds none."""
-    return F.regexp_extract_all(before_last(html), F.lit(tag_pattern(tag)), F.lit(0))
+    def in_pieces(pieces):
+        found = F.transform(F.filter(pieces, lambda q: q["l"].contains("<" + tag.lower())), lambda q: F.regexp_extract(F.concat(q["p"], F.lit(">")), tag_pattern(tag), 0))
+        return F.filter(found, lambda o: o != "")
+
+    return _with_pieces(html, in_pieces)
 
 
 def first(arr) -> Column:
@@ -254,7 +287,7 @@ def page_text(html) -> Column:
 
 
 __all__ = [
-    "ATTR_RE", "NOT_WS", "attr", "before_last", "close_pattern", "element_array", "elements", "elements_of", "first",
+    "ATTR_RE", "NOT_WS", "Pieces", "attr", "before_last", "close_pattern", "cut", "element_array", "elements", "elements_of", "first",
     "has_attr", "jsonld_objects", "link_href", "meta_content", "open_attrs", "open_tags", "page_text", "parse_attrs",
     "raw_element", "remove_spans", "spans", "tag_attr_lists", "tag_pattern", "v_is_object", "v_is_string", "v_kind",
     "v_string", "v_text", "vget", "void_pattern",

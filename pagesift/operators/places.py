@@ -27,6 +27,10 @@ def _is_place_obj(v):
 
 def jsonld_place_fields(obj) -> F.Column:
     """Typed fields of the first JSON-LD place object (typeof rules kept)."""
+    return F.struct(*[c.alias(name) for name, c in _jsonld_place_columns(obj).items()])
+
+
+def _jsonld_place_columns(obj) -> dict[str, F.Column]:
     addr = H.vget(obj, "address")
     parts = F.filter(F.array(*[safe_trim(H.v_string(H.vget(addr, p))) for p in ADDRESS_PARTS]),
                      lambda x: x.isNotNull())
@@ -41,13 +45,12 @@ def jsonld_place_fields(obj) -> F.Column:
     pr = H.vget(obj, "priceRange")
     price_v = F.when(pr.isNotNull() & ~F.is_variant_null(pr), pr).otherwise(H.vget(obj, "priceLevel"))
     desc = H.vget(obj, "description")
-    return F.struct(
-        safe_trim(H.v_string(H.vget(obj, "name"))).alias("name"),
-        safe_trim(H.v_string(H.vget(obj, "@type"))).alias("category"),
-        address.alias("address"), coords.alias("coords"), rating.alias("rating"), count.alias("review_count"),
-        safe_trim(H.v_string(price_v)).alias("price_level"),
-        F.when(H.v_is_string(desc), collapse_ws(H.v_string(desc))).alias("description"),
-    )
+    return {
+        "name": safe_trim(H.v_string(H.vget(obj, "name"))), "category": safe_trim(H.v_string(H.vget(obj, "@type"))),
+        "address": address, "coords": coords, "rating": rating, "review_count": count,
+        "price_level": safe_trim(H.v_string(price_v)),
+        "description": F.when(H.v_is_string(desc), collapse_ws(H.v_string(desc))),
+    }
 
 
 def _first_text_of(elements_arr, pred) -> F.Column:
@@ -62,32 +65,39 @@ def _tagged(html, tags, attribute):
     return F.filter(found, lambda e: H.has_attr(e["attrs"], attribute))
 
 
-def place_page_fields(pages: DataFrame, html_col: str = "html", keep: tuple = ()) -> DataFrame:
+def place_page_fields(pages: DataFrame, html_col: str = "html", keep: tuple = (), cut_col: str | None = None,
+                      only: tuple | None = None) -> DataFrame:
     """Page-local extraction for place pages; the result has no HTML.
 
     Output: page_id, url_key, captured_at and struct ``p`` with every page-side
     candidate the fallbacks need.  Expensive text fallbacks (whole page text) are
     only evaluated for pages lacking the structured value.  ``keep`` names further
-    columns of ``pages`` to carry along.
+    columns of ``pages`` to carry along, ``cut_col`` a column with the page's cut
+    (``H.cut``); all lookups share one cut.  ``only`` names the fields of ``p`` that
+    the caller reads ("j.name", "phone"...): the others are null and not extracted.
     """
     html = F.col(html_col)
+    if cut_col is None:
+        pages, cut_col = pages.withColumn("_cut", H.cut(html)), "_cut"
+    pieces = H.Pieces(F.col(cut_col))
     stage1 = pages.select(
-        "page_id", url_key("url").alias("url_key"), "captured_at", html, *keep,
-        H.tag_attr_lists(html, "meta").alias("_metas"),
-        H.first(F.filter(H.jsonld_objects(html), _is_place_obj)).alias("_obj"),
+        "page_id", url_key("url").alias("url_key"), "captured_at", html, F.col(cut_col), *keep,
+        H.tag_attr_lists(pieces, "meta").alias("_metas"),
+        H.first(F.filter(H.jsonld_objects(pieces), _is_place_obj)).alias("_obj"),
         F.transform(
-            F.filter(H.element_array(html, "a"), lambda e: F.lower(e["open"]).contains("href")),
+            F.filter(H.element_array(pieces, "a"), lambda e: F.lower(e["open"]).contains("href")),
             lambda e: H.open_attrs(e["open"])).alias("_a_attrs"),
     )
     hrefs = F.transform(F.filter("_a_attrs", lambda a: H.has_attr(a, "href")), lambda a: safe_trim(H.attr(a, "href")))
+    jsonld = _jsonld_place_columns("_obj")
     stage2 = stage1.select(
-        "page_id", "url_key", "captured_at", html, *keep,
-        jsonld_place_fields("_obj").alias("j"),
+        "page_id", "url_key", "captured_at", html, F.col(cut_col), *keep,
+        *[c.alias("_j_" + name) for name, c in jsonld.items()],
         H.meta_content("_metas", TITLE_META).alias("meta_title"),
         H.meta_content("_metas", DESC_META).alias("meta_desc"),
         H.meta_content("_metas", ADDRESS_META).alias("meta_address"),
-        collapse_ws(H.first(H.element_array(html, "title"))["inner"]).alias("title_text"),
-        H.link_href(H.tag_attr_lists(html, "link"), "canonical").alias("canonical"),
+        collapse_ws(H.first(H.element_array(pieces, "title"))["inner"]).alias("title_text"),
+        H.link_href(H.tag_attr_lists(pieces, "link"), "canonical").alias("canonical"),
         hrefs.alias("_hrefs"),
     )
     phone1 = H.first(F.filter("_hrefs", lambda h: F.lower(h).startswith("tel:")))
@@ -95,26 +105,30 @@ def place_page_fields(pages: DataFrame, html_col: str = "html", keep: tuple = ()
     phone2 = let(first_href, lambda d: F.when(F.lower(d).startswith("tel:"), F.substring(d, 5, 1 << 30)))
     web1 = H.first(F.filter("_hrefs", lambda h: h.isNotNull() & ~h.startswith("tel:")
                             & ~h.contains("google.com/maps") & ~h.contains("googleusercontent.com")))
-    web2 = safe_trim(H.attr(H.first(_tagged(html, ("a", "div"), "data-website"))["attrs"], "data-website"))
-    item_addr = _first_text_of(_tagged(html, ("button", "div", "span"), "data-item-id"),
+    web2 = safe_trim(H.attr(H.first(_tagged(pieces, ("a", "div"), "data-website"))["attrs"], "data-website"))
+    item_addr = _first_text_of(_tagged(pieces, ("button", "div", "span"), "data-item-id"),
                                lambda e: F.lower(safe_trim(H.attr(e["attrs"], "data-item-id"))) == "address")
-    aria_addr = _first_text_of(_tagged(html, ("button", "div", "span"), "aria-label"),
+    aria_addr = _first_text_of(_tagged(pieces, ("button", "div", "span"), "aria-label"),
                                lambda e: F.coalesce(F.lower(safe_trim(H.attr(e["attrs"], "aria-label"))).contains("address"), F.lit(False)))
     html_address = F.coalesce(F.col("meta_address"), item_addr, aria_addr)
     page_text = collapse_ws(html)
-    no_struct_addr = F.col("j.address").isNull() & F.col("_html_address").isNull()
+    no_struct_addr = F.col("_j_address").isNull() & F.col("_html_address").isNull()
     addr_text = F.when(no_struct_addr, F.coalesce(address_from_text("meta_desc"), address_from_text(page_text)))
-    need_rc = F.col("j.rating").isNull() | F.col("j.review_count").isNull()
+    need_rc = F.col("_j_rating").isNull() | F.col("_j_review_count").isNull()
     rc_page = F.when(need_rc, F.coalesce(rating_count("meta_desc"), rating_count(page_text)))
-    stage3 = stage2.withColumn("_html_address", F.when(F.col("j.address").isNull(), html_address))
+    stage3 = stage2.withColumn("_html_address", F.when(F.col("_j_address").isNull(), html_address))
+    def pick(name, value):
+        # never true: a typed null, whose inputs the optimizer leaves out
+        return (value if only is None or name in only else F.when(F.lit(False), value)).alias(name.split(".")[-1])
+
     return stage3.select(
         "page_id", "url_key", "captured_at", *keep,
         F.struct(
-            F.col("j").alias("j"), "meta_title", "meta_desc", "title_text", "canonical",
-            F.coalesce(F.substring(phone1, 5, 1 << 30), phone2).alias("phone"),
-            F.coalesce(web1, web2).alias("website"),
-            F.col("_html_address").alias("html_address"), addr_text.alias("address_text"),
-            rc_page.alias("rc_page"),
+            F.struct(*[pick("j." + name, F.col("_j_" + name)) for name in jsonld]).alias("j"),
+            *[pick(name, F.col(name)) for name in ("meta_title", "meta_desc", "title_text", "canonical")],
+            pick("phone", F.coalesce(F.substring(phone1, 5, 1 << 30), phone2)),
+            pick("website", F.coalesce(web1, web2)),
+            pick("html_address", F.col("_html_address")), pick("address_text", addr_text), pick("rc_page", rc_page),
         ).alias("p"),
     )
 
@@ -123,9 +137,11 @@ def join_results_to_pages(results: DataFrame, page_fields: DataFrame, how: str =
     """Equi-join on the comparable URL (origin + path).  ``how='left'`` keeps
     results without a page and flags them with ``page_found``."""
     r = results.withColumn("url_key", url_key("place_url"))
-    j = r.join(page_fields.withColumnRenamed("page_id", "place_page_id")
+    # found is known on the page's side, so that a caller who wants no field has none extracted
+    found = page_fields.withColumn("page_found", F.col("p").isNotNull())
+    j = r.join(found.withColumnRenamed("page_id", "place_page_id")
                .withColumnRenamed("captured_at", "page_captured_at"), "url_key", how)
-    return j.withColumn("page_found", F.col("p").isNotNull())
+    return j.withColumn("page_found", F.coalesce("page_found", F.lit(False)))
 
 
 def place_records(joined: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def review_blocks(pages: DataFrame, id_cols=("page_id",), html_col: str = "html"
     return elements_with_attribute(pages, REVIEW_ATTR, DEFAULT_BLOCK_TAGS, id_cols, html_col, with_text=False)
 
 
-def review_block_array(html_col: str = "html", limit: int | None = None):
+def review_block_array(html_col="html", limit: int | None = None):
     """The review blocks of a page as one array, in order; with a limit the first max(limit, 1) of them, so that
     the others are never parsed."""
     blocks = H.elements_of(html_col, DEFAULT_BLOCK_TAGS, REVIEW_ATTR)
@@ -65,13 +65,13 @@ def _nested_text(els, names) -> F.Column:
 
 def parse_review_blocks(blocks: DataFrame) -> DataFrame:
     """Block rows (attrs, inner_html) -> parsed review fields (no ids yet)."""
-    frag = F.col("inner_html")
-    s1 = blocks.select(
+    frag, pieces = F.col("inner_html"), H.Pieces(F.col("_cut"))
+    s1 = blocks.withColumn("_cut", H.cut(frag)).select(
         "*",
         safe_trim(H.attr("attrs", "data-review-id")).alias("review_id"),
         F.coalesce(safe_trim(H.attr("attrs", "aria-label")), collapse_ws(frag)).alias("label0"),
-        _nested_elements(frag).alias("_els"),
-        F.transform(F.filter(F.transform(F.filter(H.element_array(frag, "a"), lambda e: F.lower(e["open"]).contains("href")),
+        _nested_elements(pieces).alias("_els"),
+        F.transform(F.filter(F.transform(F.filter(H.element_array(pieces, "a"), lambda e: F.lower(e["open"]).contains("href")),
                                          lambda e: H.open_attrs(e["open"])),
                              lambda a: H.has_attr(a, "href")),
                     lambda a: H.first(F.filter(F.transform(F.array(*[F.lit(n) for n in PROFILE_ATTRS]), lambda n: safe_trim(H.attr(a, n))),
@@ -94,7 +94,7 @@ def parse_review_blocks(blocks: DataFrame) -> DataFrame:
     likes_raw = F.coalesce(F.when(frag.rlike(DATA_LIKES_RE), F.regexp_extract(frag, DATA_LIKES_RE, 1)),
                            F.when(label.rlike(LIKES_RE), F.regexp_extract(label, LIKES_RE, 1)))
     return s1.select(
-        *[c for c in blocks.columns if c not in ("attrs", "inner_html", "raw", "text")],
+        *[c for c in blocks.columns if c not in ("attrs", "inner_html", "raw", "text", "_cut")],
         "review_id",
         F.coalesce(_nested_text("_els", AUTHOR_ATTRS), author_label).alias("author_name"),
         H.first(F.filter("_profiles", lambda v: v.isNotNull())).alias("author_profile_url"),

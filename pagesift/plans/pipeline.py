@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..operators import photos as P
 from ..operators import places as PL
 from ..functions.urls import url_key
@@ -55,8 +56,9 @@ def wanted_pages(place_pages: DataFrame, pending: DataFrame) -> DataFrame:
 def extract_place_pages(place_pages: DataFrame, max_reviews: int | None = DEFAULT_MAX_REVIEWS) -> DataFrame:
     """One page-local pass over place pages: the field struct, the review blocks up to the limit and the photo
     candidates as written in the page.  The HTML is read once; these rows are parsed before they meet an exchange."""
-    arrays = place_pages.withColumns({"_blocks": RV.review_block_array("html", max_reviews), "_photos": P.place_photo_array("html")})
-    return PL.place_page_fields(arrays, keep=("_blocks", "_photos"))
+    pages = place_pages.withColumn("_cut", H.cut("html"))
+    arrays = pages.withColumns({"_blocks": RV.review_block_array(H.Pieces(F.col("_cut")), max_reviews), "_photos": P.place_photo_array("html")})
+    return PL.place_page_fields(arrays, keep=("_blocks", "_photos"), cut_col="_cut")
 
 
 def place_tables(spark: SparkSession, pending: DataFrame, extract: DataFrame, ledger: DataFrame, max_reviews: int,
