@@ -25,12 +25,16 @@ def search_results_df(spark, sf, limit=None):
     return S.search_results(R.stored(spark, sf, 'search_pages'), limit, R.segments(spark, sf))
 
 
-def place_fields_df(spark, sf):
-    return PL.place_page_fields(R.stored(spark, sf, 'place_pages'))
+def place_fields_df(spark, sf, only=None):
+    return PL.place_page_fields(R.stored(spark, sf, 'place_pages'), only=only)
 
 
-def places_df(spark, sf, limit=None):
-    return PL.places(search_results_df(spark, sf, limit), place_fields_df(spark, sf))
+def places_df(spark, sf, limit=None, only=None):
+    return PL.places(search_results_df(spark, sf, limit), place_fields_df(spark, sf, only))
+
+
+# the page fields that make a place's id (source URL, name, region)
+ID_FIELDS = ("j.name", "meta_title", "title_text", "canonical")
 
 
 def place_select(df):
@@ -165,23 +169,23 @@ SELECT c_custkey AS page_id, CASE WHEN c_custkey % 2 = 0 THEN '+1-555-' || CAST(
        WHEN c_custkey % 2 = 1 THEN 'https://alt' || CAST(c_custkey AS VARCHAR) || '.example.com/' END AS website
 FROM customer""")
 def q_place_contacts(spark, sf):
-    return place_fields_df(spark, sf).select("page_id", F.col("p.phone").alias("phone"), F.col("p.website").alias("website"))
+    return place_fields_df(spark, sf, ("phone", "website")).select("page_id", F.col("p.phone").alias("phone"), F.col("p.website").alias("website"))
 
 
-def _place_query(cols):
+def _place_query(cols, only):
     def fn(spark, sf):
-        return place_select(places_df(spark, sf)).select(*cols)
+        return place_select(places_df(spark, sf, only=(*ID_FIELDS, *only))).select(*cols)
     return fn
 
 
-for _name, _cols in (
-    ("place_address", ["search_result_id", "address"]),
-    ("place_rating", ["search_result_id", "rating", "review_count"]),
-    ("place_coords", ["search_result_id", "lat", "lng"]),
+for _name, _cols, _only in (
+    ("place_address", ["search_result_id", "address"], ("j.address", "html_address", "address_text")),
+    ("place_rating", ["search_result_id", "rating", "review_count"], ("j.rating", "j.review_count", "rc_page")),
+    ("place_coords", ["search_result_id", "lat", "lng"], ("j.coords",)),
 ):
     query(_name, oracle=f"WITH {L.place_ctes()}\nSELECT id AS search_result_id, "
           + ", ".join({"address": "address", "rating": "p_rating AS rating", "review_count": "p_review_count AS review_count",
-                       "lat": "p_lat AS lat", "lng": "p_lng AS lng"}[c] for c in _cols[1:]) + " FROM pl")(_place_query(_cols))
+                       "lat": "p_lat AS lat", "lng": "p_lng AS lng"}[c] for c in _cols[1:]) + " FROM pl")(_place_query(_cols, _only))
 
 
 @query("places", oracle=f"WITH {L.place_ctes()}\nSELECT {L.PLACE_COLS} FROM pl")
@@ -220,8 +224,13 @@ REVIEW_OUT = ["id", "place_id", "place_url", "author_name", "author_profile_url"
               "translated_text", "likes", "source_url", "raw_label"]
 
 
+def linked_places_df(spark, sf):
+    """The de-duplicated places by what reviews and photos are attached to; other place fields are not extracted."""
+    return PL.dedup_places(places_df(spark, sf, only=ID_FIELDS).select("id", "region", "source_url", "url_key", "place_page_id", "keyword_index", "rank"))
+
+
 def reviews_df(spark, sf, limit=None):
-    pl = PL.dedup_places(places_df(spark, sf))
+    pl = linked_places_df(spark, sf)
     return RV.reviews_from_pages(pl, R.stored(spark, sf, 'place_pages'), limit)
 
 
@@ -248,7 +257,7 @@ SELECT CASE WHEN o % 2 = 1 THEN 'o' || CAST(o AS VARCHAR)
   CAST(o % 1000 AS BIGINT) * 1000 + 7 AS likes, coalesce(src, psrc) AS source_url, 'a|b' AS photo_ids
 FROM raw""")
 def q_normalize_reviews(spark, sf):
-    pl = PL.dedup_places(places_df(spark, sf))
+    pl = linked_places_df(spark, sf)
     o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     link = pl.select(F.col("id").alias("place_id"), F.col("place_page_id"))
     ok = F.col("o_orderkey")
@@ -384,7 +393,7 @@ SELECT {sid('pid', 'image_url')} AS id, pid AS place_id, source_url AS place_url
   CAST(NULL AS VARCHAR) AS review_url, 'place' AS photo_kind, image_url, thumbnail_url, alt_text, width, height, source_url
 FROM ph""")
 def q_place_photos(spark, sf):
-    pl = PL.dedup_places(places_df(spark, sf))
+    pl = linked_places_df(spark, sf)
     return P.place_photos(pl, R.stored(spark, sf, 'place_pages')).select(*PHOTO_OUT)
 
 
