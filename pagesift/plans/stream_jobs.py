@@ -64,27 +64,26 @@ NET_OUT = ("request_id", "url", "status", "mime_type", "body", "base64_encoded",
 
 
 def _drained(spark, log, file_no, bound=None):
-    """The correlated rows of a log that arrives in four files, a batch each."""
-    src, out = scratch_path(spark, "net-in"), scratch_path(spark, "net-out")
+    """The correlated rows of a log that arrives in four parts, a call and a batch each; as many tasks write and read a part as the log has splits."""
+    src, out, ckpt = (scratch_path(spark, n) for n in ("net-in", "net-out", "net-ckpt"))
     parted = log.withColumn("_file", file_no)
     for i in range(4):
-        parted.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (stream_correlate_responses(stream, bound).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "net-ckpt")).outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+        parted.where(F.col("_file") == i).drop("_file").write.mode("append").parquet(src)
+        stream = spark.readStream.schema(log.schema).parquet(src)
+        (stream_correlate_responses(stream, bound).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(out)
 
 
 @query("stream_correlate", oracle=NET_SQL)
 def q_stream_correlate(spark, sf):
-    """No bound: every request's events are spread over all four files without any order."""
+    """No bound: every request's events are spread over all four parts without any order."""
     return latest_revisions(_drained(spark, net_log(spark, sf), F.pmod(F.xxhash64("seq"), F.lit(4)))).select(*NET_OUT)
 
 
 @query("stream_correlate_bounded", oracle=NET_SQL)
 def q_stream_correlate_bounded(spark, sf):
-    """With a bound: events arrive up to a quarter of the log's span late, so that requests go over file borders and out
+    """With a bound: events arrive up to a quarter of the log's span late, so that requests go over borders of parts and out
     of order; a last heartbeat moves the watermark over the end."""
     log = net_log(spark, sf)
     us, kind = F.unix_micros(F.col("ts").cast("timestamp")), log.schema["ts"].dataType

@@ -106,3 +106,20 @@ def test_search_ends_late_pages_and_replays(spark, tmp_path):
     # a run that failed before its ledger part is repeated with the same id
     ended = PS.ended_searches(PS._stored(spark, f"{out}/search_pages"), PS._stored(spark, f"{out}/searches"))
     assert ended.count() == 0
+
+
+def test_requests_share_state_keys(spark, tmp_path):
+    """A call of the state function holds a bucket of requests, so calls do not grow with the number of requests."""
+    names = [f"r{i}" for i in range(40)]
+    parts = [[recv(0, "A", n) for n in names] + [fin(20, names[3])], [fin(10, n) for n in names] + [recv(5, "C", n) for n in names[::2]], BEAT]
+    want = pairs(correlate_responses(spark.createDataFrame(sum(parts, []), NET)))
+    assert len(want) == 41 and ("r0", 10, "C") in want and ("r1", 10, "A") in want
+    for bound in (None, "1 hour"):
+        src, out, ckpt = (str(tmp_path / f"{n}{bound}") for n in ("in", "out", "ckpt"))
+        for rows in parts:
+            spark.createDataFrame(rows, NET).coalesce(1).write.mode("append").parquet(src)
+            q = (stream_correlate_responses(spark.readStream.schema(NET).parquet(src), bound, buckets=3).writeStream.format("parquet")
+                 .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+            q.awaitTermination()
+            assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+        assert pairs(latest_revisions(spark.read.parquet(out))) == want
