@@ -20,10 +20,8 @@ NUMERIC_SEGMENT_RE = "(?i)^[\\d.,]+" + WS + "*(?:stars?|reviews?|★)?$"
 SEGMENT_SPLIT_RE = "[·•|]"
 TITLE_SUFFIX_RE = "(?i)" + WS + "*-" + WS + "*google maps$"
 # Address heuristics.
-ADDRESS_STREET_RE = (
-    "(?is)" + _B_BEFORE + "\\d{1,4}" + _B_AFTER + ".*" + _B_BEFORE
-    + "(?:street|st|road|rd|avenue|ave|lane|ln|boulevard|blvd)" + _B_AFTER
-)
+ADDRESS_NUMBER_RE = _B_BEFORE + "\\d{1,4}" + _B_AFTER
+STREET_WORD_RE = "(?i)" + _B_BEFORE + "(?:street|st|road|rd|avenue|ave|lane|ln|boulevard|blvd)" + _B_AFTER
 ADDRESS_WORDS_RE = "(?i)(tokyo|japan|shibuya|shinjuku|minato|chiyoda|setagaya|meguro|city|ward|ku|district)"
 
 
@@ -81,8 +79,11 @@ def parse_result_label(label) -> Column:
 
 
 def looks_like_address(c) -> Column:
+    """A street word anywhere behind a house number, or a place word.  What follows the first number holds what follows
+    any other, so one pass over it does: a pattern of both would go through the rest of the text for every number."""
     v = col(c)
-    return v.rlike(ADDRESS_STREET_RE) | F.lower(v).rlike(ADDRESS_WORDS_RE)
+    street = F.regexp_extract(v, ADDRESS_NUMBER_RE + "([\\s\\S]*)", 1).rlike(STREET_WORD_RE)
+    return street | F.lower(v).rlike(ADDRESS_WORDS_RE)
 
 
 def address_from_text(c) -> Column:

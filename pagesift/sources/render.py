@@ -100,9 +100,11 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         anchor,
         F.when(k % 5 == 0, anchor).otherwise(F.lit("")),
     )
+    # dealt by page before anything is rendered: the customers may be a single split
+    dealt = rows.select("*", F.col("listed_seg").alias("keyword"), F.col("nat").alias("region"),
+                        F.floor(k / CHUNK).cast("int").alias("page_no")).repartition("keyword", "region", "nk", "page_no")
     pages = (
-        rows.select(F.col("listed_seg").alias("keyword"), F.col("nat").alias("region"), "nk",
-                    F.floor(k / CHUNK).cast("int").alias("page_no"), k, entry.alias("entry"))
+        dealt.select("keyword", "region", "nk", "page_no", k, entry.alias("entry"))
         .groupBy("keyword", "region", "nk", "page_no")
         .agg(F.array_sort(F.collect_list(F.struct("k", "entry"))).alias("entries"))
         .join(seg.select("keyword", "keyword_index"), "keyword")
@@ -184,7 +186,8 @@ def place_pages(spark: SparkSession, sf_dir: str, with_reviews: bool = True) ->
         F.lit(' photo" width="800" height="600"><img src="https://lh3.googleusercontent.com/a/'), _s(k),
         F.lit('-avatar=w48-h48" alt="avatar"></body></html>'),
     )
-    base = cust.select("k", "canon", head.alias("head"), tail.alias("tail"))
+    # head and tail are rendered behind the exchange by key: the customers may be a single split
+    base = cust if with_reviews else cust.repartition("k")
     if with_reviews:
         o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
         blocks = (
@@ -200,7 +203,7 @@ def place_pages(spark: SparkSession, sf_dir: str, with_reviews: bool = True) ->
         body = F.lit("")
     return base.select(
         F.col("k").cast("bigint").alias("page_id"), F.col("canon").alias("url"),
-        F.concat("head", body, "tail").alias("html"), F.lit("place").alias("kind"),
+        F.concat(head, body, tail).alias("html"), F.lit("place").alias("kind"),
         F.lit(None).cast("string").alias("keyword"), F.lit(None).cast("string").alias("region"),
         F.lit(0).alias("page_no"), F.lit(BASE_TS).cast("timestamp").alias("captured_at"),
     )

@@ -52,3 +52,38 @@ def test_attributes(spark):
     got = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "i int, t string").select("i", H.open_attrs("t").alias("a")).orderBy("i").collect()
     assert [[tuple(x) for x in r.a] for r in got] == [
         [("href", "x&y"), ("b", "1"), ("c", "3"), ("d", ""), ("e", ""), ("href", "last")], [("c", "d")], [], [], [("x", ""), ("'un\"", ""), ("closed", "")], [("k", "v")]]
+
+
+def test_address_test_is_linear(spark):
+    """Many numbers without a street word behind them: a pattern of both goes through the rest of the text for every one."""
+    from pagesift.functions.labels import looks_like_address
+
+    cases = {"12 Main St": True, "Main St 12": False, "a12 b 3 c\nrd": True, "12345 Road": False, "12345 7 road": True, "7street": False, "7 xstreet, 8": False,
+             "1 a 2 b 3 c BLVD": True, "12_ st": False, "St 5 st": True, "5.st": True, "new ward": True, "": False, None: None}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", looks_like_address("t").alias("x")).collect()
+    assert {r.t: r.x for r in rows} == cases
+    start = time.time()
+    assert spark.range(1).select(F.repeat(F.lit("7 x "), 150_000).alias("t")).where(looks_like_address("t")).count() == 0
+    assert time.time() - start < 30
+
+
+def test_customers_are_dealt_before_pages_are_rendered(spark, tmp_path):
+    """The customers may be one split: heads and listing entries are rendered behind an exchange."""
+    from pagesift.sources import render as R
+
+    for name, rows, schema in (("customer", [(7, "C#7", 1, "S")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+                               ("nation", [(1, "N", 2)], "n_nationkey int, n_name string, n_regionkey int"), ("region", [(2, "R")], "r_regionkey int, r_name string"),
+                               ("orders", [(3, 7, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderpriority string")):
+        df = spark.createDataFrame(rows, schema)
+        (df if name != "orders" else df.withColumn("o_orderdate", F.lit("2024-01-02").cast("timestamp"))).write.parquet(f"{tmp_path}/{name}.parquet")
+    def plan(pages):
+        return pages._jdf.queryExecution().executedPlan().toString().splitlines()
+
+    def last(lines, mark):
+        return max(i for i, line in enumerate(lines) if mark in line)
+
+    place, search = R.place_pages(spark, str(tmp_path)), R.search_pages(spark, str(tmp_path))
+    assert place.count() == 1 and search.count() == 1
+    assert last(plan(place), "<html><head><title>") < last(plan(place), "LeftOuter")  # above the join with the review blocks
+    below = plan(search)[last(plan(search), '<a href="'):]
+    assert "REPARTITION_BY_COL" in "".join(below[:next(i for i, line in enumerate(below) if "FileScan" in line)])
