@@ -10,12 +10,11 @@ P(rare | state) * (c + 1) / (n + v + 1).
 from __future__ import annotations
 
 import heapq
-from collections import Counter
-from itertools import chain, repeat
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,31 +34,80 @@ LANES, TRAIN_LANES = 512, 192
 #: Tokens that a task holds before it scores them.
 _GROUP = 3_000_000
 END = b"\n"  # cannot be a word
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def tokens(text: bytes) -> list[bytes]:
-    """A-Z lower-cased words ``[^\\x20\\x09-\\x0D]+`` and one end."""
-    return text.translate(_LOWER).split() + [END]
+_WHITE = b" \t\n\r\x0b\x0c"
+_LOWER = bytes(32 if c in _WHITE else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of text that are cut into words together (a longer text stays whole).
+_CUT = 1 << 22
+#: Bytes of counted tokens that a task merges; what fills half of it after that is passed on.
+_HELD = 1 << 24
+
+
+def tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A-Z lower-cased words ``[^\\x20\\x09-\\x0D]+`` and one end of each text: (the distinct tokens, END last; their
+    numbers, text after text; where each text ends)."""
+    joined = b" ".join(texts).translate(_LOWER)
+    edge = np.zeros(len(joined) + 2, bool)
+    np.not_equal(np.frombuffer(joined, np.uint8), 32, out=edge[1:-1])
+    turn = np.flatnonzero(edge[1:] != edge[:-1])
+    start, end = turn[0::2], turn[1::2]
+    offsets = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(end - start, out=offsets[1:])
+    solid = joined.translate(None, b" ")
+    coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
+    words = pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())])
+    text_end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    ends = np.searchsorted(start, text_end) + np.arange(1, len(texts) + 1)
+    numbers = np.empty(len(start) + len(texts), np.int32)
+    inner = np.ones(len(numbers), bool)
+    inner[ends - 1] = False
+    numbers[inner] = coded.indices.to_numpy()
+    numbers[ends - 1] = len(words) - 1
+    return words, numbers, ends
+
+
+def _cuts(texts: list[bytes]):
+    """Runs of texts of about ``_CUT`` bytes."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > _CUT:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
 
 
 # ---- counts --------------------------------------------------------------------------------------------------
 
 def _count(batches):
-    seen: Counter = Counter()
+    seen, counts, held = [], [], 0
+
+    def merge():
+        """Counts of the distinct tokens so far; returns their bytes."""
+        coded = pa.chunked_array(seen, pa.binary()).combine_chunks().dictionary_encode()
+        seen[:] = [coded.dictionary]
+        counts[:] = [np.bincount(coded.indices.to_numpy(), np.concatenate(counts), len(coded.dictionary)).astype(np.int64)]
+        return coded.dictionary.nbytes
 
     def rows():
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "c"])
-        seen.clear()
-        return out
+        return pa.RecordBatch.from_arrays([seen[0], pa.array(counts[0])], names=["token", "c"])
 
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            for text in batch.column(0).slice(lo, 512).cast(pa.binary()).to_pylist():
-                seen.update(tokens(text))
-            if len(seen) > 400_000:
-                yield rows()
-    yield rows()
+        for lo in range(0, batch.num_rows, 2048):
+            for run in _cuts(batch.column(0).slice(lo, 2048).cast(pa.binary()).to_pylist()):
+                words, numbers, _ = tokens(run)
+                seen.append(words)
+                counts.append(np.bincount(numbers, minlength=len(words)))
+                held += words.nbytes
+                if held > _HELD:
+                    held = merge()
+                    if held > _HELD // 2:
+                        yield rows()
+                        seen, counts, held = [], [], 0
+    if seen:
+        merge()
+        yield rows()
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -70,12 +118,15 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 # ---- the network ---------------------------------------------------------------------------------------------
 
-def _sigmoid(x):
-    y = np.float32(0.5) * x
-    np.tanh(y, out=y)
-    y *= np.float32(0.5)
-    y += np.float32(0.5)
-    return y
+def _softmax(logits: np.ndarray, k: np.ndarray, cols: np.ndarray, bound: float):
+    """(log probability of row k of each column, exponentials in place of the logits, their sums); logits of at most 60
+    in size, which ``bound`` tells, need no shift."""
+    if not bound < 60:
+        logits -= logits.max(0)
+    own = logits[k, cols]
+    e = np.exp(logits, out=logits)
+    total = e.sum(0)
+    return own - np.log(total), e, total
 
 
 class Network:
@@ -104,120 +155,169 @@ class Network:
         return np.concatenate([x.ravel() for x in self.p.values()])
 
     def load(self, flat: np.ndarray) -> None:
-        at = 0
+        """Takes the parameters from ``flat``, as views of it if it is of single precision."""
+        self.p = self._cut(flat.astype(np.float32, copy=False))
+
+    def _cut(self, flat: np.ndarray) -> dict:
+        out, at = {}, 0
         for k, x in self.p.items():
-            self.p[k] = flat[at:at + x.size].reshape(x.shape).astype(np.float32)
+            out[k] = flat[at:at + x.size].reshape(x.shape)
             at += x.size
+        return out
 
-    def forward(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False, table=None):
+    # A window's arrays hold a block a step, in it a row a unit and a column a lane, so that a step runs along one block of
+    # memory; callers see states as (steps, lanes, units).
+
+    def forward(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
         """States after each step (T, B, HIDDEN) for inputs (T, B); ``fresh`` marks the first token of a document,
         where the carried state is cleared."""
-        p, H = self.p, HIDDEN
-        x = (p["emb"] @ p["wx"] + p["b"] if table is None else table)[inputs]
-        uh, un = np.ascontiguousarray(p["wh"][:, :2 * H]), np.ascontiguousarray(p["wh"][:, 2 * H:])
-        out = np.empty((*inputs.shape, H), np.float32)
-        saved = []
-        for t in range(len(inputs)):
-            if fresh[t].any():
-                h = h * ~fresh[t][:, None]
-            zr = _sigmoid(x[t, :, :2 * H] + h @ uh)
-            z, r = zr[:, :H], zr[:, H:]
-            n = np.tanh(x[t, :, 2 * H:] + (r * h) @ un)
-            if keep:
-                saved.append((h, z, r, n))
-            h = n + z * (h - n)
-            out[t] = h
-        return out, h, saved
+        p, H, E = self.p, HIDDEN, EMBED
+        T, B = inputs.shape
+        # a step's inputs are its embeddings, a row of ones for the bias and the state; a gate is 0.5 + 0.5 * tanh(x / 2)
+        w = np.concatenate([p["wx"], p["b"][None], p["wh"]]).T.copy()
+        w[:2 * H] *= 0.5
+        un = w[2 * H:, E + 1:].copy()
+        w[2 * H:, E + 1:] = 0
+        x = np.empty((T, E + 1 + H, B), w.dtype)
+        x[:, :E] = p["emb"][inputs].transpose(0, 2, 1)
+        x[:, E] = 1
+        gates = np.empty((T if keep else 1, 3 * H, B), w.dtype)
+        out = np.empty((T, H, B), w.dtype)
+        any_fresh = fresh.any(1)
+        h = np.ascontiguousarray(h.T)
+        for t in range(T):
+            if any_fresh[t]:
+                h = h * ~fresh[t]
+            x[t, E + 1:] = h
+            g = np.matmul(w, x[t], out=gates[t if keep else 0])
+            zr, n = g[:2 * H], g[2 * H:]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            n += un @ (zr[H:] * h)
+            np.tanh(n, out=n)
+            h = np.subtract(h, n, out=out[t])
+            h *= zr[:H]
+            h += n
+        return out.transpose(0, 2, 1), h.T, (x, gates)
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
         """Natural log probability of each target (rare ones: of the rare class) given its state; with ``grads`` also
         adds up the gradients of the mean loss and returns that of the states."""
-        p = self.p
-        cls = np.where(targets < self.size, targets // CLASS_SIZE, self.classes)
-        # one column a target: sums over the classes and over a class's tokens then run along whole rows
-        logits = p["cw"].T @ states.T + p["cb"][:, None]
-        logits -= logits.max(0)
-        rows = np.arange(len(targets))
-        own_logit = logits[cls, rows]
-        e = np.exp(logits, out=logits)
-        total = e.sum(0)
-        out = own_logit - np.log(total)
-        back = None
-        if grads is not None:
-            e *= 1 / (total * len(targets))
-            e[cls, rows] -= 1 / len(targets)
-            grads["cw"] += states.T @ e.T
-            grads["cb"] += e.sum(1)
-            back = e.T @ p["cw"].T
+        p, H, n = self.p, HIDDEN, len(targets)
+        cls = np.where(targets < self.size, targets // CLASS_SIZE, self.classes).astype(np.int16)
+        # tokens class by class, the rare ones last: a row a unit, and a row of ones for the biases
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            at = order[bounds[c]:bounds[c + 1]]
-            if not len(at):
-                continue
-            s = states[at]
-            inner = p["ow"][c].T @ s.T + p["ob"][c][:, None]
-            inner -= inner.max(0)
-            k = targets[at] - c * CLASS_SIZE
-            own = np.arange(len(at))
-            own_logit = inner[k, own]
-            e = np.exp(inner, out=inner)
-            total = e.sum(0)
-            out[at] += own_logit - np.log(total)
+        cls, targets, cols = cls[order], targets[order], np.arange(n)
+        s = np.ones((H + 1, n), states.dtype)
+        np.take(np.ascontiguousarray(states.T), order, axis=1, out=s[:H], mode="clip")
+        high = max(float(s.max()), -float(s.min()))
+        outer = np.concatenate([p["cw"], p["cb"][None]])
+        lp, e, total = _softmax(outer.T @ s, cls, cols, high * np.abs(outer).sum(0).max())
+        if grads is not None:
+            weight = 1 / (total * n)
+            e[cls, cols] -= total
+            g = (s * weight) @ e.T
+            grads["cw"] += g[:H]
+            grads["cb"] += g[H]
+            back = p["cw"] @ e
+            back *= weight
+        bounds = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        m = bounds[-1]
+        if m:
+            spans = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+            own = np.concatenate([p["ow"], p["ob"][:, None]], 1)
+            inner = np.empty((CLASS_SIZE, m), np.result_type(own, s))
+            for c, at in spans:
+                np.matmul(own[c].T, s[:, at], out=inner[:, at])
+            k, cols = targets[:m] % CLASS_SIZE, cols[:m]
+            more, e, total = _softmax(inner, k, cols, high * np.abs(own).sum(1).max())
+            lp[:m] += more
             if grads is not None:
-                e *= 1 / (total * len(targets))
-                e[k, own] -= 1 / len(targets)
-                grads["ow"][c] += s.T @ e.T
-                grads["ob"][c] += e.sum(1)
-                back[at] += e.T @ p["ow"][c].T
-        return out, back
+                weight = 1 / (total * n)
+                e[k, cols] -= total
+                sw = s[:, :m] * weight
+                d = np.empty((H, m), e.dtype)
+                for c, at in spans:
+                    g = sw[:, at] @ e[:, at].T
+                    grads["ow"][c] += g[:H]
+                    grads["ob"][c] += g[H]
+                    np.matmul(p["ow"][c], e[:, at], out=d[:, at])
+                d *= weight
+                back[:, :m] += d
+        out = np.empty_like(lp)
+        out[order] = lp
+        if grads is None:
+            return out, None
+        d_out = np.empty_like(back)
+        d_out[:, order] = back
+        return out, d_out.T
 
     def backward(self, inputs, fresh, saved, d_out, grads) -> None:
         """Truncated backpropagation through one window."""
-        p, H = self.p, HIDDEN
+        p, H, E = self.p, HIDDEN, EMBED
         T, B = inputs.shape
-        uh, un = p["wh"][:, :2 * H], p["wh"][:, 2 * H:]
-        d_x = np.empty((T, B, 3 * H), np.float32)
-        d_h = np.zeros((B, H), np.float32)
-        g_uh, g_un = np.zeros_like(uh), np.zeros_like(un)
+        x, gates = saved
+        h, z, r, n = x[:, E + 1:], gates[:, :H], gates[:, H:2 * H], gates[:, 2 * H:]
+        uh, un = p["wh"][:, :2 * H].copy(), p["wh"][:, 2 * H:].copy()
+        d_out = np.ascontiguousarray(d_out.transpose(0, 2, 1))
+        by_n = (1 - z) * (1 - n * n)
+        by_z = (h - n) * z * (1 - z)
+        rh = r * h
+        by_r = rh * (1 - r)
+        d_x = np.empty((T, 3 * H, B), np.result_type(gates, d_out))
+        d_h = np.zeros((H, B), d_x.dtype)
+        any_fresh = fresh.any(1)
         for t in range(T - 1, -1, -1):
-            h, z, r, n = saved[t]
-            d_h = d_h + d_out[t]
-            d_n = d_h * (1 - z) * (1 - n * n)
-            d_rh = d_n @ un.T
-            d_z = d_h * (h - n) * z * (1 - z)
-            d_r = d_rh * h * r * (1 - r)
-            d_zr = np.concatenate([d_z, d_r], 1)
-            g_un += (r * h).T @ d_n
-            g_uh += h.T @ d_zr
-            d_x[t, :, :2 * H], d_x[t, :, 2 * H:] = d_zr, d_n
-            d_h = (d_h * z + d_rh * r + d_zr @ uh.T) * ~fresh[t][:, None]
-        flat = d_x.reshape(-1, 3 * H)
-        at = inputs.ravel()
-        grads["wh"] += np.concatenate([g_uh, g_un], 1)
-        grads["wx"] += p["emb"][at].T @ flat
-        grads["b"] += flat.sum(0)
+            d_h += d_out[t]
+            d_zr, d_n = d_x[t, :2 * H], d_x[t, 2 * H:]
+            np.multiply(d_h, by_n[t], out=d_n)
+            d_rh = un @ d_n
+            np.multiply(d_h, by_z[t], out=d_zr[:H])
+            np.multiply(d_rh, by_r[t], out=d_zr[H:])
+            d_h *= z[t]
+            d_rh *= r[t]
+            d_h += d_rh
+            d_h += uh @ d_zr
+            if any_fresh[t]:
+                d_h *= ~fresh[t]
+        g = np.matmul(x, d_x.transpose(0, 2, 1)).sum(0)
+        grads["wx"] += g[:E]
+        grads["b"] += g[E]
+        grads["wh"][:, :2 * H] += g[E + 1:, :2 * H]
+        grads["wh"][:, 2 * H:] += np.matmul(rh, d_x[:, 2 * H:].transpose(0, 2, 1)).sum(0)
+        at = inputs.ravel().astype(np.int16 if self.size < 2**15 else np.int32)
         order = np.argsort(at, kind="stable")
-        who, first = np.unique(at[order], return_index=True)
-        grads["emb"][who] += np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0)
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        d_e = np.matmul(p["wx"], d_x).transpose(0, 2, 1).reshape(-1, E)
+        grads["emb"][at[first]] += np.add.reduceat(d_e[order], first, axis=0)
 
     def train(self, docs: list[np.ndarray], rate: float, seed: int = 5) -> int:
         """One pass of Adagrad over the documents (token numbers); returns the number of tokens."""
         lanes = Lanes(docs, TRAIN_LANES)
-        state = {k: np.full_like(x, 1e-5) for k, x in self.p.items()}
+        flat = self.flat()
+        self.p = self._cut(flat)
+        g, state = np.empty_like(flat), np.full_like(flat, 1e-5)
+        grads = self._cut(g)
+        rates = np.concatenate([np.full(x.size, rate * (0.1 if k in ("cb", "ob") else 1.0), flat.dtype) for k, x in self.p.items()])
         h = np.zeros((lanes.width, HIDDEN), np.float32)
         for lo in range(0, lanes.steps, WINDOW):
             ids, inputs, fresh, on = lanes.window(lo, WINDOW)
-            grads = {k: np.zeros_like(x) for k, x in self.p.items()}
+            g[:] = 0
             out, h, saved = self.forward(inputs, fresh, h[:ids.shape[1]], True)
-            _, back = self.log_probs(out[on], ids[on], grads)
-            d_out = np.zeros_like(out)
-            d_out[on] = back
-            self.backward(inputs, fresh, saved, d_out, grads)
-            for k, g in grads.items():
-                np.clip(g, -0.5, 0.5, out=g)
-                state[k] += g * g
-                self.p[k] -= rate * (0.1 if k in ("cb", "ob") else 1.0) * g / np.sqrt(state[k])
+            _, back = self.log_probs(_where_on(out, on), ids[on], grads)
+            if on.all():
+                d_out = back.T.reshape(HIDDEN, *on.shape)
+            else:
+                d_out = np.zeros((HIDDEN, *on.shape), np.float32)
+                d_out[:, on] = back.T
+            self.backward(inputs, fresh, saved, d_out.transpose(1, 2, 0), grads)
+            np.minimum(np.maximum(g, -0.5, out=g), 0.5, out=g)
+            state += g * g
+            g *= rates
+            g /= np.sqrt(state)
+            flat -= g
         return sum(map(len, docs))
 
     def score(self, docs: list[np.ndarray]) -> list[float]:
@@ -225,16 +325,21 @@ class Network:
         if not docs:
             return []
         lanes = Lanes(docs, LANES)
-        table = self.p["emb"] @ self.p["wx"] + self.p["b"]
         h = np.zeros((lanes.width, HIDDEN), np.float32)
         got = np.zeros(lanes.end[-1], np.float32)
-        for lo in range(0, lanes.steps, 2 * WINDOW):
-            ids, inputs, fresh, on = lanes.window(lo, 2 * WINDOW)
-            out, h, _ = self.forward(inputs, fresh, h[:ids.shape[1]], False, table)
-            got[lanes.places(lo, on)] = self.log_probs(out[on], ids[on])[0]
+        for lo in range(0, lanes.steps, WINDOW // 2):
+            ids, inputs, fresh, on = lanes.window(lo, WINDOW // 2)
+            out, h, _ = self.forward(inputs, fresh, h[:ids.shape[1]])
+            got[lanes.places(lo, on)] = self.log_probs(_where_on(out, on), ids[on])[0]
         return [float(got[a:a + len(d)].sum(dtype=np.float64)) for d, a in zip(docs, lanes.at)]
 
 
+def _where_on(out: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """States (tokens, HIDDEN) of a window's real tokens."""
+    cols = out.transpose(2, 0, 1).reshape(out.shape[2], -1)
+    return (cols if on.all() else cols[:, on.ravel()]).T
+
+
 class Lanes:
     """Documents end to end in lanes of near equal length, the longest lane first.  Only the tokens themselves are
     held, lane after lane; the (steps, lanes) matrices of a window are cut from them when it is its turn."""
@@ -284,15 +389,20 @@ class Lanes:
 
 # ---- distributed training and scoring ------------------------------------------------------------------------
 
-def _numbers(text: bytes, number: dict, rare: int) -> np.ndarray:
-    words = tokens(text)
-    return np.fromiter(map(number.get, words, repeat(rare)), np.int32, len(words))
+def _numbers(texts: list[bytes], vocabulary: pa.Array) -> list[np.ndarray]:
+    """Each text's tokens by their places in the vocabulary, its size for others."""
+    words, at, ends = tokens(texts)
+    at = _look_up(words, vocabulary, len(vocabulary))[at]
+    return [at[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
-def _train_part(net: Network, vocabulary, rate: float):
-    number = {w: i for i, w in enumerate(vocabulary)}
+def _look_up(words: pa.Array, table: pa.Array, other: int) -> np.ndarray:
+    return pc.index_in(words, value_set=table).fill_null(other).to_numpy()
+
 
+def _train_part(net: Network, vocabulary, rate: float):
     def run(batches):
+        known = pa.array(vocabulary, pa.binary())
         total, start, first = 0, net.flat(), True
         weighted = np.zeros(len(start))
         docs, size = [], 0
@@ -306,9 +416,9 @@ def _train_part(net: Network, vocabulary, rate: float):
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                for text in batch.column(0).slice(lo, 512).cast(pa.binary()).to_pylist():
-                    docs.append(_numbers(text, number, net.size))
-                    size += len(docs[-1])
+                for texts in _cuts(batch.column(0).slice(lo, 512).cast(pa.binary()).to_pylist()):
+                    docs += _numbers(texts, known)
+                    size += sum(map(len, docs[-len(texts):]))
                 if size > _GROUP:
                     n, flat = learn()
                     weighted, total, docs, size = weighted + n * flat, total + n, [], 0
@@ -351,37 +461,49 @@ def _score_part(shared, net: Network, size: int, total: int, distinct: int, rare
 
     def run(batches):
         head = shared.value  # (token, count), by number
-        number = {w: i for i, (w, _) in enumerate(head)}
+        known = pa.array([w for w, _ in head], pa.binary())
         # by number, and at last for a token outside the head
         base = np.array([log10(c + 1) - base0 for _, c in head] + [0.0])
         share = np.array([(log10(c + 1) - rare0) if i >= size else 0.0 for i, (_, c) in enumerate(head)] + [0.0])
         docs, rows, held = [], [], 0
 
+        def part(keys, outs, texts):
+            """The rows of some documents but for the network's scores."""
+            words, at, ends = tokens(texts)
+            lengths = np.diff(ends, prepend=0)
+            starts = ends - lengths
+            place = _look_up(words, known, -1)[at]
+            seen = np.where(place < 0, size, np.minimum(place, size)).astype(np.int32)
+            docs.extend(seen[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+            # tokens outside the head, each once a document
+            other = np.flatnonzero(place < 0)
+            key, n = np.unique(np.repeat(np.arange(len(texts)), lengths)[other] * len(words) + at[other], return_counts=True)
+            doc, word = np.divmod(key, len(words))
+            rare = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(n, pa.int32())], ["w", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32()), rare)
+            rows.append(pa.RecordBatch.from_arrays([
+                keys, outs, pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((place >= 0).astype(np.int64), starts)),
+                pa.array(np.add.reduceat(base[place], starts)), pa.array(np.add.reduceat(share[place], starts)), rare],
+                names=["k", "held_out", "n_tokens", "head_known", "head_base", "head_score", "rare"]))
+            return len(at)
+
         def done():
-            cols = list(zip(*[(*r, s) for r, s in zip(rows, net.score(docs))]))
-            k, out, n, hk, hb, rs, rare, s = cols
-            lp = [a / 2.302585092994046 + b for a, b in zip(s, rs)]
-            ends = np.cumsum([0, *map(len, rare)], dtype=np.int32)
-            flat = pa.StructArray.from_arrays([pa.array(chain.from_iterable(rare), pa.binary()), pa.array(chain.from_iterable(x.values() for x in rare), pa.int32())], ["w", "n"])
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(out, pa.bool_()), pa.array(n, pa.int64()), pa.array(hk, pa.int64()),
-                                               pa.array(hb, pa.float64()), pa.array(lp, pa.float64()), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                                              names=["k", "held_out", "n_tokens", "head_known", "head_base", "head_score", "rare"])
+            log_p, at = np.array(net.score(docs)) / 2.302585092994046, 0
+            for r in rows:
+                yield r.set_column(5, "head_score", pa.array(log_p[at:at + r.num_rows] + r.column(5).to_numpy()))
+                at += r.num_rows
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for k, out, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()):
-                    words = tokens(text)
-                    at = np.fromiter(map(number.get, words, repeat(-1)), np.int32, len(words))
-                    other = [words[i] for i in np.flatnonzero(at < 0).tolist()]
-                    docs.append(np.where((at < 0) | (at >= size), np.int32(size), at))
-                    rows.append((k, out, len(words), len(words) - len(other), float(base[at].sum()), float(share[at].sum()), dict(Counter(other))))
-                    held += len(words)
+            for lo in range(0, batch.num_rows, 1024):
+                some, at = batch.slice(lo, 1024), 0
+                for texts in _cuts(some.column(2).cast(pa.binary()).to_pylist()):
+                    held += part(some.column(0).slice(at, len(texts)), some.column(1).slice(at, len(texts)), texts)
+                    at += len(texts)
                 if held > _GROUP:
-                    yield done()
+                    yield from done()
                     docs, rows, held = [], [], 0
         if rows:
-            yield done()
+            yield from done()
     return run
 
 
