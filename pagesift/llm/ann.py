@@ -103,10 +103,13 @@ def _diverse(x: np.ndarray, near: np.ndarray, dist: np.ndarray, m: int) -> np.nd
 
 
 def _link_back(x: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.ndarray) -> None:
-    """Adds each new node to the lists of its chosen neighbours; lists that overflow are cut to diverse ones."""
+    """Adds each new node to the lists of its chosen neighbours, but for those that hold it (two nodes of a block may
+    choose each other); lists that overflow are cut to diverse ones."""
     m = links.shape[1]
     src, dst = np.repeat(new, chosen.shape[1]), chosen.ravel()
     src, dst = src[dst >= 0], dst[dst >= 0]
+    fresh = ~(links[dst] == src[:, None]).any(1)
+    src, dst = src[fresh], dst[fresh]
     if not len(src):
         return
     d = _distances(x, src, x, dst)

@@ -256,3 +256,15 @@ def test_graph_levels_and_links():
         frontier = list(dict.fromkeys(frontier))
         reached |= set(frontier)
     assert len(reached) >= 0.999 * len(x)
+
+
+def test_nodes_that_choose_each_other_are_linked_once():
+    """Two nodes of one block hold each other before links go back; a list with room and one that overflows."""
+    x = np.array([[0.0], [1.0], [3.0], [7.0]], np.float32)
+    for width in (2, 4):
+        links = np.full((4, width), -1, np.int32)
+        chosen = np.array([[1, 2], [0, 2], [1, 0], [2, 1]], np.int32)
+        links[:, :2] = chosen
+        ann._link_back(x, links, np.arange(4), chosen)
+        assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in links)
+        assert width == 2 or [set(r[r >= 0].tolist()) for r in links] == [{1, 2}, {0, 2, 3}, {0, 1, 3}, {1, 2}]
