@@ -43,9 +43,9 @@ class Pieces(NamedTuple):
 
 
 def cut(text) -> Column:
-    """array<struct<p, l>>: what stands before each ``>`` of the text, as written and in lower case.  An open tag ends
-    with its piece, as its only ``>`` is its end; what follows the last ``>`` holds no tag and is left out."""
-    return let(F.split(col(text), ">", -1), lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda p: F.struct(p.alias("p"), F.lower(p).alias("l"))))
+    """array<struct<p, l, i>>: what stands before each ``>`` of the text, as written and in lower case, and its place.  An
+    open tag ends with its piece, as its only ``>`` is its end; what follows the last ``>`` holds no tag and is left out."""
+    return let(F.split(col(text), ">", -1), lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda p, i: F.struct(p.alias("p"), F.lower(p).alias("l"), i.alias("i"))))
 
 
 def _with_pieces(text, fn) -> Column:
@@ -68,18 +68,23 @@ def spans(text, start: Column, open_re: Column, close_re: Column, accept=None) -
     """
     name = F.lower(F.replace(F.substr(start, F.lit(6)), F.lit("\\"), F.lit("")))
 
-    def found(pieces, plain):
-        def mark(q, i):
+    opening, closing = F.concat(F.lit("<"), name), F.concat(F.lit("</"), name)
+
+    def found(pieces):
+        def named(q):
+            return q["l"].contains(opening) | q["l"].contains(closing)
+
+        def mark(q):
             def tried(has, pattern):
                 return F.when(has, _part(F.concat(q["p"], F.lit(">")), pattern)).otherwise(F.lit(""))
 
             def kind(e):
                 opens = (e["o"] != "") if accept is None else (e["o"] != "") & accept(e["o"])
                 closes = e["c"] != ""
-                return F.struct(i.alias("i"), e["o"].alias("o"), e["c"].alias("c"), F.when(opens & closes, "B").when(opens, "O").when(closes, "C").alias("k"))
+                return F.struct(q["i"].alias("i"), e["o"].alias("o"), e["c"].alias("c"), F.when(opens & closes, "B").when(opens, "O").when(closes, "C").alias("k"))
 
-            opens, closes = q["l"].contains(plain["open"]), q["l"].contains(plain["close"])
-            return F.when(opens | closes, let(F.struct(tried(opens, open_re).alias("o"), tried(closes, close_re).alias("c")), kind))
+            opens, closes = q["l"].contains(opening), q["l"].contains(closing)
+            return let(F.struct(tried(opens, open_re).alias("o"), tried(closes, close_re).alias("c")), kind)
 
         def element(s, e):
             body = F.array_join(F.transform(F.slice(pieces, s["i"] + 2, e["i"] - s["i"]), lambda q: q["p"]), ">")
@@ -93,10 +98,9 @@ def spans(text, start: Column, open_re: Column, close_re: Column, accept=None) -
             both = let(bounds, lambda m: F.struct(*[F.filter(tags, lambda e, n: F.get(m, n) == which).alias(which) for which in "SE"]))
             return let(both, lambda b: F.transform(b["S"], lambda s, n: element(s, F.get(b["E"], n))))
 
-        return let(F.filter(F.transform(pieces, mark), lambda e: e["k"].isNotNull()), build)
+        return let(F.filter(F.transform(F.filter(pieces, named), mark), lambda e: e["k"].isNotNull()), build)
 
-    plain = F.struct(F.concat(F.lit("<"), name).alias("open"), F.concat(F.lit("</"), name).alias("close"))
-    return _with_pieces(text, lambda pieces: let(plain, lambda names: found(pieces, names)))
+    return _with_pieces(text, found)
 
 
 def element_array(html, tag: str) -> Column:
@@ -107,45 +111,52 @@ def element_array(html, tag: str) -> Column:
 def elements_of(html, tags, attribute: str | None = None) -> Column:
     """array<struct<tag_ordinal, pos, open, inner, close>>: the elements of several tags, all of the first tag, then of
     the second...  With ``attribute`` those whose open tag names it: a cheap test before any attribute is parsed, and
-    a tag that never stands before that name in one piece is not searched for."""
-    each = F.array(*[F.struct(F.lit("(?i)<" + re.escape(t)).alias("start"), F.lit("<" + t.lower()).alias("plain"), F.lit(tag_pattern(t)).alias("open"), F.lit(close_pattern(t)).alias("close")) for t in tags])
-
+    a tag that never stands before that name in one piece is not searched for.  Each tag has expressions of its own: a
+    pattern that changes from tag to tag would be compiled anew for every text."""
     def in_pieces(pieces):
         def of(t, i):
-            found = F.transform(spans(Pieces(pieces), t["start"], t["open"], t["close"]), lambda e, p: F.struct(
-                i.alias("tag_ordinal"), p.alias("pos"), e["open"].alias("open"), e["inner"].alias("inner"), e["close"].alias("close")))
+            found = F.transform(element_array(Pieces(pieces), t), lambda e, p: F.struct(
+                F.lit(i).alias("tag_ordinal"), p.alias("pos"), e["open"].alias("open"), e["inner"].alias("inner"), e["close"].alias("close")))
             if attribute is None:
                 return found
             named = F.filter(found, lambda e: F.lower(e["open"]).contains(attribute.lower()))
-            return F.when(F.exists(pieces, lambda q: q["l"].contains(attribute.lower()) & q["l"].contains(t["plain"])), named)
+            return F.when(F.exists(pieces, lambda q: q["l"].contains(attribute.lower()) & q["l"].contains("<" + t.lower())), named)
 
-        return F.flatten(F.filter(F.transform(each, of), lambda x: x.isNotNull()))
+        return F.flatten(F.filter(F.array(*[of(t, i) for i, t in enumerate(tags)]), lambda x: x.isNotNull()))
 
     return _with_pieces(html, in_pieces)
 
 
 def open_attrs(open_tag) -> Column:
     """Parsed attributes of an open tag.  What is glued to the tag's name and a final '/' do not count."""
-    return parse_attrs(F.regexp_replace(col(open_tag), "^[^" + WS_CHARS + ">]*" + WS + "*|/?>$", ""))
+    def source(s):
+        head, end = F.regexp_extract(s, _TAG_HEAD_RE, 0), F.when(s.endswith("/>"), 2).when(s.endswith(">"), 1).otherwise(0)
+        return F.substr(s, F.length(head) + 1, F.length(s) - F.length(head) - end)
+
+    return parse_attrs(let(open_tag, source) if not isinstance(open_tag, str) else source(F.col(open_tag)))
 
 
 def raw_element(e) -> Column:
     return F.concat(e["open"], e["inner"], e["close"])
 
 
-def remove_spans(text, pattern: str, close_re: str) -> Column:
-    """Each match of ``pattern``, which ends in ``close_re``, replaced by a space; nothing behind the last close is tried."""
+def remove_spans(text, pattern: str, close_re: str, start: str) -> Column:
+    """Each match of ``pattern``, which begins with ``start`` (lower case) in any case and ends in ``close_re``, replaced by
+    a space; nothing behind the last close is tried."""
     def cut(s):
-        head = F.regexp_extract(s, "(?i)^[\\s\\S]*" + close_re, 0)
-        return let(head, lambda h: F.concat(F.regexp_replace(h, pattern, " "), F.substr(s, F.length(h) + 1)))
+        head = F.regexp_extract(s, "(?is)^.*" + close_re, 0)
+        return F.when(F.lower(s).contains(start), let(head, lambda h: F.concat(F.regexp_replace(h, pattern, " "), F.substr(s, F.length(h) + 1)))).otherwise(s)
 
     return let(col(text), cut)
 
 
-# Attribute tokenizer: name (group 1), then optional = "dq" | 'sq' | unquoted (group 2, quotes included).
+# Attribute tokenizer: name (group 1), then optional = "dq" | 'sq' | unquoted (group 2, quotes included).  Plain
+# characters are tried before the rest of each class.
 ATTR_RE = (
-    "([^" + WS_CHARS + "=/>]+)(?:" + WS + "*=" + WS + "*(\"[^\"]*\"|'[^']*'|[^" + WS_CHARS + "\"'=<>`]+))?"
+    "([[!-.0-<?-~][^" + WS_CHARS + "=/>]]+)(?:" + WS + "*=" + WS + "*(\"[^\"]*\"|'[^']*'|[[!#-&(-;?-_a-~][^" + WS_CHARS + "\"'=<>`]]+))?"
 )
+# The start of an open tag, with what is glued to its name and the whitespace behind.
+_TAG_HEAD_RE = "^[[!-=?-~][^" + WS_CHARS + ">]]*" + WS + "*"
 
 DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
@@ -156,7 +167,7 @@ def parse_attrs(src) -> Column:
     """array<struct<name, value>> in source order; names lower-cased, values decoded.  Two matching passes over the
     tag give aligned arrays of names and values."""
     def plain(v):
-        return F.when(v.rlike("^[\"']"), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+        return F.when(v.startswith('"') | v.startswith("'"), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
 
     def zipped(s):
         values = F.regexp_extract_all(s, F.lit(ATTR_RE), F.lit(2))

@@ -42,27 +42,40 @@ def extract_elements(pages: DataFrame, tag: str, id_cols: Sequence[str] = ("page
 
 def elements_with_attribute(pages: DataFrame, attribute: str, tags: Iterable[str] = DEFAULT_BLOCK_TAGS,
                             id_cols: Sequence[str] = ("page_id",), html_col: str = "html",
-                            with_text: bool = True) -> DataFrame:
+                            with_text: bool = True, limit: int | None = None) -> DataFrame:
     """Elements of any of ``tags`` carrying ``attribute`` (an empty value counts).
 
     Order is (tag_ordinal, pos): all matches of the first tag, then the second…
     An element nested in another match is reported again under its own tag.
-    All tags come from one scan of the page.
+    All tags come from one scan of the page.  With ``limit`` the first of each page.
     """
     tags = tuple(tags)
-    found = pages.select(*id_cols, F.explode(H.elements_of(html_col, tags, attribute)).alias("_e")).select(*id_cols, "_e.*")
-    return with_attribute(found, attribute, tags, id_cols, with_text)
+    found = _carrying(H.elements_of(html_col, tags, attribute), attribute)
+    found = found if limit is None else F.slice(found, 1, limit)
+    return _element_rows(pages.select(*id_cols, F.explode(found).alias("_e")).select(*id_cols, "_e.*"), tags, id_cols, with_text)
 
 
 def with_attribute(rows: DataFrame, attribute: str, tags: Sequence[str], id_cols: Sequence[str] = ("page_id",),
                    with_text: bool = True) -> DataFrame:
     """Rows (ids, tag_ordinal, pos, open, inner, close) -> element rows, those that carry the attribute."""
+    element = F.struct("tag_ordinal", "pos", "open", "inner", "close")
+    return _element_rows(rows.select(*id_cols, F.explode(_carrying(F.array(element), attribute)).alias("_e")).select(*id_cols, "_e.*"), tags, id_cols, with_text)
+
+
+def _carrying(elements, attribute: str):
+    """Elements with ``attrs``, those that carry the attribute.  Parsed and tested within the array: a filter on rows
+    would be moved below their projection and the attributes parsed once more for it."""
+    parsed = F.transform(elements, lambda e: F.struct(*[e[c].alias(c) for c in ("tag_ordinal", "pos", "open", "inner", "close")], H.open_attrs(e["open"]).alias("attrs")))
+    return F.filter(parsed, lambda e: H.has_attr(e["attrs"], attribute))
+
+
+def _element_rows(rows: DataFrame, tags: Sequence[str], id_cols: Sequence[str], with_text: bool) -> DataFrame:
     cols = [*id_cols, F.element_at(F.array(*[F.lit(t) for t in tags]), F.col("tag_ordinal") + 1).alias("tag"), F.col("pos"),
-            H.open_attrs("open").alias("attrs"), F.col("inner").alias("inner_html")]
+            F.col("attrs"), F.col("inner").alias("inner_html")]
     if with_text:
         cols.append(collapse_ws("inner").alias("text"))
     raw = F.concat("open", "inner", "close").alias("raw")
-    return rows.select(*cols, raw, "tag_ordinal").filter(H.has_attr("attrs", attribute))
+    return rows.select(*cols, raw, "tag_ordinal")
 
 
 def extract_anchors(pages: DataFrame, id_cols: Sequence[str] = ("page_id",), html_col: str = "html",
@@ -135,7 +148,7 @@ REVIEW_ARTICLE_RE = r"""(?i)<article(?![A-Za-z0-9_])[^>]*data-review-id=["'][^"'
 
 
 def without_review_blocks(html_col):
-    return H.remove_spans(html_col, REVIEW_ARTICLE_RE, "</article>")
+    return H.remove_spans(html_col, REVIEW_ARTICLE_RE, "</article>", "<article")
 
 
 def strip_review_blocks(pages: DataFrame, html_col: str = "html", out: str = "html") -> DataFrame:

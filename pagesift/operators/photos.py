@@ -3,6 +3,8 @@ photo records (O50-O56)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,22 @@ from .html import strip_review_blocks, without_review_blocks
 
 _W = "[A-Za-z0-9_]"
 # Photo rule patterns.
-EXPLICIT_RE = "(?i)data-photo-url|data-thumbnail-url|data-photo-index|data-photo-id"
+EXPLICIT_ATTRS = ("data-photo-url", "data-thumbnail-url", "data-photo-index", "data-photo-id")
 PROFILE_WORDS_RE = "(?i)(?<!" + _W + ")(profile|avatar|reviewer|author|user icon|user photo)(?!" + _W + ")"
+PHOTO_WORDS = ("photo", "image", "gallery", "food", "drink", "dish", "meal", "interior", "menu", "place")
 PHOTO_WORDS_RE = "(?i)(?<!" + _W + ")(photo|image|gallery|food|drink|dish|meal|interior|menu|place)(?!" + _W + ")"
-PROFILE_URL_RE = "(?i)avatar|profile|userphoto|reviewer"
-PHOTO_HOST_RE = r"(?i)googleusercontent\.com|lh3\.googleusercontent\.com"
+PROFILE_WORDS = ("profile", "avatar", "reviewer", "author", "user icon", "user photo")
+PROFILE_URL_WORDS = ("avatar", "profile", "userphoto", "reviewer")
+PHOTO_HOST = "googleusercontent.com"
+
+
+def _names_any(lowered, words) -> F.Column:
+    """A text in lower case holds one of ``words``: a plain test, by far cheaper than an alternation tried at every character."""
+    return reduce(lambda a, b: a | b, [lowered.contains(w) for w in words])
+
+
+def on_photo_host(url) -> F.Column:
+    return F.lower(url).contains(PHOTO_HOST)
 
 
 def url_dimension(url, prefix: str) -> F.Column:
@@ -46,21 +59,29 @@ def raw_candidates(html_col):
 def candidates_from_raw(rows: DataFrame, id_cols=("page_id",)) -> DataFrame:
     """Rows (ids, source_ordinal, pos, open, raw) -> candidate rows."""
     image = F.col("source_ordinal") == 0
-    rows = rows.withColumn("attrs", H.open_attrs("open"))
-
-    def at(name):
-        return safe_trim(H.attr("attrs", name))
-
-    out = rows.select(
-        *id_cols, "source_ordinal", "pos", "raw",
-        F.when(image, F.coalesce(at("data-photo-url"), at("src"))).otherwise(at("href")).alias("image_url"),
-        F.when(image, at("src")).otherwise(at("data-thumbnail-url")).alias("thumbnail_url"),
-        F.when(image, at("alt")).otherwise(at("title")).alias("alt_text"),
-        F.when(image, at("alt")).otherwise(F.coalesce(at("title"), at("aria-label"))).alias("context_alt"),
-        at("title").alias("title_text"),
-        to_int(H.attr("attrs", "width")).alias("width"), to_int(H.attr("attrs", "height")).alias("height"),
-    )
-    return out.filter(F.col("image_url").isNotNull() & ((F.col("source_ordinal") == 0) | F.col("image_url").rlike(PHOTO_HOST_RE)))
+
+    def candidate(attrs):
+        def at(name):
+            return safe_trim(H.attr(attrs, name))
+
+        def built(v):
+            return F.struct(
+                F.when(image, F.coalesce(at("data-photo-url"), v["link"])).otherwise(v["link"]).alias("image_url"),
+                F.when(image, v["link"]).otherwise(at("data-thumbnail-url")).alias("thumbnail_url"),
+                F.when(image, v["alt"]).otherwise(v["title"]).alias("alt_text"),
+                F.when(image, v["alt"]).otherwise(F.coalesce(v["title"], at("aria-label"))).alias("context_alt"),
+                v["title"].alias("title_text"),
+                to_int(H.attr(attrs, "width")).alias("width"), to_int(H.attr(attrs, "height")).alias("height"),
+            )
+
+        return let(F.struct(F.when(image, at("src")).otherwise(at("href")).alias("link"), F.when(image, at("alt")).alias("alt"), at("title").alias("title")), built)
+
+    def usable(c):
+        return c["image_url"].isNotNull() & (image | on_photo_host(c["image_url"]))
+
+    # behind a Generate, so that no filter is moved below the projection and the attributes are parsed once
+    made = F.filter(F.transform(F.array(H.open_attrs("open")), candidate), usable)
+    return rows.select(*id_cols, "source_ordinal", "pos", "raw", F.explode(made).alias("_c")).select(*id_cols, "source_ordinal", "pos", "raw", "_c.*")
 
 
 def keep_photo(kind: str, author_col: str | None = None) -> F.Column:
@@ -74,17 +95,17 @@ def keep_photo(kind: str, author_col: str | None = None) -> F.Column:
         ctx, w, h = v["ctx"], v["w"], v["h"]
         too_small = F.coalesce(w <= 150, F.lit(False)) | F.coalesce(h <= 150, F.lit(False))
         small_square = F.coalesce((w <= 128) & (h <= 128) & (F.abs(w - h) <= 24), F.lit(False))
-        photo_word = ctx.rlike(PHOTO_WORDS_RE)
+        photo_word = _names_any(ctx, PHOTO_WORDS) & ctx.rlike(PHOTO_WORDS_RE)
         mentions_author = F.coalesce(v["a"].isNotNull() & ctx.contains(v["a"]), F.lit(False))
         tail = (~small_square) if kind == "place" else (
-            photo_word | w.isNull() | h.isNull() | (w >= 160) | (h >= 160))
+            w.isNull() | h.isNull() | (w >= 160) | (h >= 160) | photo_word)
         return (
             F.when(too_small, False)
-            .when(F.col("raw").rlike(EXPLICIT_RE), True)
-            .when(ctx.rlike(PROFILE_WORDS_RE) | F.col("image_url").rlike(PROFILE_URL_RE)
+            .when(_names_any(F.lower(F.col("raw")), EXPLICIT_ATTRS), True)
+            .when((_names_any(ctx, PROFILE_WORDS) & ctx.rlike(PROFILE_WORDS_RE)) | _names_any(F.lower(F.col("image_url")), PROFILE_URL_WORDS)
                   | (mentions_author & small_square), False)
             .when(small_square & ~photo_word, False)
-            .when(~F.col("image_url").rlike(PHOTO_HOST_RE), False)
+            .when(~on_photo_host(F.col("image_url")), False)
             .otherwise(tail)
         )
 

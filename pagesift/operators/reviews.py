@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +26,13 @@ PUBLISHED_LABEL_RE = "(?i)(?:posted|reviewed)" + WS + "+on" + WS + "+(.+?)(?:[·
 TIME_RE = r"""(?i)<time(?![A-Za-z0-9_])[^>]*datetime=["']([^"']+)["'][^>]*>"""
 DATA_RATING_RE = r"""(?i)data-rating=["']([^"']+)["']"""
 DATA_LIKES_RE = r"""(?i)data-like-count=["']([^"']+)["']"""
-STRIP_FOR_TEXT = ((r"(?i)<time(?![A-Za-z0-9_])[\s\S]*?</time>", "</time>"), (r"(?i)<img(?![A-Za-z0-9_])[\s\S]*?>", ">"),
-                  (r"(?i)<button(?![A-Za-z0-9_])[\s\S]*?</button>", "</button>"))
+STRIP_FOR_TEXT = ((r"(?is)<time(?![A-Za-z0-9_]).*?</time>", "</time>", "<time"), (r"(?i)<img(?![A-Za-z0-9_])[^>]*>", ">", "<img"),
+                  (r"(?is)<button(?![A-Za-z0-9_]).*?</button>", "</button>", "<button"))
 
 
-def review_blocks(pages: DataFrame, id_cols=("page_id",), html_col: str = "html") -> DataFrame:
-    """Elements with data-review-id on article, div, li — in that order."""
-    return elements_with_attribute(pages, REVIEW_ATTR, DEFAULT_BLOCK_TAGS, id_cols, html_col, with_text=False)
+def review_blocks(pages: DataFrame, id_cols=("page_id",), html_col: str = "html", limit: int | None = None) -> DataFrame:
+    """Elements with data-review-id on article, div, li — in that order; with ``limit`` the first of each page."""
+    return elements_with_attribute(pages, REVIEW_ATTR, DEFAULT_BLOCK_TAGS, id_cols, html_col, with_text=False, limit=limit)
 
 
 def review_block_array(html_col="html", limit: int | None = None):
@@ -50,7 +52,12 @@ def review_blocks_from_raw(rows: DataFrame, id_cols=("page_id", "captured_at"))
 
 
 def _nested_elements(fragment):
-    return F.transform(H.elements_of(fragment, NESTED_TAGS, "data-"), lambda e: F.struct(H.open_attrs(e["open"]).alias("attrs"), e["inner"].alias("inner")))
+    """The nested elements whose open tag names an attribute that is looked for; of the others none is parsed."""
+    def named(e):
+        lowered = F.lower(e["open"])
+        return reduce(lambda a, b: a | b, [lowered.contains(n) for n in (*AUTHOR_ATTRS, *TEXT_ATTRS, *TRANSLATED_ATTRS)])
+
+    return F.transform(F.filter(H.elements_of(fragment, NESTED_TAGS, "data-"), named), lambda e: F.struct(H.open_attrs(e["open"]).alias("attrs"), e["inner"].alias("inner")))
 
 
 def _nested_text(els, names) -> F.Column:
@@ -63,14 +70,19 @@ def _nested_text(els, names) -> F.Column:
     return H.first(F.filter(F.transform(F.array(*[F.lit(n) for n in names]), of), lambda v: v.isNotNull()))
 
 
-def parse_review_blocks(blocks: DataFrame) -> DataFrame:
-    """Block rows (attrs, inner_html) -> parsed review fields (no ids yet)."""
+def parse_review_blocks(blocks: DataFrame, ids_only: bool = False) -> DataFrame:
+    """Block rows (attrs, inner_html) -> parsed review fields (no ids yet).  ``ids_only`` is for callers who read no field
+    but the id made from them: author, date and text of a block with an id of its own are then null and not looked for."""
     frag, pieces = F.col("inner_html"), H.Pieces(F.col("_cut"))
+
+    def asked(value):
+        return F.when(safe_trim(H.attr("attrs", "data-review-id")).isNull(), value) if ids_only else value
+
     s1 = blocks.withColumn("_cut", H.cut(frag)).select(
         "*",
         safe_trim(H.attr("attrs", "data-review-id")).alias("review_id"),
         F.coalesce(safe_trim(H.attr("attrs", "aria-label")), collapse_ws(frag)).alias("label0"),
-        _nested_elements(pieces).alias("_els"),
+        asked(_nested_elements(pieces)).alias("_els"),
         F.transform(F.filter(F.transform(F.filter(H.element_array(pieces, "a"), lambda e: F.lower(e["open"]).contains("href")),
                                          lambda e: H.open_attrs(e["open"])),
                              lambda a: H.has_attr(a, "href")),
@@ -87,8 +99,8 @@ def parse_review_blocks(blocks: DataFrame) -> DataFrame:
         F.when(label.rlike(PUBLISHED_LABEL_RE), safe_trim(F.regexp_extract(label, PUBLISHED_LABEL_RE, 1))))
     explicit = _nested_text("_els", TEXT_ATTRS)
     stripped = frag
-    for pat, close in STRIP_FOR_TEXT:
-        stripped = H.remove_spans(stripped, pat, close)
+    for pat, close, start in STRIP_FOR_TEXT:
+        stripped = H.remove_spans(stripped, pat, close, start)
     text = F.coalesce(collapse_ws(explicit), let(collapse_ws(stripped), lambda t: F.nullif(t, F.lit(""))))
     translated = collapse_ws(_nested_text("_els", TRANSLATED_ATTRS))
     likes_raw = F.coalesce(F.when(frag.rlike(DATA_LIKES_RE), F.regexp_extract(frag, DATA_LIKES_RE, 1)),
@@ -96,9 +108,9 @@ def parse_review_blocks(blocks: DataFrame) -> DataFrame:
     return s1.select(
         *[c for c in blocks.columns if c not in ("attrs", "inner_html", "raw", "text", "_cut")],
         "review_id",
-        F.coalesce(_nested_text("_els", AUTHOR_ATTRS), author_label).alias("author_name"),
+        asked(F.coalesce(_nested_text("_els", AUTHOR_ATTRS), author_label)).alias("author_name"),
         H.first(F.filter("_profiles", lambda v: v.isNotNull())).alias("author_profile_url"),
-        rating.alias("rating"), published.alias("published_at"), text.alias("text"),
+        rating.alias("rating"), asked(published).alias("published_at"), asked(text).alias("text"),
         translated.alias("translated_text"), to_int(likes_raw).alias("likes"),
         safe_trim(label).alias("raw_label"),
     )
@@ -138,11 +150,12 @@ def limit_reviews(reviews: DataFrame, n: int, key: str = "place_id", order=("blo
     return reviews.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max(int(n), 1)).drop("_n")
 
 
-def reviews_from_pages(place_rows: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
-    """Place pages -> review records for the given places."""
-    blocks = review_blocks(pages.withColumn("url_key", url_key("url")),
-                           id_cols=("page_id", "url_key", "captured_at"))
-    parsed = parse_review_blocks(blocks).withColumnRenamed("captured_at", "scraped_at")
+def reviews_from_pages(place_rows: DataFrame, pages: DataFrame, limit: int | None = None, ids_only: bool = False) -> DataFrame:
+    """Place pages -> review records for the given places.  A place's first blocks are among the first of each of its
+    pages, so with a limit no other block is parsed.  ``ids_only``: see ``parse_review_blocks``."""
+    blocks = review_blocks(pages.withColumn("url_key", url_key("url")), id_cols=("page_id", "url_key", "captured_at"),
+                           limit=None)
+    parsed = parse_review_blocks(blocks, ids_only).withColumnRenamed("captured_at", "scraped_at")
     return review_records(parsed, place_rows, limit)
 
 

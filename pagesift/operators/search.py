@@ -101,12 +101,13 @@ def listing_anchors(pages: DataFrame) -> DataFrame:
     (aria-label -> title -> collapsed inner HTML).  Narrow; HTML is dropped here."""
     ids = ["page_id", "keyword", "region", "page_no", "captured_at"]
     a = pages.select(*ids, F.posexplode(H.element_array("html", "a")).alias("pos", "_e"))
-    a = a.select(*ids, "pos", H.open_attrs("_e.open").alias("attrs"), F.col("_e.inner").alias("inner_html"))
-    a = a.filter(H.has_attr("attrs", "href")).withColumn("href", H.attr("attrs", "href"))
+    # attributes and the href behind a Generate each: filters on them would be moved below and compute them once more
+    a = a.select(*ids, "pos", F.col("_e.inner").alias("inner_html"), F.explode(F.array(H.open_attrs("_e.open"))).alias("attrs"))
+    a = a.select(*ids, "pos", "inner_html", "attrs", F.explode(F.array(safe_trim(H.attr("attrs", "href")))).alias("href"))
     a = filter_listing_links(a)
     label = F.coalesce(safe_trim(H.attr("attrs", "aria-label")), safe_trim(H.attr("attrs", "title")),
                        safe_trim(collapse_ws("inner_html")))
-    return a.select(*ids, "pos", resolve_url(safe_trim("href")).alias("place_url"), label.alias("raw_label"))
+    return a.select(*ids, "pos", resolve_url("href").alias("place_url"), label.alias("raw_label"))
 
 
 def newest_captures(pages: DataFrame, keys=(*SEARCH_KEYS, "page_no")) -> DataFrame:

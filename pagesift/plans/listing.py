@@ -229,9 +229,9 @@ def linked_places_df(spark, sf):
     return PL.dedup_places(places_df(spark, sf, only=ID_FIELDS).select("id", "region", "source_url", "url_key", "place_page_id", "keyword_index", "rank"))
 
 
-def reviews_df(spark, sf, limit=None):
+def reviews_df(spark, sf, limit=None, ids_only=False):
     pl = linked_places_df(spark, sf)
-    return RV.reviews_from_pages(pl, R.stored(spark, sf, 'place_pages'), limit)
+    return RV.reviews_from_pages(pl, R.stored(spark, sf, 'place_pages'), limit, ids_only)
 
 
 @query("reviews", oracle=f"WITH {L.review_ctes()}\nSELECT {L.REVIEW_COLS} FROM rv")
@@ -404,4 +404,4 @@ SELECT {sid('place_id', 'rid', 'image_url')} AS id, place_id, src AS place_url,
   image_url, CAST(NULL AS VARCHAR) AS thumbnail_url, CAST(NULL AS VARCHAR) AS alt_text, CAST(NULL AS BIGINT) AS width,
   CAST(NULL AS BIGINT) AS height, src AS source_url FROM rp""")
 def q_review_photos(spark, sf):
-    return P.review_photos(reviews_df(spark, sf), P.review_image_urls(R.stored(spark, sf, 'place_pages'))).select(*PHOTO_OUT)
+    return P.review_photos(reviews_df(spark, sf, ids_only=True), P.review_image_urls(R.stored(spark, sf, 'place_pages'))).select(*PHOTO_OUT)
