@@ -144,7 +144,7 @@ def first_element_attr(pages: DataFrame, tag: str, attribute: str, id_cols: Sequ
 
 
 # Fixed value: a review block that photo extraction leaves out.
-REVIEW_ARTICLE_RE = r"""(?i)<article(?![A-Za-z0-9_])[^>]*data-review-id=["'][^"']+["'][\s\S]*?</article>"""
+REVIEW_ARTICLE_RE = r"""(?is)<article(?![A-Za-z0-9_])[^>]*data-review-id=["'][^"']+["'].*?</article>"""
 
 
 def without_review_blocks(html_col):

@@ -1,11 +1,13 @@
 """Attributes are parsed once for an element, only for rows that need them, and faster patterns find what the plain ones do."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from pagesift.functions import html as H
 from pagesift.functions import text as T
+from pagesift.operators import html as hops
 from pagesift.operators import photos as P
 from pagesift.operators import reviews as RV
 from pagesift.operators import search as S
@@ -67,6 +69,18 @@ def test_text_that_needs_no_collapsing(spark):
     assert {r.t: r.x for r in rows} == cases and {r.t: r.y for r in rows} == cases
 
 
+BITS = ['<article data-review-id="x">', "<ARTICLE data-review-id='y' z>", "<article>", '<article data-review-id="">', '<article data-review-id="q', "</article>", "</Article>", "<articles>", "text", "\n", "é", '"', ">", "<img a>"]
+
+
+def test_blocks_are_left_out_as_by_the_plain_pattern(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice(BITS) for _ in range(rng.randint(0, 12)))) for i in range(3000)]
+    plain = re.compile(r"""<article(?![A-Za-z0-9_])[^>]*data-review-id=["'][^"']+["'][\s\S]*?</article>""", re.I)
+    got = hops.strip_review_blocks(spark.createDataFrame(rows, "i int, html string")).collect()
+    want = {i: plain.sub(" ", html) for i, html in rows}
+    assert {r.i: r.html for r in got} == want and sum(want[i] != html for i, html in rows) > 300
+
+
 WORDS = ["avatar", "AVATAR", "user  photo", "user icon", "photos", "Photo", "drinK", "dish", "data-PHOTO-id", "profile", "reviewers", "https://LH3.Googleusercontent.com/x", "x", "=w90", "-h151", "_menu", "author"]
 
 
