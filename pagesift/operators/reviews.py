@@ -154,7 +154,7 @@ def reviews_from_pages(place_rows: DataFrame, pages: DataFrame, limit: int | Non
     """Place pages -> review records for the given places.  A place's first blocks are among the first of each of its
     pages, so with a limit no other block is parsed.  ``ids_only``: see ``parse_review_blocks``."""
     blocks = review_blocks(pages.withColumn("url_key", url_key("url")), id_cols=("page_id", "url_key", "captured_at"),
-                           limit=None)
+                           limit=None if limit is None else max(int(limit), 1))
     parsed = parse_review_blocks(blocks, ids_only).withColumnRenamed("captured_at", "scraped_at")
     return review_records(parsed, place_rows, limit)
 

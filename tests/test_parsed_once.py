@@ -104,3 +104,14 @@ def test_photo_rule_equals_the_plain_patterns(spark):
     for kind in ("place", "review"):
         got = df.select(P.keep_photo(kind).alias("a"), plain(kind).alias("b")).collect()
         assert [r.a for r in got] == [r.b for r in got] and 0 < sum(r.a for r in got) < len(got)
+
+
+def test_blocks_behind_the_limit_are_not_parsed(spark):
+    """The limit of a place is taken on its pages first; the rows are those of a cut afterwards."""
+    p = pages(spark, PAGE, PAGE.replace("N1", "M1"))
+    cut = RV.reviews_from_pages(places(spark), pages(spark, PAGE), 2)
+    whole = RV.limit_reviews(RV.reviews_from_pages(places(spark), pages(spark, PAGE)), 2)
+    assert sorted(tuple(r) for r in cut.collect()) == sorted(tuple(r) for r in whole.collect()) and cut.count() == 2
+    assert RV.reviews_from_pages(places(spark), p, 3).count() == 3 and RV.reviews_from_pages(places(spark), p, 0).count() == 1
+    assert "slice(filter(transform(" in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert RV.review_blocks(p, limit=2).count() == 4
